@@ -50,43 +50,53 @@ def _unaccent_tables() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(source) + "".join(gone) + "^`", "".join(target), several
 
 
-def _jamo(first: int, count: int) -> Column:
-    return F.array(*[F.lit(chr(first + i)) for i in range(count)])
+def _letters(text: str) -> Column:
+    """A literal array of characters, built from one string."""
+    return F.split(F.lit(text), "")
+
+
+def _span(first: int, count: int) -> str:
+    return "".join(chr(first + i) for i in range(count))
 
 
 def _open_hangul(text: Column) -> Column:
-    lead, vowel = _jamo(0x1100, 19), _jamo(0x1161, 21)
-    tail = F.array(F.lit(""), *[F.lit(chr(0x11A8 + i)) for i in range(27)])
+    lead, vowel, tail = (_letters(_span(*at)) for at in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
     def one(char: Column) -> Column:
         at = F.ascii(char) - _HANGUL[0]
+        last = (at % 28).cast("int")
         split = F.concat(
             F.get(lead, F.floor(at / 588).cast("int")),
             F.get(vowel, F.floor((at % 588) / 28).cast("int")),
-            F.get(tail, (at % 28).cast("int")),
+            F.when(last > 0, F.get(tail, last - 1)).otherwise(F.lit("")),
         )
         return F.when((at >= 0) & (at <= _HANGUL[1] - _HANGUL[0]), split).otherwise(char)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.array_join(F.transform(_letters_of(text), one), "")
+
+
+def _letters_of(text: Column) -> Column:
+    return F.split(text, "")
 
 
 def _open_several(text: Column, several: list[tuple[str, str]]) -> Column:
-    pairs = F.array(
-        *[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in several]
+    pairs = F.split(F.lit(",".join(f"{a}={b}" for a, b in several)), ",")
+    return F.aggregate(
+        pairs,
+        text,
+        lambda held, pair: F.replace(held, F.substring_index(pair, "=", 1), F.substring_index(pair, "=", -1)),
     )
-    return F.aggregate(pairs, text, lambda held, pair: F.replace(held, pair["from"], pair["to"]))
 
 
 def strip_marks(text: Column) -> Column:
     """Canonical decomposition with every diacritic dropped."""
     source, target, several = _unaccent_tables()
     opened = F.translate(text, source, target)
-    odd = "".join(a for a, _ in several)
-    wide = F.when(
-        text.rlike("[\\uAC00-\\uD7A3]"), _open_hangul(opened)
-    ).otherwise(opened)
-    wide = F.when(text.rlike(f"[{odd}]"), _open_several(wide, several)).otherwise(wide)
-    return F.when(text.rlike("^[\\x00-\\x5D\\x5F\\x61-\\x7F]*$"), text).otherwise(wide)
+    # Only scripts past Cyrillic hold letters that open into several; one range
+    # test keeps everything else off the long way.
+    wide = F.when(text.rlike(r"[\uAC00-\uD7A3]"), _open_hangul(opened)).otherwise(opened)
+    full = F.when(text.rlike(r"[\u0600-\x{10FFFF}]"), _open_several(wide, several)).otherwise(opened)
+    return F.when(text.rlike(r"^[\x00-\x5D\x5F\x61-\x7F]*$"), text).otherwise(full)
 
 
 def normalize_text(text: Column) -> Column:

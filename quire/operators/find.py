@@ -30,13 +30,13 @@ def match_cards(cards: DataFrame, prints: DataFrame, pred: Predicate, key: str)
     """Cards for which the predicate holds: of the card alone, or, where it
     reads any printing, of one printing that satisfies the whole of it."""
     if not pred.child:
-        return cards.filter(pred.column)
+        return cards.filter(pred.test)
     rows = _with_flags(prints, pred, key)
     try:
         # Asked of the printing alone: one semi join of the survivors.
-        answered = rows.filter(pred.column).select(key)
+        answered = rows.filter(pred.test).select(key)
     except AnalysisException:
-        answered = cards.join(rows, key).filter(pred.column).select(key)
+        answered = cards.join(rows, key).filter(pred.test).select(key)
     return cards.join(answered, key, "left_semi")
 
 
@@ -60,7 +60,7 @@ def answering_print(
 def match_prints(cards: DataFrame, prints: DataFrame, pred: Predicate, key: str, name: str, text: str = "") -> DataFrame:
     """Each printing the tree holds of, its card's name containing ``text``."""
     flags = {flag: condition for flag, condition in pred.any_child.items()}
-    rows = cards.join(prints.withColumns(flags) if flags else prints, key).filter(pred.column)
+    rows = cards.join(prints.withColumns(flags) if flags else prints, key).filter(pred.test)
     if text:
         rows = rows.filter(F.contains(normalize_text(F.col(name)), normalize_text(F.lit(text))))
     return rows

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -89,16 +89,31 @@ def upper_middle(n: Column) -> Column:
 
 
 def fold_in_order(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], step: Callable, schema: str
+    df: DataFrame, key: str, order: str, inputs: Sequence[str], start: Callable[[], Callable], name: str
 ) -> DataFrame:
-    """A strictly ordered fold a group, streamed batch by batch.
+    """A strictly ordered fold in each group, for folds whose next step depends
+    on the last one: (key, order, ``name``), one row for each row.
 
-    ``step(batches)`` gets an iterator of record batches in order and yields
-    record batches, so a group of any size takes constant memory. For folds
-    whose next step depends on the last one.
+    ``start()`` gives a group's step, called with ``inputs`` row by row to
+    answer a whole number. Rows stream through in batches with many groups to
+    a task, so neither long groups nor many short ones cost memory or set-up.
     """
-    placed = df.repartition(*by).sortWithinPartitions(*[F.col(c) for c in by], *order)
-    return placed.groupBy(*by).applyInArrow(step, schema)
+    slim = df.select(key, order, *inputs).repartition(key).sortWithinPartitions(key, order)
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, current = None, None
+        for batch in batches:
+            out = []
+            for group, *values in zip(*(batch.column(c).to_pylist() for c in (key, *inputs))):
+                if step is None or group != current:
+                    step, current = start(), group
+                out.append(step(*values))
+            yield pa.RecordBatch.from_pydict(
+                {key: batch.column(key), order: batch.column(order), name: pa.array(out, type=pa.int64())}
+            )
+
+    return slim.mapInArrow(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{name}` long")
 
 
 # Characters of one group's lines put together in one row; past it the hash is
@@ -129,23 +144,30 @@ def content_digest(df: DataFrame, by: Sequence[str], line: str, name: str = "dig
     keys = list(by)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + f", {name} string"
 
-    def stream(group, batches):
-        held, begun = hashlib.sha256(), False
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current, types = None, None, None
+
+        def row():
+            out = {c: pa.array([v], type=t) for c, v, t in zip(keys, current, types)}
+            out[name] = pa.array([f"sha256-{held.hexdigest()}"])
+            return pa.RecordBatch.from_pydict(out)
+
         for batch in batches:
-            lines = batch.column(batch.schema.get_field_index(line)).to_pylist()
-            counts = batch.column(batch.schema.get_field_index("_n")).to_pylist()
-            for text, n in zip(lines, counts):
-                data = text.encode()
+            types = [batch.schema.field(c).type for c in keys]
+            for text, n, *group in zip(*(batch.column(c).to_pylist() for c in (line, "_n", *keys))):
+                data, begun = text.encode(), held is not None and group == current
+                if not begun:
+                    if held is not None:
+                        yield row()
+                    held, current = hashlib.sha256(), group
                 for _ in range(n):
                     held.update(b"\n" + data if begun else data)
                     begun = True
-        out = {c: pa.array([g.as_py()], type=g.type) for c, g in zip(keys, group)}
-        out[name] = pa.array([f"sha256-{held.hexdigest()}"])
-        yield pa.RecordBatch.from_pydict(out)
+        if held is not None:
+            yield row()
 
-    large = counted.join(over, keys, "left_semi")
-    streamed = fold_in_order(large, keys, [F.asc(line)], stream, schema)
-    return small(counted.join(over, keys, "left_anti")).unionByName(streamed)
+    large = counted.join(over, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, line)
+    return small(counted.join(over, keys, "left_anti")).unionByName(large.mapInArrow(stream, schema))
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

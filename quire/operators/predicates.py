@@ -22,23 +22,30 @@ from ..functions.text import kind_key, normalize_text
 class Predicate:
     """A boolean over one row, and whether that row must be a child's.
 
-    ``child`` marks a predicate that reads a child row; ``any_child`` holds
-    conditions asked of all children of a parent whichever child is under
-    test, keyed by the flag column that will carry the answer.
+    ``column`` is two-valued. ``test`` is true for the same rows but may be
+    null for others; a filter uses it, so plain comparisons still reach the
+    scan. ``child`` marks a predicate that reads a child row; ``any_child``
+    holds conditions asked of all children of a parent whichever child is
+    under test, keyed by the flag column that will carry the answer.
     """
 
     column: Column
     child: bool = False
     any_child: dict[str, Column] = field(default_factory=dict)
+    raw: Column | None = None
 
-    def _join(self, other: "Predicate", column: Column) -> "Predicate":
-        return Predicate(column, self.child or other.child, {**self.any_child, **other.any_child})
+    @property
+    def test(self) -> Column:
+        return self.column if self.raw is None else self.raw
+
+    def _join(self, other: "Predicate", column: Column, raw: Column) -> "Predicate":
+        return Predicate(column, self.child or other.child, {**self.any_child, **other.any_child}, raw)
 
     def __and__(self, other: "Predicate") -> "Predicate":
-        return self._join(other, self.column & other.column)
+        return self._join(other, self.column & other.column, self.test & other.test)
 
     def __or__(self, other: "Predicate") -> "Predicate":
-        return self._join(other, self.column | other.column)
+        return self._join(other, self.column | other.column, self.test | other.test)
 
     def __invert__(self) -> "Predicate":
         return Predicate(~self.column, self.child, self.any_child)
@@ -46,7 +53,7 @@ class Predicate:
 
 def holds(condition: Column, child: bool = False) -> Predicate:
     """Any Column as a leaf, two-valued."""
-    return Predicate(F.coalesce(condition, F.lit(False)), child)
+    return Predicate(F.coalesce(condition, F.lit(False)), child, {}, condition)
 
 
 def compare(mine: Column, op: str, other: Column | float) -> Column:

@@ -26,6 +26,7 @@ def ranked(
     rank: str | None = "rank",
     before: dict[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add a 1-based ``rank`` in each group and, per ``before`` entry, the sum
     of that column over the group's earlier rows.
@@ -33,11 +34,14 @@ def ranked(
     ``order`` has to be total. An ordinary group is one window partition. Where
     any group is hot, or there are no groups at all, rows are range-partitioned
     by (group, order), so a hot group covers many partitions; each partition
-    numbers its own rows and small per-partition totals shift them.
+    numbers its own rows and small per-partition totals shift them. A caller
+    that knows its group sizes says so in ``hot`` and saves the count.
     """
     before = before or {}
     by = list(by)
-    if by and not _has_hot_group(df, by, hot_rows):
+    if hot is None:
+        hot = bool(by) and _has_hot_group(df, by, hot_rows)
+    if by and not hot:
         w = Window.partitionBy(*by).orderBy(*order)
         earlier = w.rowsBetween(Window.unboundedPreceding, -1)
         out = df
