@@ -183,3 +183,26 @@ OWN_BINDING = {
     "updatedAt": "Updated",
 }
 FILLED_FIELDS = ["setName", "rarity", "language"]
+
+# --- fixed values: languages a label's last piece may name --------------------
+LABEL_LANGS = [
+    "ar",
+    "de",
+    "dw",
+    "en",
+    "es",
+    "fr",
+    "grc",
+    "he",
+    "it",
+    "ja",
+    "ko",
+    "la",
+    "ph",
+    "pt",
+    "qya",
+    "ru",
+    "sa",
+    "zhs",
+    "zht",
+]

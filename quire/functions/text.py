@@ -18,7 +18,8 @@ except ImportError:  # pragma: no cover
 _HANGUL = (0xAC00, 0xD7A3)
 
 
-def _bare(text: str) -> str:
+def bare(text: str) -> str:
+    """A driver-side text decomposed and stripped of its marks."""
     opened = unicodedata.normalize("NFD", text)
     if _MARK is not None:
         return _MARK.sub("", opened)
@@ -35,16 +36,16 @@ def _unaccent_tables() -> tuple[str, str, list[tuple[str, str]]]:
         if 0xD800 <= point <= 0xDFFF or _HANGUL[0] <= point <= _HANGUL[1]:
             continue
         char = chr(point)
-        bare = _bare(char)
-        if bare == char:
+        plain = bare(char)
+        if plain == char:
             continue
-        if not bare:
+        if not plain:
             gone.append(char)
-        elif len(bare) == 1:
+        elif len(plain) == 1:
             source.append(char)
-            target.append(bare)
+            target.append(plain)
         else:
-            several.append((char, bare))
+            several.append((char, plain))
     # `translate` drops what has no counterpart, so deletions go last. The two
     # ASCII marks of the same class go with them.
     return "".join(source) + "".join(gone) + "^`", "".join(target), several
@@ -175,8 +176,8 @@ def words(text: Column) -> Column:
     """Lower-case words of a passage, code and punctuation dropped."""
     open_code = F.regexp_replace(text, "(?s)```.*?```", " ")
     open_code = F.regexp_replace(open_code, "`[^`]*`", " ")
-    bare = F.trim(F.regexp_replace(F.lower(open_code), "[^a-z0-9]+", " "))
-    return F.filter(F.split(bare, " "), lambda w: w != "")
+    plain = F.trim(F.regexp_replace(F.lower(open_code), "[^a-z0-9]+", " "))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def describe_print(set_name: Column, set_code: Column, number: Column, *more: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["search", "aggregates", "collection"]
+MODULES = ["search", "aggregates", "collection", "joins", "similarity"]
 
 
 def registry() -> dict:

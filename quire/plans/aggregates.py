@@ -386,7 +386,7 @@ def child_masks(spark: SparkSession, root: str) -> DataFrame:
     bit = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
     return orders.groupBy("o_custkey").agg(
         F.bit_or(bit).cast("long").alias("statuses"),
-        F.bit_or(F.expr("shiftleft(1, level)")).cast("long").alias("levels"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("level"))).cast("long").alias("levels"),
         F.count(F.lit(1)).alias("orders"),
         F.sum(F.bit_count(bit)).cast("long").alias("ways"),
     ).withColumn("held", F.bit_count("levels").cast("long"))
