@@ -95,7 +95,7 @@ MAX_LINE_BYTES = 1 << 20
 KEEP_NEAREST = 5
 APART = 65
 SURE_MARGIN = 4
-HASH_INSETS = 4
+HASH_INSETS = [0.0, 0.03, 0.06, 0.09]
 HASH_MIX = 0x9E3779B97F4A7C15
 PROBE_SIZE = (64, 48)
 
