@@ -14,17 +14,28 @@ from .folding import fold_best, gate_outcome, shape_counts
 from .ranking import common_first, common_first_array, number_by_first_seen, number_rows, run_offsets
 from .sizes import maybe_broadcast
 
-RAW_SCHEMA = T.StructType.fromDDL(
-    "id string, oracle_id string, name string, printed_name string, printed_type_line string, printed_text string,"
-    "lang string, released_at string, layout string, `set` string, set_name string, set_type string,"
-    "collector_number string, rarity string, mana_cost string, cmc float, type_line string, oracle_text string,"
-    "colors array<string>, color_identity array<string>, power string, toughness string, loyalty string,"
-    "defense string, keywords array<string>, legalities map<string,string>, games array<string>,"
-    "finishes array<string>, digital boolean, promo boolean, reprint boolean, variation boolean, oversized boolean,"
-    "booster boolean, full_art boolean, textless boolean, reserved boolean, border_color string, frame string,"
-    "artist string, illustration_id string, flavor_text string, image_status string, card_faces string,"
-    "prices struct<usd:string,usd_foil:string,usd_etched:string,eur:string,eur_foil:string,eur_etched:string,tix:string>,"
-    "edhrec_rank int, game_changer boolean"
+_TEXT = [
+    "id", "oracle_id", "name", "printed_name", "printed_type_line", "printed_text", "lang", "released_at", "layout",
+    "set", "set_name", "set_type", "collector_number", "rarity", "mana_cost", "type_line", "oracle_text", "power",
+    "toughness", "loyalty", "defense", "border_color", "frame", "artist", "illustration_id", "flavor_text",
+    "image_status", "card_faces",
+]
+_LISTS = ["colors", "color_identity", "keywords", "games", "finishes"]
+_FLAGS = [
+    "digital", "promo", "reprint", "variation", "oversized", "booster", "full_art", "textless", "reserved", "game_changer",
+]
+_PRICES = ["usd", "usd_foil", "usd_etched", "eur", "eur_foil", "eur_etched", "tix"]
+# Faces are irregular and stay JSON text until something reads them.
+RAW_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in _TEXT]
+    + [T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS]
+    + [T.StructField(c, T.BooleanType()) for c in _FLAGS]
+    + [
+        T.StructField("cmc", T.FloatType()),
+        T.StructField("edhrec_rank", T.IntegerType()),
+        T.StructField("legalities", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("prices", T.StructType([T.StructField(c, T.StringType()) for c in _PRICES])),
+    ]
 )
 REQUIRED = [
     "id", "name", "lang", "released_at", "layout", "set", "set_name", "set_type", "collector_number", "rarity",

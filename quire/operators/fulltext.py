@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import bare, strip_marks
+from .sizes import spread
 
 # --- fixed values: BM25 -------------------------------------------------------
 K1 = 1.2
@@ -50,7 +51,7 @@ def search_text(docs: DataFrame, key: str, text: str, query: str, keep: Sequence
     needs of the collection is one row of sums.
     """
     wanted = [pieces for pieces in map(_pieces, query.split()) if pieces]
-    listed = docs.select(key, *keep, tokens(F.col(text)).alias("_t"))
+    listed = spread(docs.select(key, *keep, text)).select(key, *keep, tokens(F.col(text)).alias("_t"))
     if not wanted:
         return listed.limit(0).select(key, *keep, F.lit(0.0).alias("score"))
 

@@ -6,22 +6,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import RUN_WORDS
 from ..functions.text import words
-from .sizes import maybe_broadcast
+from ..session import materialize
+from .sizes import maybe_broadcast, spread
 
 
-def _runs(list_: Column, run: int) -> Column:
-    """Every run of ``run`` words with where it starts."""
+def _starts(list_: Column, run: int) -> Column:
     last = F.size(list_) - run
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts, lambda at: F.struct(at.alias("start"), F.array_join(F.slice(list_, at + 1, run), " ").alias("phrase"))
-    )
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _phrase(list_: Column, at: Column, run: int) -> Column:
+    return F.array_join(F.slice(list_, at + 1, run), " ")
 
 
 def word_runs(docs: DataFrame, key: str, text: str, run: int = RUN_WORDS) -> DataFrame:
     """(key, start, phrase) for every run of words of every text."""
-    listed = docs.select(key, words(F.col(text)).alias("_words"))
-    return listed.select(key, F.explode(_runs(F.col("_words"), run)).alias("_r")).select(key, "_r.start", "_r.phrase")
+    return _listed_runs(_listed(docs, key, text), key, run)
+
+
+def _listed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return spread(docs.select(key, text)).select(key, words(F.col(text)).alias("_words"))
+
+
+def _listed_runs(listed: DataFrame, key: str, run: int) -> DataFrame:
+    each = F.transform(
+        _starts(F.col("_words"), run),
+        lambda at: F.struct(at.alias("start"), _phrase(F.col("_words"), at, run).alias("phrase")),
+    )
+    return listed.select(key, F.explode(each).alias("_r")).select(key, "_r.start", "_r.phrase")
+
+
+def _hashed_runs(listed: DataFrame, key: str, run: int) -> DataFrame:
+    """(key, hash): the runs as words of eight bytes, which is all a first pass
+    has to shuffle; equal hashes are only a reason to look."""
+    each = F.transform(_starts(F.col("_words"), run), lambda at: F.xxhash64(_phrase(F.col("_words"), at, run)))
+    return listed.select(key, F.explode(F.array_distinct(each)).alias("hash"))
 
 
 def first_seen_phrases(runs: DataFrame, key: str) -> DataFrame:
@@ -58,11 +77,15 @@ def repeated_from(docs: DataFrame, sources: DataFrame, key: str, text: str, sour
 def repeated_within(docs: DataFrame, key: str, text: str, run: int = RUN_WORDS) -> DataFrame:
     """Passages each text repeats from an earlier one of the same collection.
 
-    Only phrases at least two texts hold can hit, so the rest are dropped
-    before the join.
+    A first pass finds, by hash, the runs more than one text holds. Only those
+    are carried as words, and they alone decide which text held each phrase
+    first, so a hash two phrases share changes nothing.
     """
-    runs = word_runs(docs, key, text, run)
-    seen = runs.groupBy("phrase").agg(F.min(key).alias("source"), F.max(key).alias("_last"))
-    shared = seen.filter(F.col("_last") > F.col("source")).drop("_last")
-    hits = runs.join(shared, "phrase").filter(F.col(key) != F.col("source")).select(key, "start", "source")
+    listed = materialize(_listed(docs, key, text), "words")
+    seen = _hashed_runs(listed, key, run).groupBy("hash").agg(F.min(key).alias("_a"), F.max(key).alias("_z"))
+    shared = materialize(seen.filter("_z > _a").select("hash"), "shared")
+    runs = _listed_runs(listed, key, run)
+    held = runs.withColumn("hash", F.xxhash64("phrase")).join(maybe_broadcast(shared), "hash", "left_semi").drop("hash")
+    first = first_seen_phrases(held, key)
+    hits = held.join(first, "phrase").filter(F.col(key) != F.col("source")).select(key, "start", "source")
     return merge_spans(hits, key, run)

@@ -21,3 +21,13 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     splits skewed partitions at run time.
     """
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits to all the cores there are.
+
+    A table of many files or row groups is left as it is, so nothing large is
+    ever shuffled for it; one small file with heavy work on each row is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import masks, text as tx
 from ..operators import folding, ranking
 from ..operators.sizes import maybe_broadcast
-from .tables import table
+from .tables import spread_table, table
 
 
 def _day(column: str) -> Column:
@@ -31,7 +31,7 @@ SELECT event_id, position, event_type FROM events JOIN d USING (event_type)
 
 def array_dictionary(spark: SparkSession, root: str) -> DataFrame:
     """Every word of every document in a commonest-first dictionary."""
-    docs = table(spark, root, "documents").select(tx.words(F.col("text")).alias("words"))
+    docs = spread_table(spark, root, "documents", "text").select(tx.words(F.col("text")).alias("words"))
     return ranking.common_first_array(docs, "words").select("position", F.col("value").alias("word"), "uses")
 
 

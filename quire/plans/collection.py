@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.values import iso_text
 from ..operators import ranking, stacks
-from .tables import table
+from .tables import spread_table, table
 
 
 def _lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines as stacks of copies: identity by part, flag, status and ship place."""
-    line = table(spark, root, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_shipdate", "l_suppkey"
+    line = spread_table(
+        spark, root, "lineitem",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_shipdate", "l_suppkey",
     )
     nothing = F.lit(None).cast("string")
     return line.withColumns(

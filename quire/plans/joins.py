@@ -58,13 +58,13 @@ def catalog_joins(spark: SparkSession, root: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice", "l_suppkey"
     )
     part = table(spark, root, "part").filter(F.col("p_type") != "PROMO").select(
-        F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("set_code"), F.col("p_size").cast("string").alias("number")
+        F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("set_code"), tx.natural_key(F.col("p_size").cast("string")).alias("number_key")
     )
     held = line.join(part, "l_partkey", "left")
     order = [
         F.col("set_code").isNull().asc(),
         F.asc("set_code"),
-        tx.natural_key(F.col("number")).asc(),
+        F.asc("number_key"),
         F.when(F.col("set_code").isNotNull(), F.col("l_returnflag")).asc(),
         F.when(F.col("set_code").isNotNull(), F.col("l_linestatus")).asc(),
         F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_extendedprice"), F.asc("l_suppkey"),

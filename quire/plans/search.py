@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import costs, masks, text as tx
 from ..operators import find, predicates as p, ranking
-from .tables import table
+from .tables import spread_table, table
 
 TYPES = ["STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO"]
 PRIORITIES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH"]
@@ -152,7 +152,7 @@ FROM m
 
 def symbol_multiset(spark: SparkSession, root: str) -> DataFrame:
     """Documents by how their word counts compare with a small multiset."""
-    docs = table(spark, root, "documents").select("doc_id", "text", "lang")
+    docs = spread_table(spark, root, "documents", "doc_id", "text", "lang")
     held = docs.withColumn("counts", costs.symbol_counts(F.filter(tx.words(F.col("text")), lambda w: w.isin("the", "of", "le", "la", "und", "que"))))
 
     def vs(op: str, wanted: dict[str, float]) -> Column:
@@ -374,7 +374,7 @@ def _orders_sql() -> str:
 
 def normalize_names(spark: SparkSession, root: str) -> DataFrame:
     """Whole documents normalised, as a length and a digest of the result."""
-    docs = table(spark, root, "documents").select("doc_id", "text")
+    docs = spread_table(spark, root, "documents", "doc_id", "text")
     plain = tx.normalize_text(F.col("text"))
     return docs.select("doc_id", F.length(plain).cast("long").alias("chars"), F.md5(plain.cast("binary")).alias("digest"))
 
