@@ -12,7 +12,7 @@ from ..functions import masks, shapes
 from ..session import materialize
 from .folding import fold_best, gate_outcome, shape_counts
 from .ranking import common_first, common_first_array, number_by_first_seen, number_rows, run_offsets
-from .sizes import maybe_broadcast
+from .sizes import checked, maybe_broadcast
 
 _TEXT = [
     "id", "oracle_id", "name", "printed_name", "printed_type_line", "printed_text", "lang", "released_at", "layout",
@@ -83,7 +83,7 @@ def accept_in_order(df: DataFrame, order: Sequence[str], keys: Sequence[Sequence
     clashing = []
     for names in keys:
         many = grouped(rows, names, F.count(F.lit(1)), "_n").filter("_n > 1").drop("_n")
-        clashing.append(rows.join(maybe_broadcast(many), list(names), "left_semi").select("_at"))
+        clashing.append(rows.join(checked(many), list(names), "left_semi").select("_at"))
     clash = materialize(reduce(lambda a, b: a.union(b), clashing).distinct(), "clash")
     if clash.isEmpty():
         return df

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import bare, strip_marks
+from ..session import materialize
 from .sizes import spread
 
 # --- fixed values: BM25 -------------------------------------------------------
@@ -56,7 +57,8 @@ def search_text(docs: DataFrame, key: str, text: str, query: str, keep: Sequence
         return listed.limit(0).select(key, *keep, F.lit(0.0).alias("score"))
 
     hits = {f"_f{i}": _occurrences(F.col("_t"), pieces) for i, pieces in enumerate(wanted)}
-    counted = listed.select(key, *keep, F.size("_t").alias("_d"), *[c.alias(n) for n, c in hits.items()])
+    # A few numbers a row, written once: the texts are read and cut up once.
+    counted = materialize(listed.select(key, *keep, F.size("_t").alias("_d"), *[c.alias(n) for n, c in hits.items()]), "hits")
     stats = counted.agg(
         F.count(F.lit(1)).alias("_rows"),
         F.avg("_d").alias("_avg"),

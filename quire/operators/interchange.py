@@ -280,9 +280,10 @@ def loss_report(stacks: DataFrame, format_: Format) -> DataFrame:
     )
 
 
-def export_cells(rows: DataFrame, format_: Format, places: DataFrame | None = None, english: bool = False) -> DataFrame:
+def export_cells(rows: DataFrame, format_: Format, english: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One output cell a column of the format, from rows holding the stack, its
-    printing's facts (null where unknown) and one lot."""
+    printing's facts (null where unknown) and one lot; ``place`` is the name of
+    the container, where the format has a column for it."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
     lang = F.coalesce(F.col("lang"), F.lit(""))
@@ -314,5 +315,6 @@ def export_cells(rows: DataFrame, format_: Format, places: DataFrame | None = No
     }
     by_column = {c: f for f, c in format_.binding.items()}
     return rows.select(
+        *keep,
         *[(cells[by_column[c]] if c in by_column else F.lit("")).alias(c) for c in format_.columns]
     )

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .sizes import maybe_broadcast
-
 
 def print_key(set_code: Column, number: Column) -> Column:
     return F.lower(F.concat(set_code, F.lit("/"), number))
@@ -16,7 +14,7 @@ def print_key(set_code: Column, number: Column) -> Column:
 def locate(keys: DataFrame, prints: DataFrame, key: str, set_code: str, number: str, value: str, order: str) -> DataFrame:
     """Which printing each set/number key names; of several, the last in order."""
     named = prints.groupBy(print_key(F.col(set_code), F.col(number)).alias(key)).agg(F.max_by(value, order).alias(value))
-    return named.join(maybe_broadcast(keys.select(key).distinct()), key, "left_semi")
+    return named.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def missing(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:

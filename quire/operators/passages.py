@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import RUN_WORDS
 from ..functions.text import words
 from ..session import materialize
-from .sizes import maybe_broadcast, spread
+from .sizes import checked, maybe_broadcast, spread
 
 
 def _starts(list_: Column, run: int) -> Column:
@@ -70,7 +70,7 @@ def repeated_from(docs: DataFrame, sources: DataFrame, key: str, text: str, sour
     Where the phrases are few enough to ship, the runs never leave their task.
     """
     seen = first_seen_phrases(word_runs(sources, source_key, source_text, run), source_key)
-    hits = word_runs(docs, key, text, run).join(maybe_broadcast(seen), "phrase").select(key, "start", "source")
+    hits = word_runs(docs, key, text, run).join(checked(seen), "phrase").select(key, "start", "source")
     return merge_spans(hits, key, run)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
+
 # Rows a side may hold and still be shipped to every executor. With the row
 # widths used here (ids, hashes, short words) that stays near 64 MB.
 BROADCAST_ROWS = 500_000
@@ -23,6 +25,12 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same for a side that is work to come by: written once, so the check
+    and the join do not each compute it."""
+    return maybe_broadcast(materialize(df, "side"), rows)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few splits to all the cores there are.
 

@@ -153,7 +153,7 @@ def assign_bins(
         placed = folded if placed is None else placed.unionByName(folded)
     placed = placed.select(F.col("_key").alias("_pk"), F.col("_o").alias("_po"), "bin")
     # (identity, order) is unique, so a hot identity spreads over this join.
-    joined = df.join(placed, (F.col(identity) == F.col("_pk")) & (F.col(order) == F.col("_po")), "left")
+    joined = df.join(placed, F.col(identity).eqNullSafe(F.col("_pk")) & F.col(order).eqNullSafe(F.col("_po")), "left")
     return joined.select(*df.columns, F.coalesce("bin", F.lit(0).cast("long")).alias("bin"))
 
 
@@ -221,6 +221,24 @@ def collapse(
     return merge_bins(placed, [identity, "bin"], order, quantity, lots, **columns)
 
 
+def _two_sides(
+    incoming: DataFrame, held: DataFrame, identity: str, order: str, quantity: str
+) -> tuple[DataFrame, DataFrame]:
+    """Held and incoming stacks in one shape and one order: all that is held,
+    by its own whole-number order, then what comes in, by any order it has."""
+    kind = incoming.schema[order].dataType.simpleString()
+    ours = F.struct(
+        F.lit(0).alias("side"), F.col(order).cast("long").alias("held"), F.lit(None).cast(kind).alias("at")
+    )
+    theirs = F.struct(F.lit(1).alias("side"), F.lit(None).cast("long").alias("held"), F.col(order).cast(kind).alias("at"))
+    return (
+        held.select(identity, "held_id", quantity, ours.alias("_at")),
+        incoming.select(
+            identity, F.lit(None).cast(held.schema["held_id"].dataType).alias("held_id"), quantity, theirs.alias("_at")
+        ),
+    )
+
+
 def reconcile(
     imported: DataFrame,
     held: DataFrame,
@@ -236,15 +254,9 @@ def reconcile(
     imported row joins the first stack with room. ``held_id`` names the record
     joined, or is null for a new one.
     """
-    ours = held.select(identity, F.col("held_id"), F.col(quantity), F.struct(F.lit(0).alias("side"), F.col(order).cast("long").alias("at")).alias("_at"))
-    theirs = imported.select(
-        identity,
-        F.lit(None).cast(held.schema["held_id"].dataType).alias("held_id"),
-        F.col(quantity),
-        F.struct(F.lit(1).alias("side"), F.col(order).cast("long").alias("at")).alias("_at"),
-    )
+    ours, theirs = _two_sides(imported, held, identity, order, quantity)
     # Only identities the import names can change.
-    near = ours.join(maybe_broadcast(imported.select(identity).distinct()), identity, "left_semi")
+    near = ours.join(imported.select(identity).distinct(), identity, "left_semi")
     rows = near.unionByName(theirs)
     placed = assign_bins(rows, identity, "_at", F.col(quantity), F.lit(0), policy, F.col("_at.side") == 0, copies)
     steps = placed.groupBy(identity, "bin").agg(
@@ -273,16 +285,10 @@ def landing(
 ) -> DataFrame:
     """The collection with waiting copies laid over it, never written: each
     identity's first stack takes what fits, the rest stand on their own."""
-    ours = held.select(identity, "held_id", F.col(quantity), F.struct(F.lit(0).alias("side"), F.col(order).cast("long").alias("at")).alias("_at"))
+    ours, theirs = _two_sides(waiting, held, identity, order, quantity)
     lead = ours.groupBy(identity).agg(F.min("_at").alias("_lead"))
     near = waiting.select(identity).distinct()
-    first = ours.join(lead.join(near, identity, "left_semi"), identity).filter(F.col("_at") == F.col("_lead")).drop("_lead")
-    theirs = waiting.select(
-        identity,
-        F.lit(None).cast(held.schema["held_id"].dataType).alias("held_id"),
-        F.col(quantity),
-        F.struct(F.lit(1).alias("side"), F.col(order).cast("long").alias("at")).alias("_at"),
-    )
+    first = ours.join(lead.join(near, identity, "left_semi"), identity).filter(F.col("_at").eqNullSafe(F.col("_lead"))).drop("_lead")
     placed = assign_bins(
         first.unionByName(theirs), identity, "_at", F.col(quantity), F.lit(0), "only", F.col("_at.side") == 0, copies, add_lots=False
     )

@@ -62,14 +62,12 @@ def csv_line(columns: Sequence[Column]) -> Column:
     return F.concat_ws(",", *[csv_field(c) for c in columns])
 
 
-def write_csv(df: DataFrame, path: str, header: Sequence[str], order: Sequence[Column] = ()) -> None:
+def write_csv(df: DataFrame, path: str, header: Sequence[str], order: str) -> None:
     """Text files that read one after another are the CSV: header first, LF
-    endings, rows in order across files."""
+    endings, rows by the ``order`` column, which is not written."""
     spark = df.sparkSession
-    rows = df.select(F.lit(1).alias("_part"), *[F.col(c).cast("string").alias(c) for c in df.columns])
-    keys = [F.asc("_part"), *order]
-    head = csv_line([F.lit(h) for h in header])
-    blank = spark.range(1).select(F.lit(0).alias("_part"), *[F.lit(None).cast("string").alias(c) for c in df.columns])
-    both = blank.unionByName(rows).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    line = F.when(F.col("_part") == 0, head).otherwise(csv_line([F.col(c) for c in df.columns]))
-    both.select(line.alias("value")).write.text(path)
+    rows = df.select(F.lit(1).alias("_part"), F.col(order).alias("_key"), csv_line([F.col(c).cast("string") for c in df.columns if c != order]).alias("value"))
+    none = F.lit(None).cast(df.schema[order].dataType)
+    head = spark.range(1).select(F.lit(0).alias("_part"), none.alias("_key"), csv_line([F.lit(h) for h in header]).alias("value"))
+    keys = [F.asc("_part"), F.asc("_key")]
+    head.unionByName(rows).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.text(path)

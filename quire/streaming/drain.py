@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..constants import MAX_COPIES
 from ..operators.sizes import maybe_broadcast
 from ..operators.stacks import reconcile
-from ..constants import MAX_COPIES
+from ..session import materialize
 from .tables import newest, read_batches, write_batch
 
 PART = "part_key string, digest string, position bigint, identity string, quantity bigint"
@@ -15,8 +16,11 @@ APPLIED = "part_key string"
 
 
 def collection(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The stacks as they stand."""
-    return newest(read_batches(spark, f"{root}/stacks", STATE, before), ["held_id"]).select("identity", "held_id", "quantity", "at")
+    """The stacks as they stand. Grouped by identity as well, so a join on it
+    narrows the changes before they are folded."""
+    return newest(read_batches(spark, f"{root}/stacks", STATE, before), ["identity", "held_id"]).select(
+        "identity", "held_id", "quantity", "at"
+    )
 
 
 def applied(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
@@ -35,8 +39,9 @@ def pending(parts: DataFrame, done: DataFrame, cancelled: DataFrame | None = Non
 def drain_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, cancelled: DataFrame | None = None, copies: int = MAX_COPIES) -> None:
     """Apply one batch of parts: the records it touches, then the parts it
     retired, both under the batch's number. Replaying it rewrites the same."""
-    parts = pending(batch, applied(spark, root, number), cancelled)
-    entries = parts.select("identity", "quantity", F.xxhash64("part_key", "position").alias("at"))
+    # Written once: the plan, the records and the retired keys all read it.
+    parts = materialize(pending(batch, applied(spark, root, number), cancelled), "parts")
+    entries = parts.select("identity", "quantity", F.struct("part_key", "position").alias("at"))
     steps = reconcile(entries, collection(spark, root, number), "identity", "at", copies=copies, policy="last")
     fresh = F.concat(F.lit("new:"), F.col("identity"), F.lit(f":{number}:"), F.col("bin").cast("string"))
     changed = steps.select(

@@ -66,9 +66,9 @@ def test_csv_lines(spark, tmp_path, at, hot):
 
 
 def test_csv_writes_what_it_reads(spark, tmp_path):
-    rows = [("1", 'a "b"', "x,y"), ("2", "two\nlines", ""), ("3", " spaced ", None)]
-    df = spark.createDataFrame(rows, "k string, a string, b string")
-    csv_lined.write_csv(df, str(tmp_path / "out"), ["K", "A", "B"], [F.asc("k")])
+    rows = [(2, "2", "two\nlines", ""), (1, "1", 'a "b"', "x,y"), (3, "3", " spaced ", None)]
+    df = spark.createDataFrame(rows, "at int, k string, a string, b string")
+    csv_lined.write_csv(df, str(tmp_path / "out"), ["K", "A", "B"], "at")
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text == 'K,A,B\n1,"a ""b""","x,y"\n2,"two\nlines",\n3, spaced ,\n'
 
