@@ -67,7 +67,7 @@ def read_import(
     """(stacks, skipped) of vendor files. ``prints``: (id, set_code,
     collector_number, finishes, seq) answers rows named by set and number, and
     which finishes exist."""
-    records = csv_lined.scan_csv_lined(spark, path)
+    records = materialize(csv_lined.scan_csv_lined(spark, path), "records")
     heads = csv_lined.header_of(records)
     lacking = heads.withColumn("missing", ix.missing_columns(F.col("head"), format_)).filter("missing <> ''")
     whole = heads.join(lacking.select("file"), "file", "left_anti")

@@ -8,8 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import RARITIES
-from ..functions.text import natural_key, normalize_text
-from .predicates import Predicate, lenient_number
+from ..functions.text import kind_key, natural_key, normalize_text, spaced_words
+from . import fulltext
+from .predicates import Predicate, lenient_number, within_scope
 
 
 def _with_flags(children: DataFrame, pred: Predicate, key: str) -> DataFrame:
@@ -127,3 +128,59 @@ def order_keys(order: str, name: str = "name", key: str = "id", reverse: bool =
     keys = [(builders[order](), falling)] if order in builders else []
     keys += [(F.col(name), False), (F.col(key), False)]
     return [c.desc() if down != reverse else c.asc() for c, down in keys]
+
+
+def search_cards(
+    cards: DataFrame,
+    prints: DataFrame,
+    query: str,
+    key: str = "oracle_id",
+    grouped: bool = True,
+    tokens: bool = True,
+    art_series: bool = True,
+    limit: int = 20,
+) -> DataFrame:
+    """Full-text name search: one row a card with its representative printing,
+    or every paper printing in published order. An exact name goes first, then
+    kinds in order, then the better score.
+
+    ``cards``: key, name, names (all printed ones in one text), kind, paper,
+    default_print; ``prints``: key, id, digital, seq.
+    """
+    hits = fulltext.search_text(cards, key, "names", query, keep=["name", "kind", "paper", "default_print"])
+    wanted = F.col("paper")
+    if not tokens:
+        wanted = wanted & (F.col("kind") != 1)
+    if not art_series:
+        wanted = wanted & (F.col("kind") != 2)
+    hits = hits.filter(wanted)
+    if grouped:
+        rows = hits.join(prints.withColumnRenamed(key, "_owner"), F.col("default_print") == F.col("id"))
+    else:
+        rows = hits.join(prints.filter(~F.col("digital")), key)
+    exact = (F.lower("name") == F.lower(F.lit(query.strip()))).cast("int").alias("exact")
+    last = [] if grouped else [F.asc("seq")]
+    ranked = rows.select(key, "name", "kind", F.round("score", 9).alias("score"), "id", "seq", exact)
+    return ranked.orderBy(F.desc("exact"), F.asc("kind"), F.asc("score"), *last, F.asc(key), F.asc("id")).limit(limit)
+
+
+def narrow_sets(sets: DataFrame, text: str, code: str = "set_code", name: str = "set_name", kind: str = "set_type") -> DataFrame:
+    """Sets by name, by code, or by what they are in either spelling."""
+    wanted = text.strip().lower()
+    if not wanted:
+        return sets
+    return sets.filter(
+        F.contains(F.lower(name), F.lit(wanted))
+        | F.contains(F.col(code), F.lit(wanted))
+        | F.contains(spaced_words(F.col(kind)), F.lit(wanted))
+        | F.contains(F.col(kind), kind_key(F.lit(wanted)))
+    )
+
+
+def place_contents(stacks: DataFrame, prints: DataFrame, place: str | None, text: str = "") -> DataFrame:
+    """What one place holds, by shown name: the printing's name, or its id
+    where the catalog does not know it."""
+    rows = stacks.filter(within_scope(place).column).join(prints, "printing", "left")
+    shown = rows.withColumn("shown", F.coalesce("name", "printing"))
+    wanted = text.strip().lower()
+    return shown.filter(F.contains(F.lower("shown"), F.lit(wanted))) if wanted else shown

@@ -113,6 +113,20 @@ def run_offsets(df: DataFrame, order: Sequence[Column], length: str, name: str =
     return ranked(df, [], order, rank=None, before={name: F.col(length).cast("long")})
 
 
+# A table this short is numbered by one task sooner than by many.
+SMALL_ROWS = 200_000
+
+
+def number_dictionary(df: DataFrame, order: Sequence[Column], name: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """:func:`number_rows` for what an aggregate left, which is mostly short:
+    written once, counted, and numbered by one task only where that is proven
+    little work."""
+    held = materialize(df, "dictionary")
+    if held.count() <= small_rows:
+        return held.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return number_rows(held, order, name)
+
+
 def best_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], keep: int = 1) -> DataFrame:
     """The first ``keep`` rows of each group.
 
@@ -134,7 +148,7 @@ def common_first(df: DataFrame, column: str, position: str = "position") -> Data
         .groupBy(F.col(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("uses"))
     )
-    numbered = number_rows(counted, [F.desc("uses"), F.asc("value")], position)
+    numbered = number_dictionary(counted, [F.desc("uses"), F.asc("value")], position)
     return numbered.withColumn(position, F.col(position) - 1)
 
 
@@ -153,5 +167,5 @@ def number_by_first_seen(
         .agg(F.min(F.struct(*order)).alias("_first"))
     )
     # Two values never share a first row, but a nested order needs a tie-break.
-    numbered = number_rows(first, [F.asc("_first"), F.asc(value)], name)
+    numbered = number_dictionary(first, [F.asc("_first"), F.asc(value)], name)
     return numbered.select(value, (F.col(name) - 1 + start).alias(name))

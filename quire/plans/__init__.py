@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["search", "aggregates", "collection", "joins", "similarity", "interchange", "ingest", "streams"]
+MODULES = ["search", "aggregates", "collection", "joins", "similarity", "interchange", "ingest", "streams", "lists"]
 
 
 def registry() -> dict:

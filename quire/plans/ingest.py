@@ -28,7 +28,7 @@ def bulk_scan(spark: SparkSession, root: str) -> DataFrame:
     path = fresh_path(spark, "bulk")
     events.repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.option("compression", "gzip").text(path)
     schema = T.StructType.fromDDL("event_id bigint, user_id bigint, event_type string, value double, k int")
-    good, rejects = jsonl.scan_json_lines(spark, path, schema, ["event_id", "user_id", "event_type", "value"], {"k is 13": F.col("row.k") == 13})
+    good, rejects = jsonl.scan_json_lines(spark, path, schema, ["event_id", "user_id", "event_type", "value"], {"k is 13": F.col("row.k") == 13}, splittable=False)
     kept = catalog.accept_in_order(materialize(good, "events"), ["file", "line"], [["user_id", "k", "event_type"], ["event_id"]])
     counted = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return kept.select(F.lit("row").alias("what"), F.col("event_id").alias("n"), "value").union(

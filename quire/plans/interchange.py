@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import clip, text as tx, values as v
 from ..operators import interchange as ix
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..sources import csv_lined
 from ..sources.images import luma_level
 from .tables import table
@@ -58,13 +58,13 @@ def csv_round_trip(spark: SparkSession, root: str) -> DataFrame:
     cells = ix.export_cells(stacks, ix.OWN, keep=["p_partkey"])
     path = fresh_path(spark, "csv")
     csv_lined.write_csv(cells, path, ix.OWN.columns, "p_partkey")
-    records = csv_lined.scan_csv_lined(spark, path)
+    records = materialize(csv_lined.scan_csv_lined(spark, path), "records")
     # The part files are one CSV between them; its header heads the first.
     heads = csv_lined.header_of(records).filter(ix.detect_format(F.col("head")) == "own")
     head = heads.select("head").limit(1)
     files = records.select("file").distinct().join(heads.select("file", "head_line"), "file", "left")
     heads = files.join(F.broadcast(head)).select("file", "head", F.coalesce("head_line", F.lit(0)).alias("head_line"))
-    judged = ix.judge_rows(ix.bind_columns(records, heads, ix.OWN), ix.OWN)
+    judged = materialize(ix.judge_rows(ix.bind_columns(records, heads, ix.OWN), ix.OWN), "judged")
     good = ix.stacks_of(judged.filter("reason is null"), "2026-01-01T00:00:00.000Z").select(
         "printing", "finish", "quantity", "condition", F.array_join("tags", "|").alias("tags"), "note", "proxy",
         F.get("lots", F.lit(0))["price"].alias("price"), F.get("lots", F.lit(0))["at"].alias("at"), F.lit(None).cast("string").alias("reason"),

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.ranking import HOT_ROWS, ranked
-from .text_lines import numbered_lines
+from .text_lines import numbered_lines, split_sizes
 
 
 def split_record(record: Column) -> Column:
@@ -31,13 +31,15 @@ def scan_csv_lined(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) ->
     ended = F.concat("value", F.lit("\n"))
     # Each piece keeps its own ending, which matters inside quotes only.
     pieces = F.regexp_extract_all(ended, F.lit("([^\r\n]*(?:\r\n|\r|\n))"), F.lit(1))
-    # A carriage return that ended the line itself leaves no empty piece behind.
-    lines = numbered_lines(spark, path, pieces=pieces)
-    lines = lines.withColumn("value", F.when(F.col("line") == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
+    sizes = split_sizes(spark, path, pieces)
+    longest = sizes.groupBy("file").agg(F.sum("_n").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    hot = longest > hot_rows
+    lines = numbered_lines(spark, path, sizes, pieces)
+    lines = lines.withColumn("value", F.when(F.col("line") == 1, F.regexp_replace("value", "^\uFEFF", "")).otherwise(F.col("value")))
     quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long")
-    opened = ranked(lines, ["file"], [F.asc("line")], rank=None, before={"_quotes": quotes}, hot_rows=hot_rows)
-    starts = (F.col("_quotes") % 2 == 0).cast("long")
-    placed = ranked(opened.withColumn("_start", starts), ["file"], [F.asc("line")], rank=None, before={"_records": F.col("_start")}, hot_rows=hot_rows)
+    opened = ranked(lines, ["file"], [F.asc("line")], rank=None, before={"_quotes": quotes}, hot=hot)
+    starts = opened.withColumn("_start", (F.col("_quotes") % 2 == 0).cast("long"))
+    placed = ranked(starts, ["file"], [F.asc("line")], rank=None, before={"_records": F.col("_start")}, hot=hot)
     record = placed.withColumn("_record", F.col("_records") + F.col("_start"))
     whole = record.groupBy("file", "_record").agg(
         F.min("line").alias("line"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..constants import MAX_LINE_BYTES
-from .text_lines import numbered_lines
+from .text_lines import numbered_lines, split_sizes
 
 _CORRUPT = "_corrupt"
 
@@ -18,7 +18,7 @@ def scan_json_lines(
     schema: T.StructType,
     required: Sequence[str] = (),
     checks: dict[str, Column] | None = None,
-    splittable: bool = False,
+    splittable: bool = True,
     spread: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(good, rejects): typed rows with their file and line, and (file, line,
@@ -28,9 +28,9 @@ def scan_json_lines(
     wrong type or a failed check refuses the one line. A line over the limit
     or of broken text fails the whole read, as no file holding one is what it
     says it is. A gzip file is one split, so lines are spread over tasks
-    before they are parsed.
+    before they are parsed; ``splittable`` says the files are not compressed.
     """
-    lines = numbered_lines(spark, path, splittable)
+    lines = numbered_lines(spark, path, split_sizes(spark, path) if splittable else None)
     fatal = (F.octet_length("value") >= MAX_LINE_BYTES) | ~F.is_valid_utf8("value")
     where = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" is too long or not text"))
     lines = lines.withColumn("value", F.when(fatal, F.raise_error(where).cast("string")).otherwise(F.regexp_replace("value", "\r$", "")))
