@@ -16,13 +16,21 @@ from ..operators.ranking import HOT_ROWS, ranked
 from .text_lines import numbered_lines, split_sizes
 
 
+# Possessive loops: a field of any length is walked, never backed out of.
+_QUOTED = r'"((?:[^"]++|"")*+)(?:"|\z)'
+_FIELD = r',((?:[^",]++|"(?:[^"]++|"")*+(?:"|\z))*+)'
+
+
 def split_record(record: Column) -> Column:
     """A record's fields, unquoted."""
     # A leading comma gives every field, an empty one included, a comma before it.
-    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r'(?s),((?:[^",]|"(?:[^"]|"")*(?:"|$))*)'), F.lit(1))
-    return F.transform(
-        raw, lambda f: F.replace(F.regexp_replace(f, r'(?s)"((?:[^"]|"")*)("|$)', "$1"), F.lit('""'), F.lit('"'))
-    )
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_FIELD), F.lit(1))
+
+    def unquoted(field: Column) -> Column:
+        bare = F.replace(F.regexp_replace(field, _QUOTED, "$1"), F.lit('""'), F.lit('"'))
+        return F.when(F.contains(field, F.lit('"')), bare).otherwise(field)
+
+    return F.transform(raw, unquoted)
 
 
 def scan_csv_lined(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -45,7 +53,10 @@ def scan_csv_lined(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) ->
         F.min("line").alias("line"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "").alias("_text"),
     )
-    return whole.select("file", "line", split_record(F.regexp_replace("_text", "(\r\n|\r|\n)$", "")).alias("fields"))
+    # A quote nothing closes runs to the end of the file, its last ending too.
+    quoted = F.length("_text") - F.length(F.replace("_text", F.lit('"'), F.lit("")))
+    record = F.when(quoted % 2 == 0, F.regexp_replace("_text", "(\r\n|\r|\n)$", "")).otherwise(F.col("_text"))
+    return whole.select("file", "line", split_record(record).alias("fields"))
 
 
 def header_of(records: DataFrame) -> DataFrame:

@@ -54,6 +54,8 @@ TEXTS = [
     '﻿Name,Foil\n"q""",ab"c,d"e\n,,\n""\n',
     'a\n"one\n\n\ntwo",x\nshort\nlong,1,2,3\n',
     '"a""b""",""""\n"" ,"x"\n',
+    'a,"' + 'long ""field"", ' * 20000 + '"\n' + "plain " * 20000 + ",b\n",
+    'a,"never closed\n1,2\n',
 ]
 
 
