@@ -6,29 +6,36 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+def _cut(value: str | None, limit: int, clusters: int | None) -> str | None:
+    if value is None or (len(value) * 4 <= limit and clusters is None):
+        return value
+    import regex
+
+    end = count = size = 0
+    for found in regex.finditer(r"\X", value):
+        width = len(found.group().encode())
+        if size + width > limit or (clusters is not None and count >= clusters):
+            break
+        end, count, size = found.end(), count + 1, size + width
+    return value[:end]
+
+
 def clip_text(text: Column, limit: int, clusters: int | None = None) -> Column:
     """The longest prefix of whole grapheme clusters within ``limit`` bytes and
     ``clusters`` clusters."""
 
     @F.pandas_udf("string")
     def cut(values: pd.Series) -> pd.Series:
-        import regex
+        return values.map(lambda v: _cut(v, limit, clusters))
 
-        cluster = regex.compile(r"\X")
+    return cut(text)
 
-        def one(value):
-            if value is None:
-                return None
-            if len(value) * 4 <= limit and clusters is None:
-                return value
-            end = count = size = 0
-            for found in cluster.finditer(value):
-                width = len(found.group().encode())
-                if size + width > limit or (clusters is not None and count >= clusters):
-                    break
-                end, count, size = found.end(), count + 1, size + width
-            return value[:end]
 
-        return values.map(one)
+def clip_items(items: Column, limit: int) -> Column:
+    """Each string of an array so clipped."""
 
-    return cut(text)
+    @F.pandas_udf("array<string>")
+    def cut(values: pd.Series) -> pd.Series:
+        return values.map(lambda held: None if held is None else [_cut(v, limit, None) for v in held])
+
+    return cut(items)

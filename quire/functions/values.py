@@ -16,6 +16,7 @@ from ..constants import (
     TRUE_WORDS,
     WHEN_PATTERN,
 )
+from .clip import clip_items
 from .text import fold_key
 
 
@@ -72,25 +73,11 @@ def money_pair(amount: Column, currency: Column) -> Column:
     return F.coalesce(amount.rlike(MONEY_PATTERN) & currency.rlike(CURRENCY_PATTERN), F.lit(False))
 
 
-def clip_bytes(text: Column, limit: int) -> Column:
-    """The longest prefix of whole characters within ``limit`` bytes.
-
-    For text whose characters are each one cluster; ``clip_text`` keeps the
-    clusters of any text whole.
-    """
-    fits = F.filter(
-        F.sequence(F.lit(0), F.least(F.length(text), F.lit(limit))),
-        lambda n: F.octet_length(F.substr(text, F.lit(1), n)) <= limit,
-    )
-    cut = F.substr(text, F.lit(1), F.element_at(fits, -1))
-    return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
-
-
 def tags_of(flags: dict[str, Column], listed: Column) -> Column:
     """Flag columns that are set, then a comma list: trimmed, clipped,
     distinct, the first few."""
     marked = F.array_compact(F.array(*[F.when(flag_in(flags[t]), F.lit(t)) for t in FLAG_TAGS if t in flags]))
-    split = F.transform(F.split(F.coalesce(listed, F.lit("")), ","), lambda t: clip_bytes(F.trim(t), TAG_BYTES))
+    split = clip_items(F.transform(F.split(F.coalesce(listed, F.lit("")), ","), lambda t: F.trim(t)), TAG_BYTES)
     every = F.concat(marked, F.filter(split, lambda t: t != ""))
     return F.slice(F.array_distinct(every), 1, MAX_TAGS)
 

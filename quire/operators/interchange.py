@@ -13,12 +13,14 @@ from ..constants import (
     FLAG_TAGS,
     MAX_COPIES,
     NOTE_BYTES,
+    NOTE_GRAPHEMES,
     OWN_BINDING,
     UUID_PATTERN,
     VENDOR_BINDING,
     VENDOR_HEADER,
 )
 from ..functions import values as v
+from ..functions.clip import clip_text
 from ..functions.text import fold_key
 from .lookups import print_key
 
@@ -144,7 +146,7 @@ def stacks_of(rows: DataFrame, now: str) -> DataFrame:
         F.when(worth, F.upper(cell("marketCurrency"))).alias("marketCurrency"),
     )
     tags = v.tags_of({t: cell(t) for t in FLAG_TAGS}, cell("tags"))
-    note = v.clip_bytes(cell("note"), NOTE_BYTES)
+    note = clip_text(cell("note"), NOTE_BYTES, NOTE_GRAPHEMES)
     return rows.select(
         "file",
         "line",

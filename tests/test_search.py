@@ -117,6 +117,15 @@ def test_clip_keeps_clusters(spark):
     assert [r.c for r in df.select(clip.clip_text(F.col("t"), 100, 2).alias("c")).collect()] == ["éé", "á" * 2, "👩‍👩‍👧" * 2, "pl", None]
 
 
+def test_tags_are_clipped_whole_and_distinct(spark):
+    from quire.functions import values as v
+
+    listed = " signed ,," + "é" * 40 + "," + "👩‍👩‍👧" * 4 + "," + ",".join(f"t{i}" for i in range(40))
+    df = spark.createDataFrame([("yes", listed)], "s string, l string")
+    got = df.select(v.tags_of({"signed": F.col("s"), "altered": F.lit("no")}, F.col("l")).alias("t")).first().t
+    assert got[:3] == ["signed", "é" * 32, "👩‍👩‍👧" * 3] and len(got) == 32
+
+
 def test_nearest_over_many_blocks(spark, monkeypatch):
     import random
 
