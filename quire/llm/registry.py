@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, url_reputation
+from . import exact_dedup, simhash_grid, url_reputation
 from . import sql
 
 
@@ -31,7 +31,13 @@ def op3_exact_dedup(spark, root):
     return exact_dedup.groups(table(spark, root, "documents"))
 
 
+def op8_simhash_grid(spark, root):
+    found = simhash_grid.near_groups(table(spark, root, "documents"))
+    return found.select("doc_id", simhash_grid.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
     "op3_exact_dedup": (op3_exact_dedup, sql.EXACT_DEDUP),
+    "op8_simhash_grid": (op8_simhash_grid, None),
 }
