@@ -160,7 +160,7 @@ def runs(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, block:
     the leftmost if several. It depends on the window's content alone, so equal
     windows have equal anchors at equal offsets. Yields, block by block,
     (first window, last window, anchor's hash, hash of the whole run with its
-    anchor's place); windows that cross a row's border are in no run.
+    anchor's place, anchor's place after the first window's start); windows that cross a row's border are in no run.
     """
     n = len(symbols) - length + 1
     for low in range(0, max(n, 0), block):
@@ -178,4 +178,4 @@ def runs(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, block:
         a, b = np.flatnonzero(begins), np.flatnonzero(ends)
         if len(a):
             whole = mix(span(p, a, b + length) + mix(((anchor[a] - a).astype(_U) << _U(32)) + (b - a).astype(_U)))
-            yield a + low, b + low, keys[anchor[a]], whole
+            yield a + low, b + low, keys[anchor[a]], whole, anchor[a] - a

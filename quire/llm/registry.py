@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, simhash_grid, url_reputation
+from . import debruijn, exact_dedup, simhash_grid, url_reputation
 from . import sql
 
 
@@ -36,8 +36,18 @@ def op8_simhash_grid(spark, root):
     return found.select("doc_id", simhash_grid.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def covered_length(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def op9_debruijn(spark, root):
+    found = debruijn.remove(table(spark, root, "documents"))
+    return found.select("doc_id", "n_words", covered_length("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
     "op3_exact_dedup": (op3_exact_dedup, sql.EXACT_DEDUP),
+    "op9_debruijn": (op9_debruijn, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
 }
