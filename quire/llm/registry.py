@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import debruijn, exact_dedup, simhash_grid, url_reputation
+from . import debruijn, exact_dedup, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -40,6 +40,14 @@ def covered_length(spans: str):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
+def op4_suffix_dedup(spark, root):
+    found = suffix_dedup.remove(table(spark, root, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", covered_length("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_debruijn(spark, root):
     found = debruijn.remove(table(spark, root, "documents"))
     return found.select("doc_id", "n_words", covered_length("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,5 +57,6 @@ QUERIES = {
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
     "op3_exact_dedup": (op3_exact_dedup, sql.EXACT_DEDUP),
     "op9_debruijn": (op9_debruijn, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
 }

@@ -56,6 +56,7 @@ class Plan:
     keep_first: bool
     buckets: int
     unequal: int = UNEQUAL
+    lead: Callable | None = None  # (flat, places) -> the leading word there, to sample splitters from
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -153,6 +154,13 @@ def find_runs(plan: Plan, docs: DataFrame) -> DataFrame:
                     held.append([np.zeros(len(a), np.int8), anchor, whole, keys[row],
                                  (a - borders[row]).astype(np.int32), (b - borders[row]).astype(np.int32), at.astype(np.int8)])
                     count += len(a)
+                    if plan.lead:
+                        some = anchor % np.uint64(SAMPLED) == 0
+                        lead = plan.lead(flat, (a + at)[some])
+                        n = len(lead)
+                        yield from pack(_deal(lead, plan.buckets), [
+                            np.full(n, SAMPLE, np.int8), np.zeros(n, np.uint64), lead, np.zeros(n, np.int64),
+                            np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int8)])
                 if count >= HELD:
                     yield from _send(plan, [np.concatenate(c) for c in zip(*held)])
                     held, count = [], 0
@@ -290,8 +298,8 @@ def with_spans(docs: DataFrame, spans: DataFrame, others: bool = False) -> DataF
     return near.join(spans, "key", "left").unionByName(far.select("*", *empty))
 
 
-def plan_for(docs: DataFrame, read: Callable, length: int, gram: int, keep_first: bool, unequal: int = UNEQUAL) -> Plan:
-    return Plan(read, length, gram, keep_first, dealt(docs), unequal)
+def plan_for(docs: DataFrame, read: Callable, length: int, gram: int, keep_first: bool, unequal: int = UNEQUAL, lead=None) -> Plan:
+    return Plan(read, length, gram, keep_first, dealt(docs), unequal, lead)
 
 
 def covered(first, last, length: int) -> tuple[list[int], list[int]]:
