@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import debruijn, exact_dedup, simhash_grid, suffix_dedup, url_reputation
+from . import debruijn, decontaminate, exact_dedup, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -23,6 +23,14 @@ def page_outcomes(spark, root) -> DataFrame:
     return pages.join(labels, "doc_id").select("url", "bad")
 
 
+def op1_decontaminate(spark, root):
+    found = decontaminate.judge(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op2_url_reputation(spark, root):
     return url_reputation.judge(table(spark, root, "pages"), page_outcomes(spark, root)).drop("bound")
 
@@ -54,6 +62,7 @@ def op9_debruijn(spark, root):
 
 
 QUERIES = {
+    "op1_decontaminate": (op1_decontaminate, None),
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
     "op3_exact_dedup": (op3_exact_dedup, sql.EXACT_DEDUP),
     "op9_debruijn": (op9_debruijn, None),

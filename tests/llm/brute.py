@@ -72,3 +72,27 @@ def repeated_bytes(docs, size=100):
         kept = bytes(b for b, g in zip(data, gone) if not g)
         out[doc] = (len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
     return out
+
+
+def contamination(docs, items, window=13):
+    """{id: (n_words, n_hit, n_items, sha, contaminated)}."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    read = lambda text: word.findall((text or "").translate(ASCII))
+    held = {}
+    for item, text in items:
+        words = read(text)
+        n = min(window, len(words))
+        for i in range(len(words) - n + 1) if n else ():
+            held.setdefault(tuple(words[i : i + n]), set()).add(str(item))
+    sizes = {len(w) for w in held}
+    out = {}
+    for doc, text in docs:
+        words, hit, found = read(text), set(), set()
+        for n in sizes:
+            for i in range(len(words) - n + 1):
+                if (w := tuple(words[i : i + n])) in held:
+                    hit.update(range(i, i + n))
+                    found |= held[w]
+        sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out[doc] = (len(words), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(words))
+    return out
