@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import debruijn, decontaminate, exact_dedup, simhash_grid, suffix_dedup, url_reputation
+from . import debruijn, decontaminate, exact_dedup, packing, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -31,6 +31,17 @@ def op1_decontaminate(spark, root):
     )
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary, where the machine has it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_packing(spark, root):
+    return packing.pack(table(spark, root, "documents"), tokenizer_path())
+
+
 def op2_url_reputation(spark, root):
     return url_reputation.judge(table(spark, root, "pages"), page_outcomes(spark, root)).drop("bound")
 
@@ -65,6 +76,7 @@ QUERIES = {
     "op1_decontaminate": (op1_decontaminate, None),
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
     "op3_exact_dedup": (op3_exact_dedup, sql.EXACT_DEDUP),
+    "op10_packing": (op10_packing, None),
     "op9_debruijn": (op9_debruijn, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
