@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import debruijn, decontaminate, exact_dedup, packing, simhash_grid, suffix_dedup, url_reputation
+from . import debruijn, decontaminate, exact_dedup, gam, packing, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -50,6 +50,10 @@ def op3_exact_dedup(spark, root):
     return exact_dedup.groups(table(spark, root, "documents"))
 
 
+def op5_quality_gam(spark, root):
+    return gam.judge(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op8_simhash_grid(spark, root):
     found = simhash_grid.near_groups(table(spark, root, "documents"))
     return found.select("doc_id", simhash_grid.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
     "op3_exact_dedup": (op3_exact_dedup, sql.EXACT_DEDUP),
     "op10_packing": (op10_packing, None),
+    "op5_quality_gam": (op5_quality_gam, None),
     "op9_debruijn": (op9_debruijn, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
