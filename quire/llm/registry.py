@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import debruijn, decontaminate, exact_dedup, gam, packing, simhash_grid, suffix_dedup, url_reputation
+from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
+#: Rows of an Arrow batch: texts are wide, and a batch is held whole.
+BATCH = 1000
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
@@ -54,6 +59,10 @@ def op5_quality_gam(spark, root):
     return gam.judge(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def op6_toxicity_crf(spark, root):
+    return crf.judge(table(spark, root, "documents"), table(spark, root, "labels")).drop("spans")
+
+
 def op8_simhash_grid(spark, root):
     found = simhash_grid.near_groups(table(spark, root, "documents"))
     return found.select("doc_id", simhash_grid.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -82,6 +91,7 @@ QUERIES = {
     "op3_exact_dedup": (op3_exact_dedup, sql.EXACT_DEDUP),
     "op10_packing": (op10_packing, None),
     "op5_quality_gam": (op5_quality_gam, None),
+    "op6_toxicity_crf": (op6_toxicity_crf, None),
     "op9_debruijn": (op9_debruijn, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
