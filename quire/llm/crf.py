@@ -334,9 +334,9 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return tagged.select(id, labelled.held_out(F.col(id)).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "spans")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", at: float = PREDICTED) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", at: float = PREDICTED) -> DataFrame:
     """``docs`` without the rows that score ``at`` or more; row by row, so ids may repeat or be null."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id, text, label))
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON weights
 
     def run(batches):
         for batch in batches:
