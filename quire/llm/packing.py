@@ -27,11 +27,13 @@ from . import arrays
 SEQUENCE = 1024
 #: Lengths are rounded up to multiples of this for the program, so it has at most
 #: SEQUENCE / 2 / GRAIN + 1 classes.
-GRAIN = 2
+GRAIN = 4
 #: Id after each document.
 END = 0
 #: Simplex steps at most; stopping early gives a valid packing, less tight.
 STEPS = 6000
+#: Share above the program's least value at which it stops.
+GAP = 3e-3
 #: Bytes of characters that every Unicode version classes alike: printable
 #: ASCII, tab and line ends, and letters U+00C0 to U+027F. Other texts go to
 #: the tokenizer whole.
@@ -156,7 +158,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = STEP
     for _ in range(steps):
         duals = inverse.sum(axis=0)
         entering = _price(sizes, duals, room)
-        if duals @ entering <= 1 + 1e-7:
+        if duals @ entering <= 1 + GAP:  # then the program's value is within that share of the least
             break
         direction = inverse @ entering
         with np.errstate(divide="ignore", invalid="ignore"):
