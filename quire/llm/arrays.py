@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once. A longer document is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _SEED = 0x9E3779B97F4A7C15
 _ODD = 0xD6E8FEB86659FD93  # 3 mod 8: its powers share few low bits
@@ -49,7 +49,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, ``n`` of each or more."""
-    return _powers(max(1 << 21, 1 << int(n).bit_length()))
+    return _powers(max(1 << 19, 1 << int(n).bit_length()))
 
 
 def prefix(words: np.ndarray) -> np.ndarray:

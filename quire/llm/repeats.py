@@ -32,7 +32,7 @@ RUN, FLAG, PROBE, HOT, MARK, SAMPLE = range(6)
 #: Added to a kind if the run stands for two or more.
 MANY = 8
 #: Runs that a task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Unequal runs under one anchor past which its windows are dealt one by one.
 UNEQUAL = 1 << 16
 #: One anchor in so many is sampled for splitters.
