@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, simhash_grid, suffix_dedup, url_reputation
+from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, preference, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -63,6 +63,11 @@ def op6_toxicity_crf(spark, root):
     return crf.judge(table(spark, root, "documents"), table(spark, root, "labels")).drop("spans")
 
 
+def op7_preference(spark, root):
+    turns = preference.numbered(table(spark, root, "conversations"))
+    return preference.format_pairs(turns, preference.alike(turns))
+
+
 def op8_simhash_grid(spark, root):
     found = simhash_grid.near_groups(table(spark, root, "documents"))
     return found.select("doc_id", simhash_grid.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -92,6 +97,7 @@ QUERIES = {
     "op10_packing": (op10_packing, None),
     "op5_quality_gam": (op5_quality_gam, None),
     "op6_toxicity_crf": (op6_toxicity_crf, None),
+    "op7_preference": (op7_preference, sql.PREFERENCE),
     "op9_debruijn": (op9_debruijn, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),

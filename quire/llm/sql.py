@@ -66,3 +66,31 @@ LEFT JOIN LATERAL (
   WHERE (parsed.host = of OR ends_with(parsed.host, '.' || of)) AND starts_with(parsed.path, start)
   ORDER BY length(rule) DESC, rule LIMIT 1) fit ON true
 """
+
+PREFERENCE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ranks AS (
+  SELECT conv_id, row_number() OVER (ORDER BY md5(role || chr(10) || text), conv_id) AS n FROM turns WHERE place = 1),
+pairs AS (
+  SELECT conv_id, (n - 1) // 2 AS pair_id, CASE WHEN n % 2 = 1 THEN 'chosen' ELSE 'rejected' END AS side
+  FROM ranks WHERE (n - 1) // 2 < (SELECT count(*) // 2 FROM ranks)),
+held AS (SELECT pair_id, side, place, role, text FROM turns JOIN pairs USING (conv_id)),
+breaks AS (
+  SELECT pair_id, min(CASE WHEN NOT same THEN place END) AS cut
+  FROM (SELECT pair_id, place, count(*) = 2 AND count(DISTINCT (role, text)) = 1 AS same FROM held GROUP BY ALL) GROUP BY ALL),
+placed AS (
+  SELECT pair_id, CASE WHEN coalesce(place < cut, true) THEN 'prompt' ELSE side END AS part, place AS segment, role,
+         '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
+  FROM held JOIN breaks USING (pair_id) WHERE NOT coalesce(place < cut, true) OR side = 'chosen'),
+laid AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (
+    PARTITION BY pair_id, part ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM placed)
+SELECT pair_id, part, segment, role, head || body AS rendered, start,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(head) END AS mask_from,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(head) + length(body) END AS mask_to
+FROM laid
+"""
