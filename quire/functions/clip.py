@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, functions as F
 
 
 def _cut(value: str | None, limit: int, clusters: int | None) -> str | None:
     if value is None or (len(value) * 4 <= limit and clusters is None):
         return value
-    import regex
-
     end = count = size = 0
     for found in regex.finditer(r"\X", value):
         width = len(found.group().encode())

@@ -6,14 +6,10 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import regex
 from pyspark.sql import Column, functions as F
 
-try:  # the full property; plain combining marks where the module is missing
-    import regex
-
-    _MARK = regex.compile(r"\p{Diacritic}")
-except ImportError:  # pragma: no cover
-    _MARK = None
+_MARK = regex.compile(r"\p{Diacritic}")
 
 _HANGUL = (0xAC00, 0xD7A3)
 
@@ -21,9 +17,7 @@ _HANGUL = (0xAC00, 0xD7A3)
 def bare(text: str) -> str:
     """A driver-side text decomposed and stripped of its marks."""
     opened = unicodedata.normalize("NFD", text)
-    if _MARK is not None:
-        return _MARK.sub("", opened)
-    return "".join(c for c in opened if unicodedata.category(c) != "Mn")
+    return _MARK.sub("", opened)
 
 
 @lru_cache(maxsize=1)
@@ -165,7 +159,7 @@ def natural_key(text: Column) -> Column:
 
     def piece(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
-        padded = F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+        padded = F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
         return F.when(run.rlike("^[0-9]"), padded).otherwise(F.lower(run))
 
     runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))

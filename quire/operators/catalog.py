@@ -72,7 +72,9 @@ def accept_in_order(df: DataFrame, order: Sequence[str], keys: Sequence[Sequence
     A row is refused only by one taken before it, so a refused row frees its
     other key. Rows alone in every key are taken outright. The few that clash
     are settled in rounds: the first of all its groups is taken, whoever shares
-    a group with it is refused, and the rest go round again.
+    a group with it is refused, and the rest go round again. A key with a null
+    in it claims nothing, as in SQL. Rounds are as many as the longest chain of
+    clashes; each takes the first row left at least.
     """
     at = F.struct(*order)
     rows = df.withColumn("_at", at)
@@ -82,7 +84,7 @@ def accept_in_order(df: DataFrame, order: Sequence[str], keys: Sequence[Sequence
 
     clashing = []
     for names in keys:
-        many = grouped(rows, names, F.count(F.lit(1)), "_n").filter("_n > 1").drop("_n")
+        many = grouped(rows.dropna(subset=list(names)), names, F.count(F.lit(1)), "_n").filter("_n > 1").drop("_n")
         clashing.append(rows.join(checked(many), list(names), "left_semi").select("_at"))
     clash = materialize(reduce(lambda a, b: a.union(b), clashing).distinct(), "clash")
     if clash.isEmpty():
@@ -93,8 +95,9 @@ def accept_in_order(df: DataFrame, order: Sequence[str], keys: Sequence[Sequence
     while not left.isEmpty():
         marked = left
         for i, names in enumerate(keys):
-            marked = marked.join(grouped(left, names, F.min("_at"), f"_f{i}"), list(names))
-        leads = reduce(lambda a, b: a & b, [F.col("_at") == F.col(f"_f{i}") for i in range(len(keys))])
+            first = grouped(left.dropna(subset=list(names)), names, F.min("_at"), f"_f{i}")
+            marked = marked.join(first, list(names), "left")
+        leads = reduce(lambda a, b: a & b, [F.coalesce(F.col("_at") == F.col(f"_f{i}"), F.lit(True)) for i in range(len(keys))])
         won = materialize(marked.filter(leads).select(*left.columns), "taken")
         taken.append(won)
         for names in keys:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import RARITIES
@@ -33,14 +32,23 @@ def match_cards(cards: DataFrame, prints: DataFrame, pred: Predicate, key: str)
     if not pred.child:
         return cards.filter(pred.test)
     rows = _with_flags(prints, pred, key)
-    try:
-        # Asked of the printing alone: one semi join of the survivors.
+    own, asked = _by_side(pred)
+    if own:
+        # Each side answers its own leaves; only the answers meet.
+        left = cards.select(key, *[c.alias(n) for n, c in own.items()])
+        right = rows.select(key, *[c.alias(n) for n, c in asked.items()]).distinct()
+        answered = left.join(right, key).filter(pred.flagged).select(key)
+    else:
         answered = rows.filter(pred.test).select(key)
-    except AnalysisException:
-        answered = cards.join(rows, key).filter(pred.test).select(key)
     return cards.join(answered, key, "left_semi")
 
 
+def _by_side(pred: Predicate) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The predicate's leaves that read the parent, and those that read a child."""
+    own = {n: c for n, (child, c) in pred.leaves.items() if not child}
+    return own, {n: c for n, (child, c) in pred.leaves.items() if child}
+
+
 def answering_print(
     prints: DataFrame, pred: Predicate, key: str, order: Sequence[str], value: str, name: str = "answer"
 ) -> DataFrame:
@@ -61,10 +69,11 @@ def answering_print(
 def match_prints(cards: DataFrame, prints: DataFrame, pred: Predicate, key: str, name: str, text: str = "") -> DataFrame:
     """Each printing the tree holds of, its card's name containing ``text``."""
     flags = {flag: condition for flag, condition in pred.any_child.items()}
-    rows = cards.join(prints.withColumns(flags) if flags else prints, key).filter(pred.test)
+    own, asked = _by_side(pred)
     if text:
-        rows = rows.filter(F.contains(normalize_text(F.col(name)), normalize_text(F.lit(text))))
-    return rows
+        cards = cards.filter(F.contains(normalize_text(F.col(name)), normalize_text(F.lit(text))))
+    rows = prints.withColumns(flags).withColumns(asked)
+    return cards.withColumns(own).join(rows, key).filter(pred.flagged).drop(*pred.leaves)
 
 
 def name_tier(name: Column, wanted: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,9 @@ from ..functions.masks import named_mask, popcount
 from ..functions.text import kind_key, normalize_text
 
 
+_NUMBER = count()
+
+
 @dataclass(frozen=True)
 class Predicate:
     """A boolean over one row, and whether that row must be a child's.
@@ -27,28 +31,42 @@ class Predicate:
     scan. ``child`` marks a predicate that reads a child row; ``any_child``
     holds conditions asked of all children of a parent whichever child is
     under test, keyed by the flag column that will carry the answer.
+
+    ``leaves`` are the conditions it is made of, each with its side, and
+    ``flagged`` is the whole over one flag column a leaf: where both sides are
+    read, each leaf is answered on its own side before they meet, so a column
+    name that both sides have never decides anything.
     """
 
     column: Column
     child: bool = False
     any_child: dict[str, Column] = field(default_factory=dict)
     raw: Column | None = None
+    leaves: dict[str, tuple[bool, Column]] = field(default_factory=dict)
+    flagged: Column | None = None
+
+    def __post_init__(self) -> None:
+        if self.flagged is None:
+            name = f"_leaf_{next(_NUMBER)}"
+            object.__setattr__(self, "leaves", {name: (self.child, self.column)})
+            object.__setattr__(self, "flagged", F.col(name))
 
     @property
     def test(self) -> Column:
         return self.column if self.raw is None else self.raw
 
-    def _join(self, other: "Predicate", column: Column, raw: Column) -> "Predicate":
-        return Predicate(column, self.child or other.child, {**self.any_child, **other.any_child}, raw)
+    def _join(self, other: "Predicate", column: Column, raw: Column, flagged: Column) -> "Predicate":
+        any_child = {**self.any_child, **other.any_child}
+        return Predicate(column, self.child or other.child, any_child, raw, {**self.leaves, **other.leaves}, flagged)
 
     def __and__(self, other: "Predicate") -> "Predicate":
-        return self._join(other, self.column & other.column, self.test & other.test)
+        return self._join(other, self.column & other.column, self.test & other.test, self.flagged & other.flagged)
 
     def __or__(self, other: "Predicate") -> "Predicate":
-        return self._join(other, self.column | other.column, self.test | other.test)
+        return self._join(other, self.column | other.column, self.test | other.test, self.flagged | other.flagged)
 
     def __invert__(self) -> "Predicate":
-        return Predicate(~self.column, self.child, self.any_child)
+        return Predicate(~self.column, self.child, self.any_child, None, self.leaves, ~self.flagged)
 
 
 def holds(condition: Column, child: bool = False) -> Predicate:

@@ -136,6 +136,8 @@ def assign_bins(
     # The cast drops not-null marks inside a struct, which Arrow would insist on.
     place = F.col(order).cast(df.schema[order].dataType.simpleString())
     slim = rows.select(F.col(identity).alias("_key"), place.alias("_o"), "_q", "_l", "_f").join(small, "_key")
+    if not slim.groupBy("_key", "_o").count().filter("count > 1").isEmpty():
+        raise ValueError(f"{order} names two rows of one identity")
 
     placed = None
     if asked["even"] > 0:
@@ -213,7 +215,7 @@ def collapse(
     hot_rows: int = HOT_ROWS,
     **columns,
 ) -> DataFrame:
-    """Rows as stacks: one an identity, another only where a ceiling binds."""
+    """One stack for each identity, and more of them only when a ceiling is met."""
     count = F.size(F.coalesce(F.col(lots), F.array().cast(df.schema[lots].dataType))) if lots else F.lit(0)
     placed = assign_bins(
         df, identity, order, F.col(quantity), count, policy, None, copies, max_lots, hot_rows=hot_rows
@@ -227,10 +229,14 @@ def _two_sides(
     """Held and incoming stacks in one shape and one order: all that is held,
     by its own whole-number order, then what comes in, by any order it has."""
     kind = incoming.schema[order].dataType.simpleString()
+    id_kind = held.schema["held_id"].dataType
+    # Records written together share an order; their ids tell them apart.
     ours = F.struct(
-        F.lit(0).alias("side"), F.col(order).cast("long").alias("held"), F.lit(None).cast(kind).alias("at")
+        F.lit(0).alias("side"), F.col(order).cast("long").alias("held"), F.col("held_id").alias("id"), F.lit(None).cast(kind).alias("at")
+    )
+    theirs = F.struct(
+        F.lit(1).alias("side"), F.lit(None).cast("long").alias("held"), F.lit(None).cast(id_kind).alias("id"), F.col(order).cast(kind).alias("at")
     )
-    theirs = F.struct(F.lit(1).alias("side"), F.lit(None).cast("long").alias("held"), F.col(order).cast(kind).alias("at"))
     return (
         held.select(identity, "held_id", quantity, ours.alias("_at")),
         incoming.select(

@@ -241,7 +241,7 @@ FROM documents WHERE doc_id % 11 = 0 AND lang <> 'en'
 def shred_json(spark: SparkSession, root: str) -> DataFrame:
     """Conversations as records with faces: ids and artworks lifted, backs,
     stats and joined face text."""
-    turns = table(spark, root, "conversations").filter(F.col("turn") < 2).select("conv_id", "turn", "role", F.length("text").alias("n"))
+    turns = table(spark, root, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
     face = F.to_json(
         F.struct(
             F.concat(F.col("role"), F.lit(" "), F.col("n").cast("string")).alias("name"),
@@ -272,7 +272,7 @@ WITH t AS (SELECT conv_id, turn, role || ' ' || length(text) AS name, CASE WHEN
   CASE WHEN length(text) % 3 <> 0 THEN 'o' || conv_id END AS oid, CASE WHEN length(text) % 5 <> 0 THEN 'i' || length(text) % 4 END AS iid,
   CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 2 END AS mask,
   CASE WHEN length(text) % 7 <> 0 THEN length(text) || '/' || CASE WHEN length(text) % 4 <> 0 THEN '1' ELSE '' END ELSE '9' END AS stats
-  FROM conversations WHERE turn < 2),
+  FROM conversations),
 g AS (SELECT conv_id, list(oid ORDER BY turn) AS o, list(iid ORDER BY turn) AS i, list(cost ORDER BY turn) AS c,
   string_agg(name || ':' || mask || ':' || stats, '|' ORDER BY turn) AS shown FROM t GROUP BY 1)
 SELECT conv_id, list_filter(o, lambda x: x IS NOT NULL)[1] AS oracle_id, i[1] AS art, CASE WHEN i[1] IS NOT NULL AND i[2] <> i[1] THEN i[2] END AS back,

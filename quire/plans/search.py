@@ -302,7 +302,7 @@ def natural_sort(spark: SparkSession, root: str) -> DataFrame:
 NATURAL_SORT = """
 WITH k AS (SELECT page_id, url, array_to_string(list_transform(regexp_extract_all(url, '([0-9]+|[^0-9]+)'),
   lambda x: CASE WHEN x[1] BETWEEN '0' AND '9'
-    THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 4, '0') || regexp_replace(x, '^0+([0-9])', '\\1')
+    THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1')
     ELSE lower(x) END), '') AS key FROM pages)
 SELECT row_number() OVER (ORDER BY key, page_id) AS place, page_id, url FROM k
 """.replace("\\\\", "\\")

@@ -40,7 +40,8 @@ def scan_json_lines(
     full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
     parsed = lines.withColumn("row", F.from_json("value", full, options))
-    reason = F.when(F.col("row").isNull() | F.col(f"row.{_CORRUPT}").isNotNull(), F.lit("not a record of this shape"))
+    shape = F.col("row").isNull() | F.col(f"row.{_CORRUPT}").isNotNull() | ~_strict(F.col("value"), schema)
+    reason = F.when(shape, F.lit("not a record of this shape"))
     for name in required:
         reason = reason.when(F.col(f"row.{name}").isNull(), F.lit(f"no {name}"))
     for text, bad in (checks or {}).items():
@@ -51,6 +52,32 @@ def scan_json_lines(
     return good, rejects
 
 
+def _strict(line: Column, schema: T.StructType) -> Column:
+    """Whether a line is one JSON value and its fields are of the kinds wanted.
+
+    The parser by itself reads a number or an object as text and passes over
+    what follows a value. In brackets, what follows breaks the array or makes
+    it longer; a field's own kind is read before any conversion.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    ok = F.coalesce(F.try_variant_get(whole, "$[0]", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), F.lit(False))
+    for f in schema.fields:
+        kind = F.schema_of_variant(F.try_variant_get(whole, f"$[0]['{f.name}']", "variant"))
+        if isinstance(f.dataType, T.StringType):
+            fits = kind == "STRING"
+        elif isinstance(f.dataType, T.BooleanType):
+            fits = kind == "BOOLEAN"
+        elif isinstance(f.dataType, T.ArrayType):
+            wanted = "ARRAY<(STRING|VOID)>" if isinstance(f.dataType.elementType, T.StringType) else "ARRAY<"
+            fits = kind.rlike(f"^{wanted}")
+        elif isinstance(f.dataType, (T.StructType, T.MapType)):
+            fits = kind.startswith("OBJECT")
+        else:
+            fits = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        ok = ok & F.coalesce(fits | (kind == "VOID"), F.lit(True))
+    return ok
+
+
 def bulk_index(spark: SparkSession, path: str) -> DataFrame:
     """The entries of a bulk index file; fields nobody reads are ignored."""
     schema = (
@@ -61,8 +88,9 @@ def bulk_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bulk_entry(index: DataFrame, kind: str) -> DataFrame:
-    """The index's entry of one kind, or nothing."""
-    return index.filter(F.col("type") == kind).limit(1)
+    """The index's first entry of one kind in file order, or nothing."""
+    placed = index.withColumn("_place", F.monotonically_increasing_id()).filter(F.col("type") == kind)
+    return placed.orderBy("_place").limit(1).drop("_place")
 
 
 def version_gate(index: DataFrame, synced: DataFrame, schema_version: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..constants import MAX_COPIES
+from ..constants import FINISHES, MAX_COPIES
 from ..operators.folding import fold_in_order
 from ..operators.stacks import assign_bins
 from .tables import newest, read_batches, write_batch
@@ -52,10 +52,15 @@ def fold_edits(entries: DataFrame, edits: DataFrame) -> DataFrame:
     counted = edits.select("entry", "seq", "op", F.floor(F.col("value").try_cast("double")).cast("long").alias("n"))
     after = fold_in_order(state.unionByName(counted), "entry", "seq", ["op", "n"], _quantity, "left")
     done = after.join(edits, ["entry", "seq"], "left")
-    last = lambda op: F.max_by(F.when((F.col("op") == op) & (F.col("left") > 0), F.col("value")), F.when((F.col("op") == op) & (F.col("left") > 0), F.col("seq")))
+
+    def last(op: str, allowed=F.lit(True)):
+        set_ = (F.col("op") == op) & (F.col("left") > 0) & allowed
+        return F.max_by(F.when(set_, F.col("value")), F.when(set_, F.col("seq")))
+
+    made = F.col("value").isin(FINISHES)  # a finish nobody makes is not taken
     folded = done.groupBy("entry").agg(
         F.max_by("left", "seq").alias("quantity"),
-        last("refinish").alias("_finish"),
+        last("refinish", made).alias("_finish"),
         last("regraded").alias("_condition"),
         last("dropping").alias("_dropped"),
         F.max("seq").alias("seq"),
@@ -88,19 +93,22 @@ def edit_stream(spark: SparkSession, landing: str, root: str, checkpoint: str) -
 
 
 def amend_stacks(stacks: DataFrame, edits: DataFrame, copies: int = MAX_COPIES) -> DataFrame:
-    """Stacks after at most one amendment each: a count under one drops it, and
-    a stack whose identity came to be another's joins it where both fit.
+    """Stacks after their amendments: a count under one drops it, and a stack
+    whose identity came to be another's joins it where both fit.
 
     ``stacks``: (uri, identity, quantity, at); ``edits``: (uri, identity,
-    quantity), nulls leaving a field alone. Stacks nobody amended come first,
-    so what moves joins what stayed.
+    quantity), nulls leaving a field alone, and ``seq`` where a stack may be
+    amended more than once: each field takes its last value. Stacks nobody
+    amended come first, so what moves joins what stayed.
     """
-    changed = edits.select("uri", F.col("identity").alias("_i"), F.col("quantity").alias("_q"), F.lit(True).alias("_moved"))
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
+    put = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), seq))
+    changed = edits.groupBy("uri").agg(put("identity").alias("_i"), put("quantity").alias("_q"), F.lit(True).alias("_moved"))
     now = stacks.join(changed, "uri", "left").select(
         "uri",
         F.coalesce("_i", "identity").alias("identity"),
         F.coalesce("_q", "quantity").cast("long").alias("quantity"),
-        F.struct(F.coalesce("_moved", F.lit(False)).alias("moved"), F.col("at").cast("long").alias("at")).alias("_at"),
+        F.struct(F.coalesce("_moved", F.lit(False)).alias("moved"), F.col("at").cast("long").alias("at"), F.col("uri").alias("id")).alias("_at"),
     ).filter(F.col("quantity") > 0)
     placed = assign_bins(now, "identity", "_at", F.col("quantity"), F.lit(0), "first", ~F.col("_at.moved"), copies)
     return placed.groupBy("identity", "bin").agg(

@@ -14,9 +14,10 @@ NOTICE = "kind string, version string, path string, n bigint"
 HISTORY = "kind string, version string, outcome string, written bigint, skipped bigint, held bigint, n bigint"
 
 
-def current_version(spark: SparkSession, root: str, kind: str) -> dict | None:
-    """The last version taken, by the order versions were noticed in."""
-    history = read_batches(spark, f"{root}/history", HISTORY).filter((F.col("kind") == kind) & (F.col("outcome") == "synced"))
+def current_version(spark: SparkSession, root: str, kind: str, before: int | None = None) -> dict | None:
+    """The last version taken, by the order versions were noticed in; ``before``
+    leaves out the batch under way, which an earlier try may have written."""
+    history = read_batches(spark, f"{root}/history", HISTORY, before).filter((F.col("kind") == kind) & (F.col("outcome") == "synced"))
     row = history.orderBy(F.desc("n")).limit(1).collect()
     return row[0].asDict() if row else None
 
@@ -43,7 +44,7 @@ def refresh_stream(
         for notice in batch.orderBy("n").toLocalIterator():
             kind = notice["kind"]
             if kind not in held:
-                row = current_version(spark, root, kind)
+                row = current_version(spark, root, kind, number)
                 held[kind] = (row["version"], row["written"]) if row else (None, None)
             version, before = held[kind]
             if version == notice["version"]:
