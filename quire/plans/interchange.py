@@ -59,11 +59,7 @@ def csv_round_trip(spark: SparkSession, root: str) -> DataFrame:
     path = fresh_path(spark, "csv")
     csv_lined.write_csv(cells, path, ix.OWN.columns, "p_partkey")
     records = materialize(csv_lined.scan_csv_lined(spark, path), "records")
-    # The part files are one CSV between them; its header heads the first.
     heads = csv_lined.header_of(records).filter(ix.detect_format(F.col("head")) == "own")
-    head = heads.select("head").limit(1)
-    files = records.select("file").distinct().join(heads.select("file", "head_line"), "file", "left")
-    heads = files.join(F.broadcast(head)).select("file", "head", F.coalesce("head_line", F.lit(0)).alias("head_line"))
     judged = materialize(ix.judge_rows(ix.bind_columns(records, heads, ix.OWN), ix.OWN), "judged")
     good = ix.stacks_of(judged.filter("reason is null"), "2026-01-01T00:00:00.000Z").select(
         "printing", "finish", "quantity", "condition", F.array_join("tags", "|").alias("tags"), "note", "proxy",

@@ -68,13 +68,18 @@ def _parts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _packed(entries: DataFrame) -> DataFrame:
+    """One row a part: an order's lines."""
+    return entries.groupBy("part_key", "digest").agg(F.collect_list(F.struct("position", "identity", "quantity")).alias("entries"))
+
+
 def stream_drain(spark: SparkSession, root: str) -> DataFrame:
     """Parts landing as files, some sent twice and one import given up, drained
     in micro-batches and then all sent again: every copy once."""
-    parts = _parts(spark, root)
+    parts = _packed(_parts(spark, root))
     base = fresh_path(spark, "drain")
     parts.repartition(8, "part_key").write.parquet(f"{base}/landing")
-    parts.filter(F.col("quantity") > 25).repartition(2).write.mode("append").parquet(f"{base}/landing")
+    parts.filter(F.size("entries") > 1).repartition(2).write.mode("append").parquet(f"{base}/landing")
     cancelled = spark.createDataFrame([("d7",)], "digest string")
     drain.drain_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", files=5, cancelled=cancelled)
     parts.repartition(3).write.mode("append").parquet(f"{base}/landing")
@@ -93,7 +98,7 @@ def live_totals(spark: SparkSession, root: str) -> DataFrame:
     drained, from a running stream total."""
     parts = _parts(spark, root)
     base = fresh_path(spark, "totals")
-    parts.filter(F.col("quantity") <= 30).repartition(6).write.parquet(f"{base}/landing")
+    _packed(parts.filter(F.col("quantity") <= 30)).repartition(6).write.parquet(f"{base}/landing")
     done = drain.totals_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", "digest", files=3)
     waiting = parts.filter(F.col("quantity") > 30).select("digest", "quantity")
     return drain.live_totals(done, waiting, "digest")

@@ -76,11 +76,15 @@ def csv_line(columns: Sequence[Column]) -> Column:
 
 
 def write_csv(df: DataFrame, path: str, header: Sequence[str], order: str) -> None:
-    """Text files that read one after another are the CSV: header first, LF
-    endings, rows by the ``order`` column, which is not written."""
-    spark = df.sparkSession
-    rows = df.select(F.lit(1).alias("_part"), F.col(order).alias("_key"), csv_line([F.col(c).cast("string") for c in df.columns if c != order]).alias("value"))
-    none = F.lit(None).cast(df.schema[order].dataType)
-    head = spark.range(1).select(F.lit(0).alias("_part"), none.alias("_key"), csv_line([F.lit(h) for h in header]).alias("value"))
-    keys = [F.asc("_part"), F.asc("_key")]
-    head.unionByName(rows).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.text(path)
+    """Text files that are each a whole CSV under the header, LF ended, rows by
+    the ``order`` column, which is not written, from file to file. No rows
+    leave one file of the header alone."""
+    line = csv_line([F.col(c).cast("string") for c in df.columns if c != order])
+    head = csv_line([F.lit(h) for h in header])
+    if df.isEmpty():
+        df.sparkSession.range(1).coalesce(1).select(head.alias("value")).write.text(path)
+        return
+    placed = df.select(F.col(order).alias("_key"), line.alias("value")).repartitionByRange(F.asc("_key")).sortWithinPartitions(F.asc("_key"))
+    # Ids start anew, from a multiple of 2**33, in every partition and so in every file.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    placed.select(F.when(first, F.concat(head, F.lit("\n"), "value")).otherwise(F.col("value")).alias("value")).write.text(path)

@@ -10,7 +10,8 @@ from ..operators.stacks import reconcile
 from ..session import materialize
 from .tables import newest, read_batches, write_batch
 
-PART = "part_key string, digest string, position bigint, identity string, quantity bigint"
+# One row a part, so a part is applied whole or not at all. Packing bounds its entries.
+PART = "part_key string, digest string, entries array<struct<position:bigint,identity:string,quantity:bigint>>"
 STATE = "identity string, held_id string, quantity bigint, at bigint"
 APPLIED = "part_key string"
 
@@ -33,7 +34,12 @@ def pending(parts: DataFrame, done: DataFrame, cancelled: DataFrame | None = Non
     left = parts.join(maybe_broadcast(done), "part_key", "left_anti")
     if cancelled is not None:
         left = left.join(maybe_broadcast(cancelled.select("digest").distinct()), "digest", "left_anti")
-    return left.dropDuplicates(["part_key", "position"])
+    return left.dropDuplicates(["part_key"])
+
+
+def entries_of(parts: DataFrame) -> DataFrame:
+    """(part_key, digest, position, identity, quantity): a row an entry."""
+    return parts.select("part_key", "digest", F.explode("entries").alias("e")).select("part_key", "digest", "e.*")
 
 
 def drain_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, cancelled: DataFrame | None = None, copies: int = MAX_COPIES) -> None:
@@ -41,7 +47,7 @@ def drain_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, c
     retired, both under the batch's number. Replaying it rewrites the same."""
     # Written once: the plan, the records and the retired keys all read it.
     parts = materialize(pending(batch, applied(spark, root, number), cancelled), "parts")
-    entries = parts.select("identity", "quantity", F.struct("part_key", "position").alias("at"))
+    entries = entries_of(parts).select("identity", "quantity", F.struct("part_key", "position").alias("at"))
     steps = reconcile(entries, collection(spark, root, number), "identity", "at", copies=copies, policy="last")
     fresh = F.concat(F.lit("new:"), F.col("identity"), F.lit(f":{number}:"), F.col("bin").cast("string"))
     changed = steps.select(
@@ -78,7 +84,7 @@ def totals_stream(spark: SparkSession, landing: str, root: str, checkpoint: str,
     total each batch changed."""
     schema = f"{by} string, quantity bigint"
     totals = (
-        spark.readStream.schema(PART).option("maxFilesPerTrigger", files).parquet(landing)
+        entries_of(spark.readStream.schema(PART).option("maxFilesPerTrigger", files).parquet(landing))
         .groupBy(by).agg(F.sum("quantity").alias("quantity"))
     )
     query = (

@@ -70,9 +70,16 @@ def test_csv_lines(spark, tmp_path, at, hot):
 def test_csv_writes_what_it_reads(spark, tmp_path):
     rows = [(2, "2", "two\nlines", ""), (1, "1", 'a "b"', "x,y"), (3, "3", " spaced ", None)]
     df = spark.createDataFrame(rows, "at int, k string, a string, b string")
-    csv_lined.write_csv(df, str(tmp_path / "out"), ["K", "A", "B"], "at")
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert text == 'K,A,B\n1,"a ""b""","x,y"\n2,"two\nlines",\n3, spaced ,\n'
+    for parts in (1, 3):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1))
+        out = tmp_path / f"out{parts}"
+        csv_lined.write_csv(df, str(out), ["K", "A", "B"], "at")
+        texts = [p.read_text() for p in sorted(out.glob("part-*")) if p.stat().st_size]
+        assert all(t.startswith("K,A,B\n") for t in texts) and (len(texts) > 1) == (parts > 1)
+        assert "".join(t.removeprefix("K,A,B\n") for t in texts) == '1,"a ""b""","x,y"\n2,"two\nlines",\n3, spaced ,\n'
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    csv_lined.write_csv(df.limit(0), str(tmp_path / "none"), ["K", "A", "B"], "at")
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")) == "K,A,B\n"
 
 
 def test_rows_are_judged_in_order(spark, tmp_path):
