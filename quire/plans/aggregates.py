@@ -257,9 +257,9 @@ GROUP BY GROUPING SETS ((l_partkey), (l_partkey, l_returnflag), (place), ())
 
 
 def worth_distinct(spark: SparkSession, root: str) -> DataFrame:
-    """How complete the shelf of open lines is, by brand: parts held once
+    """How complete the shelf of all lines is, by brand: parts held once
     each, flags held of them, against what exists."""
-    line = table(spark, root, "lineitem").filter(F.col("l_linestatus") == "O").select("l_partkey", "l_returnflag")
+    line = table(spark, root, "lineitem").select("l_partkey", "l_returnflag")
     part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     worth = line.groupBy("l_partkey").agg(
         F.lit(1).cast("long").alias("one"), F.count_distinct("l_returnflag").alias("finishes")
@@ -274,7 +274,7 @@ def worth_distinct(spark: SparkSession, root: str) -> DataFrame:
 
 
 WORTH_DISTINCT = """
-WITH w AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS f FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+WITH w AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1)
 SELECT p_brand, count(*) AS exists, count(f) AS owned, coalesce(sum(f), 0)::BIGINT AS treatments
 FROM part LEFT JOIN w ON l_partkey = p_partkey GROUP BY 1
 """

@@ -109,7 +109,7 @@ def _sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
         F.col("l_quantity").cast("long").alias("quantity"),
         "l_linestatus", "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", "l_shipdate",
     )
-    held = line.filter((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40)).groupBy("identity").agg(
+    held = line.filter(F.col("l_linestatus") == "F").groupBy("identity").agg(
         F.sum("quantity").alias("quantity"), F.min("l_orderkey").alias("held_id_n"), F.min("l_partkey").alias("at")
     )
     held = held.select("identity", "quantity", F.concat(F.lit("rec-"), "identity").alias("held_id"), "at")
@@ -122,7 +122,7 @@ def _sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 SIDES_SQL = """
 h AS (SELECT l_partkey || '/' || l_returnflag AS identity, sum(l_quantity)::BIGINT AS q FROM lineitem
-      WHERE l_linestatus = 'F' AND l_quantity > 40 GROUP BY 1),
+      WHERE l_linestatus = 'F' GROUP BY 1),
 i AS (SELECT l_partkey || '/' || l_returnflag AS identity, l_quantity::BIGINT AS q, row_number() OVER (
         PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_shipdate) AS n
       FROM lineitem WHERE l_linestatus = 'O')"""
@@ -158,12 +158,12 @@ FROM s LEFT JOIN h USING (identity)
 def landing(spark: SparkSession, root: str) -> DataFrame:
     """Held stacks with waiting copies laid over them under a ceiling of 200."""
     held, imported = _sides(spark, root)
-    shelf = stacks.landing(held.filter(F.col("quantity") <= 200), imported, "identity", "at", copies=200)
+    shelf = stacks.landing(held, imported, "identity", "at", copies=200)
     return shelf
 
 
 LANDING = f"""
-WITH RECURSIVE {SIDES_SQL}, g AS (SELECT * FROM h WHERE q <= 200),
+WITH RECURSIVE {SIDES_SQL}, g AS (SELECT * FROM h),
 f AS (SELECT identity, i.n, i.q, g.q AS written, coalesce(g.q, 0) AS base,
         CASE WHEN g.q IS NULL OR g.q + i.q <= 200 THEN i.q ELSE 0 END AS waiting, g.q IS NOT NULL AND g.q + i.q > 200 AS alone
       FROM i LEFT JOIN g USING (identity) WHERE i.n = 1
@@ -210,7 +210,7 @@ UNION ALL SELECT l_orderkey, NULL, (max(c) - sum(take))::BIGINT, false FROM t GR
 def consume_waiting(spark: SparkSession, root: str) -> DataFrame:
     """Sixty copies of each part taken out of waiting orders, oldest first:
     what is left of each entry, emptied ones gone."""
-    line = table(spark, root, "lineitem").filter(F.col("l_returnflag") == "N").select(
+    line = table(spark, root, "lineitem").select(
         "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", F.col("l_quantity").cast("long").alias("quantity")
     )
     order = [F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_extendedprice"), F.asc("l_suppkey")]
@@ -228,7 +228,7 @@ def consume_waiting(spark: SparkSession, root: str) -> DataFrame:
 CONSUME_WAITING = """
 WITH l AS (SELECT l_partkey, l_orderkey, l_quantity::BIGINT AS q, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_partkey
     ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
-  FROM lineitem WHERE l_returnflag = 'N'),
+  FROM lineitem),
 t AS (SELECT *, greatest(0, least(q, 60 - b))::BIGINT AS take FROM l)
 SELECT l_orderkey, count(*) FILTER (WHERE q > take) AS entries, sum(q - take)::BIGINT AS copies,
   CASE WHEN NOT bool_or(take > 0) THEN 'kept' WHEN count(*) FILTER (WHERE q > take) = 0 THEN 'delete' ELSE 'update' END AS action
@@ -237,42 +237,42 @@ FROM t GROUP BY 1
 
 
 def overlay_latest(spark: SparkSession, root: str) -> DataFrame:
-    """Users' views with their later events laid over them, the newest winning."""
+    """Users' first view or click with all their other kinds of events laid over it, the newest winning."""
     events = table(spark, root, "events").select("user_id", "event_id", "event_type", "value")
-    base = ranking.best_per_group(events.filter(F.col("event_type") == "view"), ["user_id"], [F.asc("event_id")])
-    newer = events.filter(F.col("event_type") == "purchase")
+    base = ranking.best_per_group(events.filter(F.col("event_type").isin("view", "click")), ["user_id"], [F.asc("event_id")])
+    newer = events.filter(~F.col("event_type").isin("view", "click"))
     return stacks.overlay_latest(base, newer, "user_id", "event_id")
 
 
 OVERLAY_LATEST = """
-WITH b AS (SELECT *, 0 AS v FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1),
-n AS (SELECT *, 1 AS v FROM events WHERE event_type = 'purchase'), u AS (SELECT * FROM b UNION ALL SELECT * FROM n)
+WITH b AS (SELECT *, 0 AS v FROM events WHERE event_type IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1),
+n AS (SELECT *, 1 AS v FROM events WHERE event_type NOT IN ('view', 'click')), u AS (SELECT * FROM b UNION ALL SELECT * FROM n)
 SELECT user_id, event_id, event_type, value FROM u QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_id DESC) = 1
 """
 
 
 def then_changes(spark: SparkSession, root: str) -> DataFrame:
-    """Two rounds of changes to parts: the first year's lines, then the next."""
+    """Two rounds of changes to parts: the lines up to 1995, then all later ones."""
     line = table(spark, root, "lineitem").select("l_partkey", "l_shipdate", "l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey")
 
-    def change(year: int) -> DataFrame:
-        rows = line.filter(F.year("l_shipdate") == year)
+    def change(late: bool) -> DataFrame:
+        rows = line.filter((F.year("l_shipdate") > 1995) == late)
         last = ranking.best_per_group(
             rows, ["l_partkey"], [F.desc("l_shipdate"), F.desc("l_orderkey"), F.desc("l_linenumber"), F.desc("l_extendedprice"), F.desc("l_suppkey")]
         )
         return last.select("l_partkey", (F.col("l_returnflag") == "R").alias("gone"), F.col("l_extendedprice").alias("price"))
 
-    return stacks.then_changes(change(1996), change(1997), "l_partkey", "gone")
+    return stacks.then_changes(change(False), change(True), "l_partkey", "gone")
 
 
 THEN_CHANGES = """
-WITH c AS (SELECT l_partkey, year(l_shipdate) AS y, l_returnflag = 'R' AS gone, l_extendedprice AS price FROM lineitem
-  WHERE year(l_shipdate) IN (1996, 1997) QUALIFY row_number() OVER (PARTITION BY l_partkey, year(l_shipdate)
+WITH c AS (SELECT l_partkey, (year(l_shipdate) > 1995)::INT AS y, l_returnflag = 'R' AS gone, l_extendedprice AS price FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_partkey, year(l_shipdate) > 1995
     ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_suppkey DESC) = 1),
 g AS (SELECT l_partkey, max(CASE WHEN NOT gone THEN y END) AS wy, arg_max(price, y) FILTER (WHERE NOT gone) AS price,
   max(CASE WHEN gone THEN y END) AS gy FROM c GROUP BY 1)
-SELECT l_partkey, wy IS NOT NULL AND coalesce(gy, 0) <> 1997 AS written, gy IS NOT NULL AS dropped,
-  CASE WHEN wy IS NOT NULL AND coalesce(gy, 0) <> 1997 THEN price END AS price FROM g
+SELECT l_partkey, wy IS NOT NULL AND coalesce(gy, 0) <> 1 AS written, gy IS NOT NULL AS dropped,
+  CASE WHEN wy IS NOT NULL AND coalesce(gy, 0) <> 1 THEN price END AS price FROM g
 """
 
 

@@ -10,14 +10,18 @@ from ..streaming import backfill, drain, edits, refresh
 from .tables import table
 
 
+#: Event types in the order they arrive as versions; the second comes twice and the last is followed by an empty one.
+STEPS = [("click", "v1"), ("view", "v2"), ("signup", "v3"), ("error", "v4"), ("purchase", "v5")]
+
+
 def stream_replace(spark: SparkSession, root: str) -> DataFrame:
     """Event types as bulk versions, in turn: each passes the gates and
     replaces the table, or is refused. The table's users and the history."""
     events = table(spark, root, "events").select("event_id", "user_id", "event_type", "value")
     base = fresh_path(spark, "refresh")
-    steps = [("click", "v1", 0), ("view", "v2", 0), ("view", "v2", 0), ("signup", "v3", 40), ("error", "v4", 0), ("error", "v5", -1)]
-    for n, (kind, version, least) in enumerate(steps):
-        part = events.filter((F.col("event_type") == kind) & (F.col("value") >= least) & F.lit(least >= 0))
+    steps = [*STEPS[:2], STEPS[1], *STEPS[2:], (None, "v6")]
+    for n, (kind, version) in enumerate(steps):
+        part = events.filter(F.col("event_type") == kind) if kind else events.limit(0)
         part.write.parquet(f"{base}/data/{n}")
         refresh.notify(spark, f"{base}/landing", "bulk", version, f"{base}/data/{n}", n)
 
@@ -37,27 +41,26 @@ def stream_replace(spark: SparkSession, root: str) -> DataFrame:
     return rows.union(history.select(F.concat_ws(" ", F.col("version"), F.col("outcome")), F.col("written")))
 
 
-STREAM_REPLACE = """
-WITH c AS (SELECT count(*) FILTER (WHERE event_type = 'click' AND value >= 0.5) AS w1, count(*) FILTER (WHERE event_type = 'click') AS n1,
-  count(*) FILTER (WHERE event_type = 'view' AND value >= 0.5) AS w2, count(*) FILTER (WHERE event_type = 'view') AS n2,
-  count(*) FILTER (WHERE event_type = 'signup' AND value >= 40) AS w3,
-  count(*) FILTER (WHERE event_type = 'error' AND value >= 0.5) AS w4, count(*) FILTER (WHERE event_type = 'error') AS n4 FROM events),
-o AS (SELECT *, CASE WHEN n1 >= 1000 AND n1 - w1 > n1 * 0.01 THEN 'skipped' ELSE 'synced' END AS o1 FROM c),
-p AS (SELECT *, CASE WHEN n2 >= 1000 AND n2 - w2 > n2 * 0.01 THEN 'skipped' WHEN o1 = 'synced' AND w2 < w1 * 0.95 THEN 'shrunk' ELSE 'synced' END AS o2 FROM o),
-q AS (SELECT *, CASE WHEN o2 = 'synced' THEN w2 WHEN o1 = 'synced' THEN w1 END AS b3, CASE WHEN o2 = 'synced' THEN 'view' WHEN o1 = 'synced' THEN 'click' END AS t3 FROM p),
-r AS (SELECT *, CASE WHEN w3 < b3 * 0.95 THEN 'shrunk' ELSE 'synced' END AS o3 FROM q),
-s AS (SELECT *, CASE WHEN o3 = 'synced' THEN w3 ELSE b3 END AS b4, CASE WHEN o3 = 'synced' THEN 'signup' ELSE t3 END AS t4 FROM r),
-t AS (SELECT *, CASE WHEN n4 >= 1000 AND n4 - w4 > n4 * 0.01 THEN 'skipped' WHEN w4 < b4 * 0.95 THEN 'shrunk' ELSE 'synced' END AS o4 FROM s),
-u AS (SELECT *, CASE WHEN o4 = 'synced' THEN 'error' ELSE t4 END AS kind FROM t)
-SELECT 'user ' || user_id AS what, count(*) AS n FROM events, u WHERE event_type = u.kind AND value >= CASE WHEN u.kind = 'signup' THEN 40 ELSE 0.5 END GROUP BY 1
-UNION ALL SELECT 'v1 ' || o1, w1 FROM u UNION ALL SELECT 'v2 ' || o2, w2 FROM u UNION ALL SELECT 'v2 ' || o2, w2 FROM u WHERE o2 <> 'synced'
-UNION ALL SELECT 'v3 ' || o3, w3 FROM u UNION ALL SELECT 'v4 ' || o4, w4 FROM u UNION ALL SELECT 'v5 empty', 0
+def _step_sql(i: int, kind: str) -> str:
+    """Outcome ``o``, rows ``w`` and, after it, the version that stands (``t``) and its rows (``b``)."""
+    return f"""
+s{i} AS (SELECT *, CASE WHEN o{i} = 'synced' THEN w{i} ELSE b{i - 1} END AS b{i}, CASE WHEN o{i} = 'synced' THEN '{kind}' ELSE t{i - 1} END AS t{i}
+  FROM (SELECT *, CASE WHEN n{i} >= 1000 AND n{i} - w{i} > n{i} * 0.01 THEN 'skipped' WHEN w{i} < b{i - 1} * 0.95 THEN 'shrunk' ELSE 'synced' END AS o{i}
+    FROM (SELECT *, (SELECT count(*) FROM events WHERE event_type = '{kind}') AS n{i},
+      (SELECT count(*) FROM events WHERE event_type = '{kind}' AND value >= 0.5) AS w{i} FROM s{i - 1})))"""
+
+
+STREAM_REPLACE = f"""
+WITH s0 AS (SELECT NULL::BIGINT AS b0, NULL::VARCHAR AS t0),{",".join(_step_sql(i, kind) for i, (kind, _) in enumerate(STEPS, 1))}
+SELECT 'user ' || user_id AS what, count(*) AS n FROM events, s{len(STEPS)} WHERE event_type = t{len(STEPS)} AND value >= 0.5 GROUP BY 1
+{" ".join(f"UNION ALL SELECT '{version} ' || o{i}, w{i} FROM s{len(STEPS)}" for i, (_, version) in enumerate(STEPS, 1))}
+UNION ALL SELECT 'v2 ' || o2, w2 FROM s{len(STEPS)} WHERE o2 <> 'synced' UNION ALL SELECT 'v6 empty', 0
 """
 
 
 def _parts(spark: SparkSession, root: str) -> DataFrame:
     """Open lines as parts of imports: a part an order, an import a supplier."""
-    line = table(spark, root, "lineitem").filter(F.col("l_linestatus") == "O")
+    line = table(spark, root, "lineitem")
     key = F.sha2(F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"), 256)
     return line.select(
         F.col("l_orderkey").cast("string").alias("part_key"),
@@ -89,7 +92,7 @@ def stream_drain(spark: SparkSession, root: str) -> DataFrame:
 
 STREAM_DRAIN = """
 SELECT l_partkey || '/' || l_returnflag AS identity, sum(l_quantity)::BIGINT AS quantity FROM lineitem
-WHERE l_linestatus = 'O' AND l_orderkey % 50 <> 7 GROUP BY 1
+WHERE l_orderkey % 50 <> 7 GROUP BY 1
 """
 
 
@@ -107,7 +110,7 @@ def live_totals(spark: SparkSession, root: str) -> DataFrame:
 LIVE_TOTALS = """
 SELECT 'd' || (l_orderkey % 50) AS digest, sum(CASE WHEN l_quantity <= 30 THEN l_quantity ELSE 0 END)::BIGINT AS written,
   sum(CASE WHEN l_quantity > 30 THEN l_quantity ELSE 0 END)::BIGINT AS waiting, sum(l_quantity)::BIGINT AS total
-FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1
+FROM lineitem GROUP BY 1
 """
 
 
