@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import masks, text as tx
-from ..operators import folding, ranking
+from ..operators import folding, measures, ranking
 from ..operators.sizes import maybe_broadcast
 from .tables import spread_table, table
 
@@ -210,15 +210,8 @@ SELECT lang, doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION
 
 def spread(spark: SparkSession, root: str) -> DataFrame:
     """Three documents for every value of every axis, seeded, no document twice."""
-    docs = table(spark, root, "documents").select("doc_id", "lang", "source", "n_chars")
-    axes = F.array(
-        F.struct(F.lit("lang").alias("axis"), F.col("lang").alias("value")),
-        F.struct(F.lit("source").alias("axis"), F.col("source").alias("value")),
-        F.struct(F.lit("long").alias("axis"), (F.col("n_chars") > 5000).cast("string").alias("value")),
-    )
-    melted = docs.select("doc_id", F.explode(axes).alias("at")).select("doc_id", "at.axis", "at.value")
-    seeded = F.md5(F.concat_ws("|", F.lit("7"), "axis", "value", F.col("doc_id").cast("string")))
-    return ranking.best_per_group(melted, ["axis", "value"], [seeded.asc(), F.asc("doc_id")], 3).select("doc_id").distinct()
+    axes = {"lang": F.col("lang"), "source": F.col("source"), "long": F.col("n_chars") > 5000}
+    return measures.spread_sample(table(spark, root, "documents"), "doc_id", axes, 3, "7")
 
 
 SPREAD = """
@@ -238,13 +231,7 @@ def grouped_totals(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("l_suppkey") % 4 != 0, F.col("l_suppkey") % 20).alias("place"),
         F.col("l_quantity").cast("long").alias("copies"),
     )
-    sets = line.groupingSets(
-        [[F.col("l_partkey")], [F.col("l_partkey"), F.col("l_returnflag")], [F.col("place")], []],
-        F.col("l_partkey"), F.col("l_returnflag"), F.col("place"),
-    )
-    return sets.agg(F.grouping_id().cast("long").alias("level"), F.sum("copies").alias("copies")).select(
-        "level", "l_partkey", "l_returnflag", "place", "copies"
-    )
+    return measures.totals_by(line, [["l_partkey"], ["l_partkey", "l_returnflag"], ["place"], []], "copies")
 
 
 GROUPED_TOTALS = """
@@ -261,16 +248,7 @@ def worth_distinct(spark: SparkSession, root: str) -> DataFrame:
     each, flags held of them, against what exists."""
     line = table(spark, root, "lineitem").select("l_partkey", "l_returnflag")
     part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    worth = line.groupBy("l_partkey").agg(
-        F.lit(1).cast("long").alias("one"), F.count_distinct("l_returnflag").alias("finishes")
-    )
-    owned = worth.join(part, "l_partkey").groupBy("p_brand").agg(
-        F.sum("one").alias("owned"), F.sum("finishes").alias("treatments")
-    )
-    exists = part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("exists"))
-    return exists.join(owned, "p_brand", "left").select(
-        "p_brand", "exists", F.coalesce("owned", F.lit(0)).alias("owned"), F.coalesce("treatments", F.lit(0)).alias("treatments")
-    )
+    return measures.completeness(line, part, "l_partkey", "p_brand", "l_returnflag")
 
 
 WORTH_DISTINCT = """
@@ -314,99 +292,73 @@ SELECT user_id, written, skipped, CASE WHEN written = 0 THEN 'empty'
 
 
 def nearest_rank(spark: SparkSession, root: str) -> DataFrame:
-    """Count, p50, p90 and worst line price by flag, and p50 by status apart."""
+    """Count, p50, p90, worst and rate of line prices by flag and in all, and p50 by status apart."""
     line = table(spark, root, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
-    cut = folding.quantiles(
-        line, ["l_returnflag"], "l_extendedprice", {"p50": folding.nearest_rank(0.5), "p90": folding.nearest_rank(0.9)}
-    )
-    found = folding.quantiles(
-        line.filter(F.col("l_linestatus") == "F"), ["l_returnflag"], "l_extendedprice", {"found": folding.nearest_rank(0.5)}
-    )
-    size = line.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.max("l_extendedprice").alias("worst"),
-        F.count_if(F.col("l_linestatus") == "F").alias("detected"),
-    )
-    return size.join(cut, "l_returnflag").join(found, "l_returnflag", "left")
+    cuts = line.withColumn("l_returnflag", F.explode(F.array("l_returnflag", F.lit(measures.ALL))))
+    return measures.timing_summary(cuts, ["l_returnflag"], "l_extendedprice", F.col("l_linestatus") == "F")
 
 
 NEAREST_RANK = """
+WITH l AS (SELECT unnest([l_returnflag, '(all)']) AS l_returnflag, l_linestatus, l_extendedprice FROM lineitem)
 SELECT l_returnflag, count(*) AS frames, max(l_extendedprice) AS worst, count(*) FILTER (WHERE l_linestatus = 'F') AS detected,
+  round(1000.0 * count(*) / sum(l_extendedprice), 9) AS rate,
   quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.9) AS p90,
   quantile_disc(l_extendedprice, 0.5) FILTER (WHERE l_linestatus = 'F') AS found
-FROM lineitem GROUP BY 1
+FROM l GROUP BY 1
 """
 
 
 def upper_median(spark: SparkSession, root: str) -> DataFrame:
     """Per brand, the upper median and the range of price and size."""
     part = table(spark, root, "part").select("p_brand", "p_retailprice", "p_size")
-    price = folding.quantiles(part, ["p_brand"], "p_retailprice", {"price": folding.upper_middle})
-    size = folding.quantiles(part, ["p_brand"], "p_size", {"size": folding.upper_middle})
-    ranges = part.groupBy("p_brand").agg(
-        F.round(F.max("p_retailprice") - F.min("p_retailprice"), 4).alias("price_range"),
-        (F.max("p_size") - F.min("p_size")).cast("long").alias("size_range"),
-    )
-    return price.join(size, "p_brand").join(ranges, "p_brand")
+    return measures.middles_and_ranges(part, "p_brand", {"price": "p_retailprice", "size": "p_size"})
 
 
 UPPER_MEDIAN = """
 WITH l AS (SELECT p_brand, list_sort(list(p_retailprice)) AS p, list_sort(list(p_size)) AS s FROM part GROUP BY 1)
 SELECT p_brand, p[len(p) // 2 + 1] AS price, s[len(s) // 2 + 1] AS size,
-  round(p[-1] - p[1], 4) AS price_range, (s[-1] - s[1])::BIGINT AS size_range FROM l
+  round(p[-1] - p[1], 4) AS price_range, (s[-1] - s[1])::DOUBLE AS size_range FROM l
 """
 
 
 def digest(spark: SparkSession, root: str) -> DataFrame:
-    """Order-free digests of conversations, and a part key made of two hashes."""
+    """Order-free digests of a conversation's turns by role, each role a part of
+    it, with a key of both hashes and a receipt that covers its moment."""
     turns = table(spark, root, "conversations").select(
-        "conv_id", F.concat(F.length("text").cast("string"), F.lit("\t"), F.col("role"), F.lit("\t"), F.col("text")).alias("line")
-    )
-    digests = folding.content_digest(turns, ["conv_id"], "line")
-    return digests.select(
-        "conv_id",
-        "digest",
-        F.concat(F.substring("digest", 8, 16), F.lit("-"), F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 16)).alias("part_key"),
-        # A scan's receipt covers its moment as well, so two alike still differ.
-        F.concat(F.lit("sha256-"), F.sha2(F.concat(F.lit("2026-01-01T00:00:00.000Z"), F.col("digest")), 256)).alias("stamped"),
+        "conv_id", "role", F.concat(F.length("text").cast("string"), F.lit("\t"), F.col("role"), F.lit("\t"), F.col("text")).alias("line")
     )
+    return measures.part_keys(turns, "conv_id", "role", "line").withColumn("stamped", measures.stamped(F.col("digest"), "2026-01-01T00:00:00.000Z"))
 
 
 DIGEST = r"""
-WITH d AS (SELECT conv_id, 'sha256-' || sha256(string_agg(line, chr(10) ORDER BY encode(line))) AS digest FROM
-  (SELECT conv_id, length(text) || chr(9) || role || chr(9) || text AS line FROM conversations) GROUP BY 1)
-SELECT conv_id, digest, substr(digest, 8, 16) || '-' || substr(sha256(conv_id::VARCHAR), 1, 16) AS part_key,
-  'sha256-' || sha256('2026-01-01T00:00:00.000Z' || digest) AS stamped FROM d
+WITH l AS (SELECT conv_id, role, length(text) || chr(9) || role || chr(9) || text AS line FROM conversations),
+p AS (SELECT conv_id, role, 'sha256-' || sha256(string_agg(line, chr(10) ORDER BY encode(line))) AS digest FROM l GROUP BY 1, 2),
+w AS (SELECT conv_id, 'sha256-' || sha256(string_agg(line, chr(10) ORDER BY encode(line))) AS whole FROM l GROUP BY 1)
+SELECT conv_id, role, digest, substr(whole, 8, 16) || '-' || substr(digest, 8, 16) AS part_key,
+  'sha256-' || sha256('2026-01-01T00:00:00.000Z' || digest) AS stamped FROM p JOIN w USING (conv_id)
 """
 
 
 def child_masks(spark: SparkSession, root: str) -> DataFrame:
     """Per customer, its orders' statuses and priorities as masks, with sizes."""
-    orders = table(spark, root, "orders").select("o_custkey", "o_orderstatus", F.substring("o_orderpriority", 1, 1).cast("int").alias("level"))
-    bit = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
-    return orders.groupBy("o_custkey").agg(
-        F.bit_or(bit).cast("long").alias("statuses"),
-        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("level"))).cast("long").alias("levels"),
-        F.count(F.lit(1)).alias("orders"),
-        F.sum(F.bit_count(bit)).cast("long").alias("ways"),
-    ).withColumn("held", F.bit_count("levels").cast("long"))
+    bits = {
+        "statuses": F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4),
+        "levels": F.call_function("shiftleft", F.lit(1), F.substring("o_orderpriority", 1, 1).cast("int")),
+    }
+    return measures.masks_of_children(table(spark, root, "orders"), "o_custkey", bits, "orders")
 
 
 CHILD_MASKS = """
 WITH m AS (SELECT o_custkey, bit_or(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END)::BIGINT AS statuses,
-  bit_or(1 << substr(o_orderpriority, 1, 1)::INT)::BIGINT AS levels, count(*) AS orders, count(*) AS ways FROM orders GROUP BY 1)
-SELECT *, bit_count(levels)::BIGINT AS held FROM m
+  bit_or(1 << substr(o_orderpriority, 1, 1)::INT)::BIGINT AS levels, count(*) AS orders FROM orders GROUP BY 1)
+SELECT *, bit_count(levels)::BIGINT AS levels_held, bit_count(statuses)::BIGINT AS statuses_held FROM m
 """
 
 
 def subtypes(spark: SparkSession, root: str) -> DataFrame:
     """Distinct words after the dash of a type line, either side of it, counted."""
-    part = table(spark, root, "part").select("p_name", "p_type", "p_brand")
     line = F.concat(F.col("p_type"), F.lit(" — "), F.col("p_name"), F.lit(" // Back — "), F.col("p_brand"))
-    side = part.select(F.explode(F.split(line, "//")).alias("side"))
-    tail = F.get(F.split("side", "—"), F.lit(1))
-    word = side.filter(tail.isNotNull()).select(F.explode(F.split(F.trim(tail), " ")).alias("word"))
-    return word.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    return measures.words_after(table(spark, root, "part"), line)
 
 
 SUBTYPES = """
@@ -418,23 +370,17 @@ SELECT word, count(*) AS uses FROM w GROUP BY 1
 def tag_tally(spark: SparkSession, root: str) -> DataFrame:
     """Events tallied under each of their tags and under all of them."""
     events = table(spark, root, "events").select(
-        F.array("event_type", F.concat(F.lit("h"), F.hour("ts").cast("string"))).alias("tags"),
-        "value",
-        (F.get_json_object("props", "$.k").cast("int") < 20).alias("hit"),
+        "event_type", "ts", "value", F.get_json_object("props", "$.k").cast("int").alias("k"), "user_id"
     )
-    tagged = events.select(F.explode(F.concat(F.array(F.lit("(all)")), "tags")).alias("tag"), "value", "hit")
-    rates = tagged.groupBy("tag").agg(
-        F.count(F.lit(1)).alias("shots"), F.round(F.count_if("hit") / F.count(F.lit(1)), 9).alias("hit_rate")
-    )
-    middle = folding.quantiles(tagged, ["tag"], "value", {"median": folding.upper_middle})
-    return rates.join(middle, "tag")
+    tags = F.array("event_type", F.concat(F.lit("h"), F.hour("ts").cast("string")))
+    return measures.tally(events, tags, F.col("k") < 20, {"median": "value", "candidates": "user_id", "distance": "k"})
 
 
 TAG_TALLY = """
-WITH t AS (SELECT unnest(['(all)', event_type, 'h' || hour(ts)]) AS tag, value,
-             json_extract_string(props, '$.k')::INT < 20 AS hit FROM events)
-SELECT tag, count(*) AS shots, round(count(*) FILTER (WHERE hit) / count(*), 9) AS hit_rate,
-  list_sort(list(value))[count(*) // 2 + 1] AS median FROM t GROUP BY 1
+WITH t AS (SELECT unnest(['(all)', event_type, 'h' || hour(ts)]) AS tag, value, user_id, json_extract_string(props, '$.k')::INT AS k FROM events)
+SELECT tag, count(*) AS shots, round(count(*) FILTER (WHERE k < 20) / count(*), 9) AS hit_rate,
+  list_sort(list(value) FILTER (WHERE value IS NOT NULL))[count(value) // 2 + 1] AS median, list_sort(list(user_id) FILTER (WHERE user_id IS NOT NULL))[count(user_id) // 2 + 1] AS candidates,
+  list_sort(list(k) FILTER (WHERE k IS NOT NULL))[count(k) // 2 + 1] AS distance FROM t GROUP BY 1
 """
 
 
@@ -454,8 +400,7 @@ def threshold_sweep(spark: SparkSession, root: str) -> DataFrame:
 
     swept = [("balance", float(v), reason(v, 20)) for v in (0, 500, 1000, 2000, 5000)]
     swept += [("nation", float(v), reason(1000, v)) for v in (5, 10, 15, 20, 25)]
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"), r.alias("reason")) for n, v, r in swept])
-    return held.select(F.explode(rows).alias("r")).select("r.*").groupBy("name", "value", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return measures.sweep(held, swept)
 
 
 THRESHOLD_SWEEP = """
@@ -468,11 +413,18 @@ SELECT name, value, CASE WHEN bal IS NULL THEN 'unread' WHEN bal < low THEN 'bal
 
 
 def content_name(spark: SparkSession, root: str) -> DataFrame:
-    """Two partitionings of the parts come to one content name."""
+    """Two partitionings of the parts come to one content name, and other parts to another."""
     part = table(spark, root, "part")
-    one = folding.table_fingerprint(part).withColumn("way", F.lit("as read"))
-    two = folding.table_fingerprint(part.repartition(7, "p_brand")).withColumn("way", F.lit("by brand"))
-    return one.unionByName(two).select("way", "rows", F.concat(F.lit("part."), "hash", F.lit(".parquet")).alias("name"))
+    ways = {"as read": part, "by brand": part.repartition(7, "p_brand"), "dearer": part.withColumn("p_retailprice", F.col("p_retailprice") + 1)}
+    named = [folding.table_fingerprint(df).withColumn("way", F.lit(way)) for way, df in ways.items()]
+    first = named[0].select(F.col("hash").alias("_first"))
+    both = named[0].unionByName(named[1]).unionByName(named[2])
+    return both.join(F.broadcast(first)).select("way", "rows", (F.col("hash") == F.col("_first")).alias("equal"))
+
+
+CONTENT_NAME = """
+SELECT unnest(['as read', 'by brand', 'dearer']) AS way, (SELECT count(*) FROM part) AS rows, unnest([true, true, false]) AS equal
+"""
 
 
 QUERIES = {
@@ -498,5 +450,5 @@ QUERIES = {
     "subtypes": (subtypes, SUBTYPES),
     "tag_tally": (tag_tally, TAG_TALLY),
     "threshold_sweep": (threshold_sweep, THRESHOLD_SWEEP),
-    "content_name": (content_name, None),
+    "content_name": (content_name, CONTENT_NAME),
 }
