@@ -1,40 +1,36 @@
-"""The one scalar no builtin expresses: cutting text at cluster boundaries."""
+"""Cutting text at cluster boundaries, in the JVM."""
 
 from __future__ import annotations
 
-import pandas as pd
-import regex
 from pyspark.sql import Column, functions as F
 
 
-def _cut(value: str | None, limit: int, clusters: int | None) -> str | None:
-    if value is None or (len(value) * 4 <= limit and clusters is None):
-        return value
-    end = count = size = 0
-    for found in regex.finditer(r"\X", value):
-        width = len(found.group().encode())
-        if size + width > limit or (clusters is not None and count >= clusters):
-            break
-        end, count, size = found.end(), count + 1, size + width
-    return value[:end]
-
-
 def clip_text(text: Column, limit: int, clusters: int | None = None) -> Column:
     """The longest prefix of whole grapheme clusters within ``limit`` bytes and
-    ``clusters`` clusters."""
-
-    @F.pandas_udf("string")
-    def cut(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: _cut(v, limit, clusters))
-
-    return cut(text)
+    ``clusters`` clusters.
+
+    A character is a byte at least, so clusters past ``limit`` characters never
+    fit and only one character more than that is split.
+    """
+    parts = F.regexp_extract_all(F.substring(text, 1, limit + 1), F.lit(r"(\X)"), F.lit(1))
+    if clusters is not None:
+        parts = F.slice(parts, 1, clusters)
+    start = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars"), F.lit(True).alias("open"))
+
+    def take(state: Column, part: Column) -> Column:
+        size = state["bytes"] + F.octet_length(part)
+        fits = state["open"] & (size <= limit)
+        return F.struct(
+            F.when(fits, size).otherwise(state["bytes"]).alias("bytes"),
+            F.when(fits, state["chars"] + F.length(part)).otherwise(state["chars"]).alias("chars"),
+            fits.alias("open"),
+        )
+
+    cut = F.substring(text, F.lit(1), F.aggregate(parts, start, take)["chars"])
+    short = F.octet_length(text) <= limit
+    return F.when(short if clusters is None else F.lit(False), text).otherwise(cut)
 
 
 def clip_items(items: Column, limit: int) -> Column:
     """Each string of an array so clipped."""
-
-    @F.pandas_udf("array<string>")
-    def cut(values: pd.Series) -> pd.Series:
-        return values.map(lambda held: None if held is None else [_cut(v, limit, None) for v in held])
-
-    return cut(items)
+    return F.transform(items, lambda item: clip_text(item, limit))

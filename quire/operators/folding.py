@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .ranking import ranked
 
 
@@ -59,7 +60,8 @@ def quantiles(
     Equal values are counted before anything is ranked, and the ranking spreads
     a hot group over tasks, so no group is gathered in one place.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    # Short, and read for the ranks, for the sizes and for the check of hot groups.
+    counted = materialize(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "counted")
     more = {} if hot_rows is None else {"hot_rows": hot_rows}
     placed = ranked(counted, by, [F.asc(value)], rank=None, before={"_before": F.col("_n")}, **more)
     sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_all")) if by else counted.agg(F.sum("_n").alias("_all"))

@@ -211,15 +211,15 @@ def toughness(op: str, value: str | float, **kw) -> Predicate:
 def flag_is(
     value: str, finishes: str = "finishes", card_flags: str = "card_flags", print_flags: str = "print_flags"
 ) -> Predicate:
-    """A finish is asked of the printing; any other word is a flag of either."""
+    """A finish is asked of the printing; any other word is a flag of either side."""
     wanted = value.lower()
     if wanted in FINISHES:
         return holds(F.array_contains(F.col(finishes), wanted), child=True)
-    flags = F.concat(
-        F.coalesce(F.col(card_flags), F.array().cast("array<string>")),
-        F.coalesce(F.col(print_flags), F.array().cast("array<string>")),
-    )
-    return holds(F.exists(flags, lambda f: F.lower(f) == wanted), child=True)
+
+    def has(flags: str) -> Column:
+        return F.exists(F.coalesce(F.col(flags), F.array().cast("array<string>")), lambda f: F.lower(f) == wanted)
+
+    return holds(has(card_flags)) | holds(has(print_flags), child=True)
 
 
 def ordinal(op: str, value: str, column: str, scale: Sequence[str], child: bool = False) -> Predicate:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import APART, KEEP_NEAREST, SURE_MARGIN
 from ..functions.shapes import settle_finish
+from ..session import materialize
 from .ranking import best_per_group
 
 # Rows of each side one task compares: 4,096 x 65,536 distances at a time, in
@@ -62,8 +63,9 @@ def nearest(
     into blocks; each pair of blocks is one bounded task that answers only
     ``keep`` rows a query, and the answers merge by a top-k.
     """
-    held = best_per_group(index.filter(F.col(hashes).isNotNull()).select(artwork, hashes), [hashes], [F.asc(artwork)], keep)
-    asked = queries.select(hashes).distinct()
+    # Both are counted and joined; written once, no frame is hashed again for it.
+    held = materialize(best_per_group(index.filter(F.col(hashes).isNotNull()).select(artwork, hashes), [hashes], [F.asc(artwork)], keep), "held")
+    asked = materialize(queries.select(hashes).distinct(), "asked")
     across = max(1, math.ceil(held.count() / INDEX_BLOCK))
     down = max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
