@@ -224,10 +224,12 @@ def collapse(
 
 
 def _two_sides(
-    incoming: DataFrame, held: DataFrame, identity: str, order: str, quantity: str
+    incoming: DataFrame, held: DataFrame, identity: str, order: str, quantity: str, lots: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Held and incoming stacks in one shape and one order: all that is held,
-    by its own whole-number order, then what comes in, by any order it has."""
+    by its own whole-number order, then what comes in, by any order it has.
+    ``lots`` names each side's count of lots; without it no row has any."""
+    some = (F.coalesce(F.col(lots), F.lit(0)) if lots else F.lit(0)).cast("long").alias("_lots")
     kind = incoming.schema[order].dataType.simpleString()
     id_kind = held.schema["held_id"].dataType
     # Records written together share an order; their ids tell them apart.
@@ -238,9 +240,9 @@ def _two_sides(
         F.lit(1).alias("side"), F.lit(None).cast("long").alias("held"), F.lit(None).cast(id_kind).alias("id"), F.col(order).cast(kind).alias("at")
     )
     return (
-        held.select(identity, "held_id", quantity, ours.alias("_at")),
+        held.select(identity, "held_id", quantity, some, ours.alias("_at")),
         incoming.select(
-            identity, F.lit(None).cast(held.schema["held_id"].dataType).alias("held_id"), quantity, theirs.alias("_at")
+            identity, F.lit(None).cast(held.schema["held_id"].dataType).alias("held_id"), quantity, some, theirs.alias("_at")
         ),
     )
 
@@ -253,23 +255,27 @@ def reconcile(
     quantity: str = "quantity",
     copies: int = MAX_COPIES,
     policy: str = "first",
+    lots: str | None = None,
+    max_lots: int = MAX_LOTS,
 ) -> DataFrame:
     """What an import does to the collection: one row a record it touches.
 
     Held stacks come first in their identity and never join one another; an
-    imported row joins the first stack with room. ``held_id`` names the record
-    joined, or is null for a new one.
+    imported row joins the first stack with room for its copies and, where
+    ``lots`` names their count on both sides, its lots. ``held_id`` names the
+    record joined, or is null for a new one.
     """
-    ours, theirs = _two_sides(imported, held, identity, order, quantity)
+    ours, theirs = _two_sides(imported, held, identity, order, quantity, lots)
     # Only identities the import names can change.
     near = ours.join(imported.select(identity).distinct(), identity, "left_semi")
     rows = near.unionByName(theirs)
-    placed = assign_bins(rows, identity, "_at", F.col(quantity), F.lit(0), policy, F.col("_at.side") == 0, copies)
+    placed = assign_bins(rows, identity, "_at", F.col(quantity), F.col("_lots"), policy, F.col("_at.side") == 0, copies, max_lots)
     steps = placed.groupBy(identity, "bin").agg(
         F.max("held_id").alias("held_id"),
         F.sum(quantity).cast("long").alias("after"),
         F.sum(F.when(F.col("_at.side") == 0, F.col(quantity)).otherwise(0)).cast("long").alias("before"),
         F.count_if(F.col("_at.side") == 1).alias("rows"),
+        *([F.sum("_lots").alias("lots_after")] if lots else []),
     )
     return steps.filter(F.col("rows") > 0)
 
@@ -287,16 +293,24 @@ def weigh(steps: DataFrame, held: DataFrame, quantity: str = "quantity") -> Data
 
 
 def landing(
-    held: DataFrame, waiting: DataFrame, identity: str, order: str, quantity: str = "quantity", copies: int = MAX_COPIES
+    held: DataFrame,
+    waiting: DataFrame,
+    identity: str,
+    order: str,
+    quantity: str = "quantity",
+    copies: int = MAX_COPIES,
+    lots: str | None = None,
+    max_lots: int = MAX_LOTS,
 ) -> DataFrame:
     """The collection with waiting copies laid over it, never written: each
-    identity's first stack takes what fits, the rest stand on their own."""
-    ours, theirs = _two_sides(waiting, held, identity, order, quantity)
+    identity's first stack takes what fits, by copies and by its own lots with
+    the row's; the rest stand on their own."""
+    ours, theirs = _two_sides(waiting, held, identity, order, quantity, lots)
     lead = ours.groupBy(identity).agg(F.min("_at").alias("_lead"))
     near = waiting.select(identity).distinct()
     first = ours.join(lead.join(near, identity, "left_semi"), identity).filter(F.col("_at").eqNullSafe(F.col("_lead"))).drop("_lead")
     placed = assign_bins(
-        first.unionByName(theirs), identity, "_at", F.col(quantity), F.lit(0), "only", F.col("_at.side") == 0, copies, add_lots=False
+        first.unionByName(theirs), identity, "_at", F.col(quantity), F.col("_lots"), "only", F.col("_at.side") == 0, copies, max_lots, add_lots=False
     )
     folded = placed.groupBy(identity, "bin").agg(
         F.max("held_id").alias("held_id"),

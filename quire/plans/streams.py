@@ -68,12 +68,13 @@ def _parts(spark: SparkSession, root: str) -> DataFrame:
         F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint").alias("position"),
         F.concat_ws("/", F.col("l_partkey").cast("string"), "l_returnflag").alias("identity"),
         F.col("l_quantity").cast("long").alias("quantity"),
+        (F.col("l_linenumber") % 3).cast("long").alias("lots"),
     )
 
 
 def _packed(entries: DataFrame) -> DataFrame:
     """One row a part: an order's lines."""
-    return entries.groupBy("part_key", "digest").agg(F.collect_list(F.struct("position", "identity", "quantity")).alias("entries"))
+    return entries.groupBy("part_key", "digest").agg(F.collect_list(F.struct("position", "identity", "quantity", "lots")).alias("entries"))
 
 
 def stream_drain(spark: SparkSession, root: str) -> DataFrame:

@@ -11,8 +11,8 @@ from ..session import materialize
 from .tables import newest, read_batches, write_batch
 
 # One row a part, so a part is applied whole or not at all. Packing bounds its entries.
-PART = "part_key string, digest string, entries array<struct<position:bigint,identity:string,quantity:bigint>>"
-STATE = "identity string, held_id string, quantity bigint, at bigint"
+PART = "part_key string, digest string, entries array<struct<position:bigint,identity:string,quantity:bigint,lots:bigint>>"
+STATE = "identity string, held_id string, quantity bigint, lots bigint, at bigint"
 APPLIED = "part_key string"
 
 
@@ -20,7 +20,7 @@ def collection(spark: SparkSession, root: str, before: int | None = None) -> Dat
     """The stacks as they stand. Grouped by identity as well, so a join on it
     narrows the changes before they are folded."""
     return newest(read_batches(spark, f"{root}/stacks", STATE, before), ["identity", "held_id"]).select(
-        "identity", "held_id", "quantity", "at"
+        "identity", "held_id", "quantity", "lots", "at"
     )
 
 
@@ -38,7 +38,7 @@ def pending(parts: DataFrame, done: DataFrame, cancelled: DataFrame | None = Non
 
 
 def entries_of(parts: DataFrame) -> DataFrame:
-    """(part_key, digest, position, identity, quantity): a row an entry."""
+    """(part_key, digest, position, identity, quantity, lots): a row an entry."""
     return parts.select("part_key", "digest", F.explode("entries").alias("e")).select("part_key", "digest", "e.*")
 
 
@@ -47,11 +47,11 @@ def drain_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, c
     retired, both under the batch's number. Replaying it rewrites the same."""
     # Written once: the plan, the records and the retired keys all read it.
     parts = materialize(pending(batch, applied(spark, root, number), cancelled), "parts")
-    entries = entries_of(parts).select("identity", "quantity", F.struct("part_key", "position").alias("at"))
-    steps = reconcile(entries, collection(spark, root, number), "identity", "at", copies=copies, policy="last")
+    entries = entries_of(parts).select("identity", "quantity", "lots", F.struct("part_key", "position").alias("at"))
+    steps = reconcile(entries, collection(spark, root, number), "identity", "at", copies=copies, policy="last", lots="lots")
     fresh = F.concat(F.lit("new:"), F.col("identity"), F.lit(f":{number}:"), F.col("bin").cast("string"))
     changed = steps.select(
-        "identity", F.coalesce("held_id", fresh).alias("held_id"), F.col("after").alias("quantity"), F.lit(number).cast("long").alias("at")
+        "identity", F.coalesce("held_id", fresh).alias("held_id"), F.col("after").alias("quantity"), F.col("lots_after").alias("lots"), F.lit(number).cast("long").alias("at")
     )
     write_batch(changed, f"{root}/stacks", number)
     write_batch(parts.select("part_key").distinct(), f"{root}/applied", number)

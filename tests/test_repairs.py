@@ -66,7 +66,7 @@ def test_orders_that_tie(spark):
 
 
 def part(key, *entries):
-    return (key, "d", [(i, identity, n) for i, (identity, n) in enumerate(entries)])
+    return (key, "d", [(i, identity, n, 1) for i, (identity, n) in enumerate(entries)])
 
 
 def test_parts_land_whole_and_copies_do_not_multiply(spark, tmp_path):
@@ -77,6 +77,15 @@ def test_parts_land_whole_and_copies_do_not_multiply(spark, tmp_path):
     assert sum(r.quantity for r in held) == 160 and max(r.quantity for r in held) <= 100
 
 
+def test_lots_bind_too(spark):
+    held = spark.createDataFrame([("i", "a", 1, 2, 1), ("i", "b", 1, 0, 2)], "identity string, held_id string, quantity bigint, lots bigint, at bigint")
+    new = spark.createDataFrame([("i", 1, 1, 2), ("i", 2, 1, 1)], "identity string, at bigint, quantity bigint, lots bigint")
+    steps = {r.held_id: (r.after, r.lots_after) for r in stacks.reconcile(new, held, "identity", "at", lots="lots", max_lots=3).collect()}
+    assert steps == {"a": (2, 3), "b": (2, 2)}
+    laid = stacks.landing(held, new, "identity", "at", lots="lots", max_lots=3).collect()
+    assert sorted((r.held_id or "", r.written, r.waiting) for r in laid) == [("", 0, 1), ("a", 1, 1), ("b", 1, 0)]
+
+
 def test_two_edits_of_one_record(spark):
     held = spark.createDataFrame([("u", "i", 5, 1), ("v", "j", 4, 2)], "uri string, identity string, quantity bigint, at bigint")
     log = spark.createDataFrame([("u", None, 7, 1), ("u", None, 9, 2), ("v", "i", None, 1), ("v", None, 2, 3)], "uri string, identity string, quantity bigint, seq bigint")
