@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from . import arrays, labelled
 
 #: Labelled documents learnt from at most, and chains of them.
@@ -213,7 +214,7 @@ def _telling(held: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE, chains: int = CHAINS) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fold and
-    at most ``chains`` chains of them: first those with toxic tokens, then by hash."""
+    at most ``chains`` chains of them, half of these with toxic tokens, by hash."""
     held = labelled.sample(docs, labels, label, rows, id, text)
     known = _telling(held)
     spread = held.sparkSession.sparkContext.broadcast(known)  # at most LEXICON words
@@ -238,7 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(any_toxic), pa.array(code), *lists], ["toxic", "code", "word", "letters", "y"]).filter(pa.array(fit_for))
 
     schema = "toxic tinyint, code bigint, word array<bigint>, letters array<bigint>, y array<tinyint>"
-    got = held.mapInArrow(run, schema).orderBy(F.desc("toxic"), "code").limit(chains).toArrow()
+    rows = materialize(held.mapInArrow(run, schema), "chains")
+    toxic = labelled.least_hashes(rows.filter("toxic = 1"), F.col("code"), chains // 2, "word")
+    clean = labelled.least_hashes(rows.filter("toxic = 0"), F.col("code"), chains - chains // 2, "word")
+    got = toxic.unionAll(clean).toArrow()
     sizes = np.array([len(x) for x in got.column("y").to_pylist()], np.int64)
     if not len(sizes) or not len(known):
         none = np.zeros(1)
