@@ -124,8 +124,7 @@ def test_then_changes(spark):
 
 def test_drained_part_replays_once(spark, tmp_path):
     part = spark.createDataFrame(
-        [("p", "d", 0, "a", 6), ("p", "d", 1, "a", 6), ("p", "d", 2, "b", 1), ("q", "e", 0, "b", 2)],
-        "part_key string, digest string, position bigint, identity string, quantity bigint",
+        [("p", "d", [(0, "a", 6, 0), (1, "a", 6, 0), (2, "b", 1, 0)]), ("q", "e", [(0, "b", 2, 0)])], drain.PART
     )
     root = str(tmp_path)
     for number in (0, 0, 1):  # the second is a replay, the third a re-send
