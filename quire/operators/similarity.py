@@ -52,9 +52,12 @@ def nearest(
     artwork: str = "artwork",
     hashes: str = "hashes",
     keep: int = KEEP_NEAREST,
+    within: str | None = None,
 ) -> DataFrame:
     """The ``keep`` nearest artworks of each query: (query, place, artwork,
-    distance), nearest first, ties by lower artwork number. Exact.
+    distance), nearest first, ties by lower artwork number. Exact. ``within``
+    names a column of both sides; then only artworks that hold the query's
+    value of it are compared, and none where it is null.
 
     A whole query is compared with one artwork by the least distance over all
     pairs of their hashes. Queries that ask the same are asked once, and of
@@ -63,9 +66,13 @@ def nearest(
     into blocks; each pair of blocks is one bounded task that answers only
     ``keep`` rows a query, and the answers merge by a top-k.
     """
+    own = [within] if within else []
+    present = F.col(hashes).isNotNull()
+    for c in own:
+        present &= F.col(c).isNotNull()
     # Both are counted and joined; written once, no frame is hashed again for it.
-    held = materialize(best_per_group(index.filter(F.col(hashes).isNotNull()).select(artwork, hashes), [hashes], [F.asc(artwork)], keep), "held")
-    asked = materialize(queries.select(hashes).distinct(), "asked")
+    held = materialize(best_per_group(index.filter(present).select(artwork, hashes, *own), [hashes, *own], [F.asc(artwork)], keep), "held")
+    asked = materialize(queries.select(hashes, *own).distinct(), "asked")
     across = max(1, math.ceil(held.count() / INDEX_BLOCK))
     down = max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
@@ -75,19 +82,21 @@ def nearest(
     zero = F.lit(0).cast("long")
     left = asked.select(
         F.col(hashes).alias("ask"),
+        *own,
         block(hashes, down).alias("qb"),
         F.explode(F.sequence(zero, F.lit(across - 1).cast("long"))).alias("ib"),
     )
     right = held.select(
         F.col(artwork).cast("long").alias("artwork"),
         F.col(hashes).alias("held"),
+        *own,
         F.explode(F.sequence(zero, F.lit(down - 1).cast("long"))).alias("qb"),
         block(artwork, across).alias("ib"),
     )
 
     def compare(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or near.empty:
-            return pd.DataFrame({"ask": [], "artwork": [], "distance": []})
+            return pd.DataFrame(columns=["ask", "artwork", "distance", *own], dtype=object)
         near = near.sort_values("artwork")
         numbers = near["artwork"].to_numpy()
         index_words, query_words = _matrix(near["held"]), _matrix(ask["ask"])
@@ -112,20 +121,35 @@ def nearest(
                     }
                 )
             )
-        return pd.concat(parts)
+        return pd.concat(parts).assign(**{c: ask[c].iloc[0] for c in own})
 
+    kinds = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in own)
     local = (
-        left.groupBy("qb", "ib")
-        .cogroup(right.groupBy("qb", "ib"))
-        .applyInPandas(compare, "ask array<bigint>, artwork bigint, distance bigint")
+        left.groupBy("qb", "ib", *own)
+        .cogroup(right.groupBy("qb", "ib", *own))
+        .applyInPandas(compare, f"ask array<bigint>, artwork bigint, distance bigint{kinds}")
     )
-    w = Window.partitionBy("ask").orderBy("distance", "artwork")
+    w = Window.partitionBy("ask", *own).orderBy("distance", "artwork")
     best = local.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= keep)
-    return queries.select(query, F.col(hashes).alias("ask")).join(best, "ask").select(
+    return queries.select(query, F.col(hashes).alias("ask"), *own).join(best, ["ask", *own]).select(
         query, "place", F.col("artwork").alias(artwork), "distance"
     )
 
 
+def nearest_alike(
+    queries: DataFrame, index: DataFrame, label: str, query: str = "query_id", artwork: str = "artwork", hashes: str = "hashes"
+) -> DataFrame:
+    """(query, distance): least distance of each query to another artwork of its
+    label over the whole index, whatever artworks of other labels lie nearer.
+
+    A query that shares its number with an artwork is not its own answer;
+    numbers of artworks are unique, so of the two nearest one is another. A
+    query with no other artwork of its label gives no row.
+    """
+    two = nearest(queries, index, query, artwork, hashes, keep=2, within=label)
+    return two.filter(F.col(artwork) != F.col(query)).groupBy(query).agg(F.min("distance").alias("distance"))
+
+
 def margins(matches: DataFrame, query: str = "query_id") -> DataFrame:
     """How far the runner-up is behind the best; alone, how far anything is."""
     first = F.max(F.when(F.col("place") == 1, F.col("distance")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import folding, fulltext, lookups, passages, similarity
+from ..session import materialize
 from .aggregates import WORDS_SQL
 from .tables import table
 
@@ -76,6 +77,28 @@ SELECT cut, count(*) AS queries, round(count(*) FILTER (WHERE first <= 1) / coun
 """
 
 
+def distance_alike(spark: SparkSession, root: str) -> DataFrame:
+    """The upper median of every embedding's distance to the nearest other one
+    of its label over the whole index, by label and over all; ``alike`` counts
+    the embeddings that have one."""
+    index = _hashes(spark, root)
+    asked = index.withColumnRenamed("artwork", "query_id")
+    apart = similarity.nearest_alike(asked, index, "label").withColumnRenamed("distance", "apart")
+    held = asked.select("query_id", "label").join(apart, "query_id", "left")
+    # Read for the counts and for the medians.
+    both = materialize(held.select(F.explode(F.array(F.lit("(all)"), F.col("label").cast("string"))).alias("cut"), "apart"), "apart")
+    counts = both.groupBy("cut").agg(F.count(F.lit(1)).alias("queries"), F.count("apart").alias("alike"))
+    return counts.join(folding.quantiles(both, ["cut"], "apart", {"median": folding.upper_middle}), "cut", "left")
+
+
+DISTANCE_ALIKE = f"""
+WITH {PAIRS_SQL}, h AS (SELECT query_id, min(CASE WHEN same THEN distance END) AS apart FROM d WHERE artwork <> query_id GROUP BY 1),
+b AS (SELECT unnest(['(all)', label::VARCHAR]) AS cut, apart FROM embeddings LEFT JOIN h ON vec_id = query_id)
+SELECT cut, count(*) AS queries, count(apart) AS alike,
+  list_sort(list(apart) FILTER (WHERE apart IS NOT NULL))[count(apart) // 2 + 1] AS median FROM b GROUP BY 1
+"""
+
+
 def scan_entries(spark: SparkSession, root: str) -> DataFrame:
     """What a scan of every embedding would list: its nearest artworks through
     the printings that carry them, the margin between nameable ones, whether
@@ -204,6 +227,7 @@ SELECT doc_id, kind, score FROM r ORDER BY kind, score, doc_id LIMIT 50
 QUERIES = {
     "hamming_top_k": (hamming_top_k, HAMMING_TOP_K),
     "recall_at_k": (recall_at_k, RECALL_AT_K),
+    "distance_alike": (distance_alike, DISTANCE_ALIKE),
     "scan_entries": (scan_entries, SCAN_ENTRIES),
     "hash_rows": (hash_rows, HASH_ROWS),
     "repeated_passages": (repeated_passages, REPEATED_PASSAGES),
