@@ -37,12 +37,21 @@ def numbered(turns: DataFrame) -> DataFrame:
 def alike(turns: DataFrame) -> DataFrame:
     """pair_id, conv_id, side: conversations paired with one that begins alike.
 
-    Conversations are ranked by the hash of their first turn and their id; an
-    odd rank is chosen over the next. With an odd number of them the last has
-    no partner and is left out.
+    Within a group of equal first turns, by their hash, conversations pair in
+    the order of their ids; the last of an odd group is left over. Those left
+    over, one a group, follow after all groups and pair among themselves in the
+    order of hash and id, so they alone have a stranger for a partner. The
+    earlier one is chosen over the next. With an odd number of conversations
+    the very last has no partner and is left out: one completion is no pair.
     """
     first = turns.filter("place = 1").select("conv_id", F.md5(F.concat_ws("\n", "role", "text").cast("binary")).alias("code"))
-    ranks = number_rows(first, [F.asc("code"), F.asc("conv_id")], "n")
+    first = materialize(first, "first-turns")
+    # one short row an odd group, joined on an id that no two rows share
+    odd = materialize(
+        first.groupBy("code").agg(F.max("conv_id").alias("conv_id"), F.count("*").alias("n")).filter("n % 2 = 1").select("conv_id", F.lit(1).alias("over")),
+        "left-over")
+    dealt = first.join(odd, "conv_id", "left").withColumn("over", F.coalesce("over", F.lit(0)))
+    ranks = number_rows(dealt, [F.asc("over"), F.asc("code"), F.asc("conv_id")], "n")
     pairs = materialize(
         ranks.select(
             F.floor((F.col("n") - 1) / 2).alias("pair_id"), "conv_id",

@@ -27,3 +27,19 @@ def test_nearest_alike_over_blocks(spark, monkeypatch):
     index = spark.createDataFrame(rows, "artwork bigint, hashes array<bigint>, label int")
     got = {r.query_id: r.distance for r in similarity.nearest_alike(index.withColumnRenamed("artwork", "query_id"), index, "label").collect()}
     assert got == {i: min((x ^ y).bit_count() for j, b, m in rows if m == k and j != i for x in a for y in b) for i, a, k in rows}
+
+
+def test_conversations_that_begin_alike_pair_together(spark):
+    from quire.llm import preference
+
+    # Groups of 1, 2 and 3 in each of many hash orders; a group's ids are not neighbours.
+    for salt in range(8):
+        begins = {1: "a", 2: "b", 3: "c", 4: "b", 5: "c", 6: "d", 7: "c", 8: "e", 9: "f", 10: "f"}
+        rows = [(i, 0, "user", f"{salt}{t}") for i, t in begins.items()] + [(i, 1, "assistant", f"answer {i}") for i in begins]
+        turns = preference.numbered(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+        sides = {}
+        for r in preference.alike(turns).collect():
+            sides.setdefault(r.pair_id, {})[r.side] = r.conv_id
+        pairs = sorted((p["chosen"], p["rejected"]) for p in sides.values())
+        assert [p for p in pairs if begins[p[0]] == begins[p[1]]] == [(2, 4), (3, 5), (9, 10)]
+        assert sorted(sides) == list(range(5)) and sorted(x for p in pairs for x in p) == list(range(1, 11))
