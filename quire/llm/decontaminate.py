@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.sizes import maybe_broadcast
 from ..session import materialize
 from . import arrays, bloom
+from .frames import keyed
 
 #: Words of a window, and of a shingle (fewer in shorter windows).
 WINDOW, SHINGLE = 13, 5
@@ -186,6 +187,13 @@ def judge(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without contaminated texts; an id goes if any row of it is contaminated."""
+    """``docs`` without contaminated texts; an id goes if any row of it is contaminated. :func:`keep_clean` goes by rows."""
     gone = materialize(judge(docs, items, id, text).filter("contaminated").select(F.col(id).alias("gone")).distinct(), "contaminated")
     return docs.join(gone, docs[id].eqNullSafe(gone.gone), "left_anti")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is contaminated; row by row, so ids may repeat or be null."""
+    held, row = keyed(docs)
+    gone = materialize(judge(held, items, row, text).filter("contaminated").select(row), "contaminated")
+    return held.join(gone, row, "left_anti").select(*docs.columns)

@@ -43,3 +43,20 @@ def test_conversations_that_begin_alike_pair_together(spark):
         pairs = sorted((p["chosen"], p["rejected"]) for p in sides.values())
         assert [p for p in pairs if begins[p[0]] == begins[p[1]]] == [(2, 4), (3, 5), (9, 10)]
         assert sorted(sides) == list(range(5)) and sorted(x for p in pairs for x in p) == list(range(1, 11))
+
+
+def test_clean_rows_stay_beside_contaminated_rows_of_one_id(spark):
+    from quire.llm import decontaminate
+
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(None, passage), (None, "clean without an id"), (None, None), (7, passage), (7, "clean under the same id"), (8, "clean")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, row_key int")
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.row_key for r in kept.collect()) == [1, 2, 4, 5]
+    import corpus_pipeline
+
+    assert ("benchmark decontamination", corpus_pipeline.drop_contaminated) in corpus_pipeline.STAGES
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    given = spark.createDataFrame([(None, item), (None, "clean without an id")], "doc_id bigint, text string")
+    assert [r.text for r in corpus_pipeline.drop_contaminated(spark, given, "/root/testdata/sf0.001").collect()] == ["clean without an id"]
