@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .components import components
+from .frames import keyed
 
 #: Links differ in so many bits at most.
 DISTANCE = 3
@@ -213,9 +214,11 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component; rows of one id go or stay together."""
-    judged = near_groups(docs, id, text)
-    gone = materialize(judged.filter(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("gone")).distinct(), "gone")
-    stay = materialize(judged.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("stay")).distinct(), "stay")
-    gone = gone.join(stay, gone.gone.eqNullSafe(stay.stay), "left_anti")
-    return docs.join(gone, docs[id].eqNullSafe(gone.gone), "left_anti")
+    """``docs`` with one row of each component: the smallest id, a null only if
+    there is no other, and of rows that share it just one."""
+    held, row = keyed(docs)
+    # The order of rows as their id: nulls last, then by id, then by the row's own number.
+    named = held.select(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(row).alias("row")).alias("by"), F.col(text).alias("text"))
+    judged = near_groups(named, "by", "text")
+    gone = materialize(judged.filter("by.row <> component_id.row").select(F.col("by.row").alias(row)), "gone")
+    return held.join(gone, row, "left_anti").select(*docs.columns)

@@ -60,3 +60,20 @@ def test_clean_rows_stay_beside_contaminated_rows_of_one_id(spark):
     item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
     given = spark.createDataFrame([(None, item), (None, "clean without an id")], "doc_id bigint, text string")
     assert [r.text for r in corpus_pipeline.drop_contaminated(spark, given, "/root/testdata/sf0.001").collect()] == ["clean without an id"]
+
+
+def test_one_row_of_near_copies_stays_whatever_their_ids(spark):
+    from quire.llm import simhash_grid
+
+    base = " ".join(f"word{i}" for i in range(400))
+    near = [base + " tail", base + " other", base + " third"]
+    alone = "an entirely different text about rivers and mountains and the weather of last year"
+    far = " ".join(f"other{i}" for i in range(300))
+    for ids, kept_id in (((None, None, None), None), ((4, 4, 4), 4), ((None, 5, 9), 5)):
+        rows = [*zip(ids, near), (None, alone), (4, far)]
+        docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, row int")
+        assert simhash_grid.near_groups(docs, "row").filter("row < 3").select("component_id").distinct().count() == 1
+        kept = simhash_grid.keep_one(docs)
+        got = sorted((r.row, r.doc_id) for r in kept.collect())
+        assert kept.columns == docs.columns and [r for r, _ in got if r > 2] == [3, 4]
+        assert len(got) == 3 and got[0][1] == kept_id
