@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, preference, simhash_grid, suffix_dedup, url_reputation
+from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, preference, sentencepieces, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -90,6 +90,23 @@ def op9_debruijn(spark, root):
     return found.select("doc_id", "n_words", covered_length("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def pieces_path() -> str:
+    """The public vocabulary of merges, where the machine has it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op11_sentencepieces(spark, root):
+    model = pieces_path()
+    both = sentencepieces.decode(sentencepieces.encode(table(spark, root, "documents"), model), model)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("same") & F.col("same_decoded")).alias("as_library"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, None),
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
@@ -101,4 +118,5 @@ QUERIES = {
     "op9_debruijn": (op9_debruijn, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
+    "op11_sentencepieces": (op11_sentencepieces, None),
 }
