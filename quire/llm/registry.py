@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, preference, sentencepieces, simhash_grid, suffix_dedup, url_reputation
+from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, periods, preference, sentencepieces, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -107,6 +107,36 @@ def op11_sentencepieces(spark, root):
     )
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """One document in ten repeats a stretch of its own words from some word on, as the contract of op13 has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    held = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.nullif(F.size("words"), F.lit(0)))
+    held = held.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    held = held.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    root = F.slice("words", F.col("a") + 1, F.col("p"))
+    filled = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), F.flatten(F.array_repeat(root, times))), F.lit(1), F.col("n"))
+    return held.select("doc_id", F.when(F.col("n") > 0, F.array_join(filled, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark, root):
+    found = periods.runs(planted(table(spark, root, "documents")))
+    best = F.aggregate(
+        F.slice("runs", F.lit(2), F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)),
+        lambda held, r: F.when(r["length"] * held["period"] > held["length"] * r["period"], r).otherwise(held),
+    )
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return (
+        found.withColumn("best", best)
+        .select(
+            "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+            F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+            F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, None),
     "op2_url_reputation": (op2_url_reputation, sql.URL_REPUTATION),
@@ -119,4 +149,5 @@ QUERIES = {
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
     "op11_sentencepieces": (op11_sentencepieces, None),
+    "op13_periods": (op13_periods, None),
 }
