@@ -1,9 +1,10 @@
 """Encoding and decoding by a SentencePiece vocabulary of merges.
 
 Encoding is an agenda: every two adjacent symbols that together are a piece of
-the vocabulary wait in a heap, best score first and leftmost of equals; the
-pair on top becomes one symbol and meets its new neighbours, until no pair is
-left. What is still no piece is spelled in bytes.
+the vocabulary wait in it, best score first and leftmost of equals; the pair on
+top becomes one symbol and meets its new neighbours, until no pair is left.
+What is still no piece is spelled in bytes. The agenda is a heap, or over the
+few symbols of a short word a list.
 
 No piece has a space after another character, which is checked when a
 vocabulary is loaded. So no pair reaches over a word's first space, words have
@@ -32,6 +33,8 @@ _JOINED = f"[{_LETTER}][^{_LETTER}]|[^{SPACE}{_LETTER}][{_LETTER}]|.[0-9]|[0-9].
 REMEMBERED, LONGEST = 250_000, 32
 #: Characters encoded at once; a longer text is taken in stretches that end where a word does.
 STRETCH = 1 << 20
+#: The rank of a pair that is no piece.
+_NONE = 1 << 31
 _BAD = "�".encode()
 
 
@@ -53,7 +56,7 @@ class Vocabulary:
         self.words = re.compile(_WORDS if joined else _KINDS).findall
         self.id_of = {pieces[i]: i for i in plain}
         order = {s: rank for rank, s in enumerate(sorted({lib.get_score(i) for i in plain}, reverse=True))}
-        self.entry = {pieces[i]: order[lib.get_score(i)] + 1 << 44 | len(pieces[i]) for i in plain if len(pieces[i]) > 1}
+        self.rank = {pieces[i]: order[lib.get_score(i)] for i in plain if len(pieces[i]) > 1}
         self.byte = {int(pieces[i][3:5], 16): i for i in ids if lib.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         self.unknown = lib.unk_id()
@@ -72,45 +75,63 @@ class Vocabulary:
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The agenda over one word."""
-        entry = self.entry.get
-        # An entry is one number: the pair's rank, the left symbol's place, the pair's length.
-        agenda = [e + (i << 12) for i, e in enumerate(map(entry, map(add, word, word[1:]))) if e]
+        return self._ids(self._short(word) if len(word) <= LONGEST else self._long(word))
+
+    def _short(self, word: str) -> list[str]:
+        """The agenda as a list with one place a pair: what a few symbols need."""
+        entry = self.rank.get
+        symbols = list(word)
+        agenda = [entry(pair, _NONE) for pair in map(add, word, word[1:])]
+        while agenda:
+            top = min(agenda)
+            if top == _NONE:
+                break
+            i = agenda.index(top)  # the leftmost of equals
+            symbols[i] = left = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = entry(left + symbols[i + 1], _NONE)
+            if i:
+                agenda[i - 1] = entry(symbols[i - 1] + left, _NONE)
+        return symbols
+
+    def _long(self, word: str) -> list[str]:
+        """The agenda as a heap, whose entries are checked when they come up."""
+        rank = self.rank.get
+        agenda = [(r, i, len(pair)) for i, pair in enumerate(map(add, word, word[1:])) if (r := rank(pair)) is not None]
         heapify(agenda)
         symbols = list(word)
         n = len(symbols)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         while agenda:
-            top = heappop(agenda)
-            i = top >> 12 & 0xFFFFFFFF
+            _, i, size = heappop(agenda)
             left, j = symbols[i], after[i]
             if j >= n or not left:
                 continue
             left += symbols[j]
-            if len(left) != top & 0xFFF:
+            if len(left) != size:
                 continue  # one of the two has merged since
             symbols[i], symbols[j] = left, ""
             after[i] = j = after[j]
             if j < n:
                 before[j] = i
-                e = entry(left + symbols[j])
-                if e:
-                    heappush(agenda, e + (i << 12))
-            j = before[i]
-            if j >= 0:
-                e = entry(symbols[j] + left)
-                if e:
-                    heappush(agenda, e + (j << 12))
+            for k, pair in ((i, left + symbols[j] if j < n else ""), (before[i], symbols[before[i]] + left if before[i] >= 0 else "")):
+                r = rank(pair)
+                if r is not None:
+                    heappush(agenda, (r, k, len(pair)))
+        return [s for s in symbols if s]
+
+    def _ids(self, symbols: list[str]) -> tuple[int, ...]:
         out = []
         for s in symbols:
-            if s:
-                id = self.id_of.get(s)
-                if id is not None:
-                    out.append(id)
-                elif self.byte:
-                    out.extend(map(self.byte.__getitem__, s.encode()))
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
+            id = self.id_of.get(s)
+            if id is not None:
+                out.append(id)
+            elif self.byte:
+                out.extend(map(self.byte.__getitem__, s.encode()))
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return tuple(out)
 
     def word(self, word: str) -> tuple[int, ...]:
