@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf, debruijn, decontaminate, exact_dedup, gam, packing, periods, preference, sentencepieces, simhash_grid, suffix_dedup, url_reputation
+from . import crf, debruijn, decontaminate, exact_dedup, filter_audit, gam, packing, periods, preference, sentencepieces, simhash_grid, suffix_dedup, url_reputation
 from . import sql
 
 
@@ -107,6 +107,10 @@ def op11_sentencepieces(spark, root):
     )
 
 
+def op12_filter_audit(spark, root):
+    return filter_audit.audit(spark, f"{root}/documents.parquet", table(spark, root, "labels"))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """One document in ten repeats a stretch of its own words from some word on, as the contract of op13 has it."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -149,5 +153,6 @@ QUERIES = {
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_simhash_grid": (op8_simhash_grid, None),
     "op11_sentencepieces": (op11_sentencepieces, None),
+    "op12_filter_audit": (op12_filter_audit, sql.FILTER_AUDIT),
     "op13_periods": (op13_periods, None),
 }

@@ -94,3 +94,47 @@ SELECT pair_id, part, segment, role, head || body AS rendered, start,
        CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(head) + length(body) END AS mask_to
 FROM laid
 """
+
+_FAILS = {"A": 1, "B": 2, "C": 4, "D": 8, "E": 16}
+_ORDER = " || ".join(f"f{i}.f" for i in range(1, 6))
+
+#: Masks of failed filters a document, then every order walked step by step.
+FILTER_AUDIT = rf"""
+WITH letters AS (SELECT * FROM (VALUES {", ".join(f"('{f}', {b})" for f, b in _FAILS.items())}) v(f, bit)),
+orders AS (
+  SELECT {_ORDER} AS filter_order, [{", ".join(f"f{i}.bit" for i in range(1, 6))}] AS bits
+  FROM letters f1, letters f2, letters f3, letters f4, letters f5
+  WHERE f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31 AND len(list_distinct([f1.bit, f2.bit, f3.bit, f4.bit, f5.bit])) = 5
+),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step])::INT - bits[step] AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+),
+texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+),
+marked AS (
+  SELECT part,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM texts
+),
+counted AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM marked GROUP BY ALL),
+walked AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(g) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(t) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counted, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM walked
+"""
