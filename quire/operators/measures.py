@@ -45,15 +45,31 @@ def completeness(held: DataFrame, catalog: DataFrame, key: str, by: str, variant
 def timing_summary(df: DataFrame, by: Sequence[str], took: str, found: Column) -> DataFrame:
     """Frames, worst, p50 and p90 of what each took, frames a second, and p50
     of those where ``found`` held."""
-    rows = df.withColumn("_found", F.coalesce(found, F.lit(False)))
     half, most = folding.nearest_rank(0.5), folding.nearest_rank(0.9)
-    cut = folding.quantiles(rows, list(by), took, {"p50": half, "p90": most})
-    hit = folding.quantiles(rows.filter("_found"), list(by), took, {"found": half})
-    size = rows.groupBy(*by).agg(
+    hit = F.coalesce(found, F.lit(False))
+    # Every frame once and a found one once more, so one ranking answers both.
+    rows = df.select(*by, took, hit.alias("_found"), F.explode(F.when(hit, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_side"))
+    cut = folding.quantiles(rows, [*by, "_side"], took, {"p50": half, "p90": most})
+    all_, side = F.col("_side") == 0, F.col("_side") == 1
+    cut = cut.groupBy(*by).agg(F.max(F.when(all_, F.col("p50"))).alias("p50"), F.max(F.when(all_, F.col("p90"))).alias("p90"), F.max(F.when(side, F.col("p50"))).alias("found"))
+    size = df.withColumn("_found", hit).groupBy(*by).agg(
         F.count(F.lit(1)).alias("frames"), F.max(took).alias("worst"), F.count_if("_found").alias("detected"),
         F.round(F.lit(1000.0) * F.count(F.lit(1)) / F.sum(took), 9).alias("rate"),
     )
-    return size.join(cut, list(by)).join(hit, list(by), "left")
+    return size.join(cut, list(by), "left")
+
+
+def recall_report(ranks: DataFrame, by: Sequence[str], rank: str = "rank", distance: str = "distance", margin: str = "margin") -> DataFrame:
+    """Per group: queries asked, the shares that came back among the first 1, 5
+    and 10, the worst rank, and the upper middle of distances and of margins."""
+
+    def within(k: int) -> Column:
+        return F.round(F.count_if(F.col(rank) <= k) / F.count(F.lit(1)), 9).alias(f"recall_{k}")
+
+    rates = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("asked"), within(1), within(5), within(10), F.max(rank).alias("worst"))
+    for value in (distance, margin):
+        rates = rates.join(folding.quantiles(ranks, list(by), value, {value: folding.upper_middle}), list(by), "left")
+    return rates
 
 
 def middles_and_ranges(df: DataFrame, by: str, values: dict[str, str]) -> DataFrame:

@@ -130,7 +130,8 @@ def nearest(
         .applyInPandas(compare, f"ask array<bigint>, artwork bigint, distance bigint{kinds}")
     )
     w = Window.partitionBy("ask", *own).orderBy("distance", "artwork")
-    best = local.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= keep)
+    # Written: who reads the answer twice does not compare again.
+    best = materialize(local.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= keep), "nearest")
     return queries.select(query, F.col(hashes).alias("ask"), *own).join(best, ["ask", *own]).select(
         query, "place", F.col("artwork").alias(artwork), "distance"
     )
@@ -150,6 +151,73 @@ def nearest_alike(
     return two.filter(F.col(artwork) != F.col(query)).groupBy(query).agg(F.min("distance").alias("distance"))
 
 
+def least_distance(asked: Column, held: Column) -> Column:
+    """The nearest any hash of one list comes to any of the other; null where either is null or empty."""
+    return F.array_min(F.flatten(F.transform(asked, lambda a: F.transform(held, lambda h: F.bit_count(a.bitwiseXOR(h)))))).cast("long")
+
+
+def true_ranks(
+    queries: DataFrame, index: DataFrame, truth: str, query: str = "query_id", artwork: str = "artwork", hashes: str = "hashes", within: str | None = None
+) -> DataFrame:
+    """(query, distance, rank, margin) of every query whose true artwork, named
+    in ``truth``, the index holds.
+
+    ``rank`` is one more than the artworks nearer than the true one, however
+    many those are; ``margin`` is how much further the nearest other artwork
+    lies, under zero where it is nearer, null where there is none. Nothing is
+    ranked: each pair of blocks answers a query with one count and one least
+    distance, and those add up. Artworks with the same hashes are compared once
+    and queries that ask the same about the same hashes are asked once.
+    ``within`` as in :func:`nearest`; a number may occur once in each of its values.
+    """
+    own = [within] if within else []
+    present = F.col(hashes).isNotNull()
+    for c in own:
+        present &= F.col(c).isNotNull()
+    index = index.filter(present)
+    held = materialize(index.groupBy(F.col(hashes).alias("held"), *own).agg(F.count(F.lit(1)).alias("n")), "held")
+    true = index.select(F.col(artwork).alias(truth), F.col(hashes).alias("true"), *own)
+    known = queries.select(query, F.col(hashes).alias("ask"), truth, *own).join(true, [truth, *own])
+    known = materialize(known.select(query, "ask", "true", *own, least_distance(F.col("ask"), F.col("true")).alias("distance")), "known")
+    asked = materialize(known.select("ask", "true", "distance", *own).distinct(), "asked")
+    across = max(1, math.ceil(held.count() / INDEX_BLOCK))
+    down = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+
+    def dealt(df: DataFrame, column: str, own_block: str, n: int, other: str, m: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        return df.select("*", F.pmod(F.xxhash64(column), F.lit(n)).alias(own_block)).select("*", every.alias(other))
+
+    def compare(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if ask.empty or near.empty:
+            return pd.DataFrame(columns=["ask", "true", "nearer", "other", *own], dtype=object)
+        place = {tuple(h): i for i, h in enumerate(near["held"])}
+        index_words, query_words = _matrix(near["held"]), _matrix(ask["ask"])
+        copies = near["n"].to_numpy()
+        alone = np.array([i if (i := place.get(tuple(t), -1)) >= 0 and copies[i] == 1 else -1 for t in ask["true"]])
+        bound = ask["distance"].to_numpy()
+        nearer, other = np.empty(len(ask), np.int64), np.empty(len(ask), np.int64)
+        size = max(1, (1 << 23) // len(near))
+        for at in range(0, len(ask), size):
+            apart = _distances(query_words[at : at + size], index_words)
+            rows = np.arange(len(apart))
+            nearer[at : at + size] = (apart < bound[at : at + size, None]) @ copies
+            mine = alone[at : at + size]
+            apart[rows[mine >= 0], mine[mine >= 0]] = 255  # the true artwork is no other one
+            other[at : at + size] = apart.min(axis=1)
+        return pd.DataFrame({"ask": ask["ask"], "true": ask["true"], "nearer": nearer, "other": other}).assign(**{c: ask[c].iloc[0] for c in own})
+
+    kinds = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in own)
+    local = (
+        dealt(asked, "ask", "qb", down, "ib", across).groupBy("qb", "ib", *own)
+        .cogroup(dealt(held, "held", "ib", across, "qb", down).groupBy("qb", "ib", *own))
+        .applyInPandas(compare, f"ask array<bigint>, true array<bigint>, nearer bigint, other bigint{kinds}")
+    )
+    found = local.groupBy("ask", "true", *own).agg(F.sum("nearer").alias("nearer"), F.min("other").alias("other"))
+    return known.join(found, ["ask", "true", *own]).select(
+        query, *own, "distance", (F.col("nearer") + 1).alias("rank"), F.when(F.col("other") <= APART, F.col("other") - F.col("distance")).alias("margin")
+    )
+
+
 def margins(matches: DataFrame, query: str = "query_id") -> DataFrame:
     """How far the runner-up is behind the best; alone, how far anything is."""
     first = F.max(F.when(F.col("place") == 1, F.col("distance")))

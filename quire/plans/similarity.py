@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import folding, fulltext, lookups, passages, similarity
+from ..operators import folding, fulltext, lookups, measures, passages, similarity
 from ..session import materialize
 from .aggregates import WORDS_SQL
 from .tables import table
@@ -99,6 +99,76 @@ SELECT cut, count(*) AS queries, count(apart) AS alike,
 """
 
 
+#: Ways an embedding comes back changed: every component, by its place and its vector's number.
+_CHANGES = {
+    "flipped": lambda x, i, n: F.when((i + n) % 6 == 0, -x).otherwise(x),
+    "dimmed": lambda x, i, n: x - 0.06,
+    "cropped": lambda x, i, n: F.when((i >= 24) & (i < 32), F.lit(0.0)).otherwise(x),
+}
+_KINDS = {"plain": (False, False), "levels": (True, False), "asked": (True, True)}
+
+
+def _changed(change):
+    return F.transform("embedding", lambda x, i: change(x.cast("double"), i, F.col("vec_id")))
+
+
+def recall_report(spark: SparkSession, root: str) -> DataFrame:
+    """Every embedding asked for in three changed forms against three ways of
+    holding it: at which rank of the whole index it comes back, how far it is
+    and how much further the nearest other one."""
+    vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
+
+    def hashes(vector, kind: str, side: int):
+        levels = (0.0, 0.05) if _KINDS[kind][side] else (0.0,)
+        return F.array(*[similarity.sign_hash(vector, v) for v in levels])
+
+    def each(vector, side: int, *keep):
+        forms = F.array(*[F.struct(F.lit(k).alias("kind"), hashes(vector, k, side).alias("hashes")) for k in _KINDS])
+        return vectors.select(F.col("vec_id").alias("artwork"), F.explode(forms).alias("f"), *keep).select("artwork", "f.*", *keep)
+
+    index = each(F.col("embedding"), 0)
+    asked = None
+    for name, change in _CHANGES.items():
+        one = each(_changed(change), 1).withColumn("change", F.lit(name))
+        asked = one if asked is None else asked.unionByName(one)
+    asked = asked.withColumn("query_id", F.concat_ws("/", "change", "kind", "artwork"))
+    ranks = similarity.true_ranks(asked, index, "artwork", within="kind")
+    cut = asked.select("query_id", "change")
+    both = materialize(ranks.join(cut, "query_id"), "ranks")
+    return measures.recall_report(both, ["change", "kind"])
+
+
+def _changed_sql(change: str) -> str:
+    return {
+        "flipped": "CASE WHEN (i - 1 + vec_id) % 6 = 0 THEN -(embedding[i]::DOUBLE) ELSE embedding[i]::DOUBLE END",
+        "dimmed": "embedding[i]::DOUBLE - 0.06::DOUBLE",
+        "cropped": "CASE WHEN i - 1 >= 24 AND i - 1 < 32 THEN 0 ELSE embedding[i]::DOUBLE END",
+    }[change]
+
+
+def _level_sql(value: str, over: str) -> str:
+    return f"list_sum(list_transform(range(1, 65), lambda i: CASE WHEN {value} > {over} THEN 1::UBIGINT << (64 - i) ELSE 0 END))::UBIGINT"
+
+
+_ASKED_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS change, vec_id AS query_id, {_level_sql(_changed_sql(c), '0')} AS a, {_level_sql(_changed_sql(c), '0.05::DOUBLE')} AS b FROM embeddings" for c in _CHANGES
+)
+RECALL_REPORT = f"""
+WITH i AS (SELECT vec_id AS artwork, {_level_sql("embedding[i]::DOUBLE", "0")} AS a, {_level_sql("embedding[i]::DOUBLE", "0.05::DOUBLE")} AS b FROM embeddings),
+q AS ({_ASKED_SQL}),
+p AS (SELECT change, query_id, artwork, bit_count(xor(q.a, i.a)) AS aa, bit_count(xor(q.a, i.b)) AS ab, bit_count(xor(q.b, i.a)) AS ba, bit_count(xor(q.b, i.b)) AS bb
+  FROM q CROSS JOIN i),
+d AS (SELECT change, query_id, artwork, unnest([{{'kind': 'plain', 'apart': aa}}, {{'kind': 'levels', 'apart': least(aa, ab)}}, {{'kind': 'asked', 'apart': least(aa, ab, ba, bb)}}], recursive := true) FROM p),
+t AS (SELECT *, max(CASE WHEN artwork = query_id THEN apart END) OVER (PARTITION BY change, kind, query_id) AS truth FROM d),
+r AS (SELECT change, kind, query_id, any_value(truth) AS truth, count(*) FILTER (WHERE artwork <> query_id AND apart < truth) + 1 AS rank,
+  min(CASE WHEN artwork <> query_id THEN apart END)::INT - any_value(truth)::INT AS margin FROM t GROUP BY ALL)
+SELECT change, kind, count(*) AS asked, round(count(*) FILTER (WHERE rank <= 1) / count(*), 9) AS recall_1, round(count(*) FILTER (WHERE rank <= 5) / count(*), 9) AS recall_5,
+  round(count(*) FILTER (WHERE rank <= 10) / count(*), 9) AS recall_10, max(rank) AS worst,
+  list_sort(list(truth))[count(*) // 2 + 1]::BIGINT AS distance, list_sort(list(margin))[count(margin) // 2 + 1]::BIGINT AS margin
+FROM r GROUP BY 1, 2
+"""
+
+
 def scan_entries(spark: SparkSession, root: str) -> DataFrame:
     """What a scan of every embedding would list: its nearest artworks through
     the printings that carry them, the margin between nameable ones, whether
@@ -227,6 +297,7 @@ SELECT doc_id, kind, score FROM r ORDER BY kind, score, doc_id LIMIT 50
 QUERIES = {
     "hamming_top_k": (hamming_top_k, HAMMING_TOP_K),
     "recall_at_k": (recall_at_k, RECALL_AT_K),
+    "recall_report": (recall_report, RECALL_REPORT),
     "distance_alike": (distance_alike, DISTANCE_ALIKE),
     "scan_entries": (scan_entries, SCAN_ENTRIES),
     "hash_rows": (hash_rows, HASH_ROWS),

@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -175,3 +176,24 @@ def test_hashes_behave():
     assert one < 1 << 63 and images.gradient_hash(plane) < 1 << 64
     assert images.gradient_energy(plane) > images.gradient_energy(np.full((96, 80), 7, np.uint8)) == 0.0
     assert images.fingerprint((0.0, 0.03, 0.06, 0.09)) != images.fingerprint((0.0, 0.03, 0.06, 0.1))
+
+
+def test_true_ranks_count_the_whole_index(spark, monkeypatch):
+    draw = random.Random(8)
+    monkeypatch.setattr(similarity, "INDEX_BLOCK", 16)
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 8)
+    words = [[draw.getrandbits(63) for _ in range(2)] for _ in range(30)]
+    rows = [(i, draw.choice(words), kind) for kind in ("a", "b") for i in range(60)] + [(99, None, "a"), (98, words[0], None)]
+    index = spark.createDataFrame(rows, "artwork bigint, hashes array<bigint>, kind string")
+    asks = [(f"{kind}{i}", [w ^ draw.getrandbits(20) for w in draw.choice(words)], i, kind) for kind in ("a", "b") for i in range(0, 60, 3)]
+    asks += [("none", words[1], 1000, "a"), ("null", None, 1, "a"), ("unheld", words[1], 99, "a")]
+    queries = spark.createDataFrame(asks, "query_id string, hashes array<bigint>, truth bigint, kind string")
+    got = {r.query_id: (r.distance, r.rank, r.margin) for r in similarity.true_ranks(queries, index, "truth", within="kind").collect()}
+    want = {}
+    for name, ask, truth, kind in asks[:-3]:
+        apart = {i: min((x ^ y).bit_count() for x in ask for y in held) for i, held, k in rows if k == kind and held}
+        others = [d for i, d in apart.items() if i != truth]
+        want[name] = (apart[truth], 1 + sum(d < apart[truth] for d in others), min(others) - apart[truth])
+    assert {k: v for k, v in got.items() if k != "null"} == want
+    alone = similarity.true_ranks(queries.filter("query_id = 'a0'"), index.filter("kind = 'a' AND artwork = 0"), "truth", within="kind").collect()
+    assert [(r.rank, r.margin) for r in alone] == [(1, None)]
