@@ -159,8 +159,8 @@ def least_distance(asked: Column, held: Column) -> Column:
 def true_ranks(
     queries: DataFrame, index: DataFrame, truth: str, query: str = "query_id", artwork: str = "artwork", hashes: str = "hashes", within: str | None = None
 ) -> DataFrame:
-    """(query, distance, rank, margin) of every query whose true artwork, named
-    in ``truth``, the index holds.
+    """(query, distance, rank, margin) of every query with hashes whose true
+    artwork, named in ``truth``, the index holds.
 
     ``rank`` is one more than the artworks nearer than the true one, however
     many those are; ``margin`` is how much further the nearest other artwork
@@ -178,7 +178,8 @@ def true_ranks(
     held = materialize(index.groupBy(F.col(hashes).alias("held"), *own).agg(F.count(F.lit(1)).alias("n")), "held")
     true = index.select(F.col(artwork).alias(truth), F.col(hashes).alias("true"), *own)
     known = queries.select(query, F.col(hashes).alias("ask"), truth, *own).join(true, [truth, *own])
-    known = materialize(known.select(query, "ask", "true", *own, least_distance(F.col("ask"), F.col("true")).alias("distance")), "known")
+    known = known.select(query, "ask", "true", *own, least_distance(F.col("ask"), F.col("true")).alias("distance"))
+    known = materialize(known.filter("distance IS NOT NULL"), "known")
     asked = materialize(known.select("ask", "true", "distance", *own).distinct(), "asked")
     across = max(1, math.ceil(held.count() / INDEX_BLOCK))
     down = max(1, math.ceil(asked.count() / QUERY_BLOCK))

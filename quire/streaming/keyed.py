@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore."
+_SETTINGS = {
+    f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A batch writes what it changed; whole snapshots follow in the background.
+    f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
+    # There are as many small stores as shuffle partitions: none takes disk beforehand.
+    f"{_STORE}rocksdb.allowFAllocate": "false",
+}
 
 
 def files_a_batch(spark: SparkSession, path: str, batches: int) -> int:
@@ -28,10 +34,12 @@ def run_available(changes: DataFrame, take: Callable[[DataFrame, int], None], ch
     see a batch again after a failure and must overwrite what it wrote.
     """
     conf = changes.sparkSession.conf
-    held = conf.get(_STORE, None)
-    conf.set(_STORE, _ROCKSDB)
+    held = {key: conf.get(key, None) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        conf.set(key, value)
     try:  # a started query has a copy of the settings
         query = changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        conf.set(_STORE, held) if held else conf.unset(_STORE)
+        for key, value in held.items():
+            conf.set(key, value) if value else conf.unset(key)
     query.awaitTermination()
