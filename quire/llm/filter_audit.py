@@ -37,7 +37,7 @@ BATCHES = 4
 #: Texts a task holds before it hands them on.
 HELD = 50_000
 #: Tasks that share the rows of one id where labels are joined by shuffle, and labels that are not.
-SHARES, SMALL = 16, 500_000
+SHARES, SMALL = 16, 200_000
 CHANGE = "part string, mask int, good boolean, toxic boolean, n bigint"
 _UPPER = bytes(range(65, 91))
 _INNER = bytes(range(0x80, 0xC0))  # the bytes of a character after its first
