@@ -11,6 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
@@ -76,20 +77,38 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row left of each group; columns as they were, clashing names too."""
+    """``docs`` with one row left of each group; columns as they were, clashing names too.
+
+    The row with the largest id stays, a null id only if there is no other; of
+    rows that share it the one with the largest text as it was written, then by
+    the other columns, so no partitioning changes which. Null text is empty, an
+    empty table stays empty.
+    """
     marked, bits = repeated_marks(digests(docs, id, text))
-    sha, key = fresh(docs, "sha"), fresh(docs, "key")
-    schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.BinaryType()), T.StructField(key, T.LongType())])
+    held = docs.sparkSession.sparkContext.broadcast(marked)
+    sha = fresh(docs, "sha")
+    schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.BinaryType())])
 
     def run(batches):
+        # In one pass, so a task needs one Python worker: the hash of a row that may be repeated, none of one that is alone.
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *_digest(batch, text)], [*batch.schema.names, sha, key])
+            found, key = _digest(batch, text)
+            again = bloom.hits(held.value, key.to_numpy(), bits)
+            found = pc.if_else(pa.array(again), found, pa.nulls(len(found), found.type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, sha])
 
     hashed = docs.mapInArrow(run, schema)
-    alone = bloom.keep_marked(hashed, marked, key, bits, False)
+    ordered = [c for c in docs.columns if c not in (id, text) and not _unordered(docs.schema[c].dataType)]
     last = (
-        bloom.keep_marked(hashed, marked, key, bits)
+        hashed.filter(F.col(sha).isNotNull())
         .groupBy(sha)
-        .agg(F.max_by(F.struct(*docs.columns), F.struct(id)).alias("last"))
+        .agg(F.max_by(F.struct(*docs.columns), F.struct(id, text, *ordered)).alias("last"))
     )
-    return alone.select(*docs.columns).unionByName(last.select("last.*"))
+    alone = hashed.filter(F.col(sha).isNull()).select(*docs.columns)
+    return alone.unionByName(last.select("last.*"))
+
+
+def _unordered(kind: T.DataType) -> bool:
+    """Whether values of a type have no order: maps, and what holds one."""
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, (T.MapType, T.VariantType)) or any(map(_unordered, inner))

@@ -172,3 +172,13 @@ def test_compaction_chains_only_where_nothing_branches(spark):
     df = spark.createDataFrame([(keys[k], a, b, n) for k, a, b, n in pieces], "key bigint, first int, last int, name bigint")
     got = {tuple(r) for r in debruijn.compact(df).select("key", "first", "last").collect()}
     assert got == {(1, 0, 9), (1, 10, 12), (2, 3, 12), (2, 14, 15)}
+
+
+def test_which_row_of_a_group_stays_depends_on_the_rows_alone(spark):
+    rows = [(1, "abc", 1, {"a": 1}), (1, "Abc", 1, {"a": 1}), (1, "ABC", 2, None), (None, "abc", 9, None), (2, "xyz", 1, None), (2, "xyz", 3, None), (3, None, 1, None), (4, "", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sha int, key map<string,int>")
+    want = {(1, "abc", 1), (2, "xyz", 3), (4, "", 0)}
+    for n in (1, 2, 5):
+        kept = exact_dedup.keep_one(docs.repartition(n))
+        assert kept.schema == docs.schema and {tuple(r)[:3] for r in kept.collect()} == want
+    assert exact_dedup.keep_one(docs.limit(0)).count() == 0
