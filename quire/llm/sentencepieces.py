@@ -13,6 +13,7 @@ agendas of their own, and a word met again is looked up.
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -38,6 +39,22 @@ _NONE = 1 << 31
 _BAD = "�".encode()
 
 
+class _Seen(dict):
+    """Words met of late and their ids; the older half is forgotten when it is full."""
+
+    def __init__(self, merge):
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.older.pop(word, None) or self.merge(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Vocabulary:
     """A merge-type model file, with the library beside it to check against."""
 
@@ -70,8 +87,7 @@ class Vocabulary:
                 surface[i] = bytes([self.value[i]])
         self.surface = surface
         self.ends = {i for i in ids if lib.is_control(i)}
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.seen = _Seen(self.merge)
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The agenda over one word."""
@@ -134,22 +150,12 @@ class Vocabulary:
                 out.append(self.unknown)
         return tuple(out)
 
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.seen.get(word)
-        if found is None:
-            found = self.older.pop(word, None) or self.merge(word)
-            if len(word) <= LONGEST:
-                if len(self.seen) >= REMEMBERED:
-                    self.older, self.seen = self.seen, {}
-                self.seen[word] = found
-        return found
-
     def encode(self, text: str) -> tuple[list[int], bool]:
         """The ids of a text, and whether the library finds the same."""
         out: list[int] = []
         same = True
         for stretch in stretches(text):
-            ids = list(chain.from_iterable(map(self.word, self.words(SPACE + stretch.replace(" ", SPACE)))))
+            ids = list(chain.from_iterable(map(self.seen.__getitem__, self.words(SPACE + stretch.replace(" ", SPACE)))))
             same = same and ids == self.library.encode(stretch)
             out += ids
         return out, same
@@ -218,6 +224,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def quietly(batches):
+    """The batches without the collector of cycles, which finds none here but walks all words remembered."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
+
+
 def _plain(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -233,7 +248,7 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text")
 
     def run(batches):
         words = vocabulary(model)
-        for batch in batches:
+        for batch in quietly(batches):
             found = [words.encode(x.decode(errors="replace")) for x in _plain(batch.column(text))]
             ids = pa.array([x for x, _ in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(id), ids, pa.array([x for _, x in found], pa.bool_())], [id, "ids", "same"])
@@ -254,7 +269,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded",
 
     def run(batches):
         words = vocabulary(model)
-        for batch in batches:
+        for batch in quietly(batches):
             found = [(None, True) if x is None else words.decode(x) for x in batch.column(ids).to_pylist()]
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, out, same])
