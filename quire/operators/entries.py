@@ -65,11 +65,22 @@ def sure(margin: Column, matched: Column) -> Column:
     return F.coalesce((F.coalesce(margin, F.lit(0)) >= SURE_MARGIN) & one, F.lit(False))
 
 
+def ids_of(prints: Column) -> Column:
+    """The ids of printings (structs with an ``id``); none where null."""
+    return F.coalesce(F.transform(prints, lambda p: p["id"]), F.array().cast("array<string>"))
+
+
 def among(matched: Column) -> Column:
-    """The printings the winning artwork carries."""
-    return F.coalesce(F.get(matched, F.lit(0))["prints"], F.array().cast("array<string>"))
+    """The ids of the printings the winning artwork carries."""
+    return ids_of(F.get(matched, F.lit(0))["prints"])
 
 
 def offered(matched: Column, printing: Column) -> Column:
     """Whether a printing was anywhere among the matches."""
-    return F.coalesce(F.exists(matched, lambda m: F.array_contains(m["prints"], printing)), F.lit(False))
+    return F.coalesce(F.exists(matched, lambda m: F.array_contains(ids_of(m["prints"]), printing)), F.lit(False))
+
+
+def referenced(entries: DataFrame, chosen: str = "chosen", matched: str = "matched") -> DataFrame:
+    """(id): every printing a list needs the catalog's row of, those chosen and those matched, each once."""
+    ids = F.flatten(F.transform(F.coalesce(F.col(matched), F.array().cast(entries.schema[matched].dataType)), lambda m: ids_of(m["prints"])))
+    return entries.select(F.explode(F.array_append(ids, F.col(chosen))).alias("id")).filter(F.col("id").isNotNull()).distinct()

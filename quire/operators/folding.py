@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize
 from .ranking import ranked
@@ -118,6 +119,39 @@ def fold_in_order(
     return slim.mapInArrow(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{name}` long")
 
 
+def fold_to_end(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], start: Callable[[], tuple[Callable, Callable]], out: str) -> DataFrame:
+    """Where a strictly ordered fold ends: (key, *out), one row a group.
+
+    ``start()`` gives a group's step, called with ``inputs`` row by row, and its
+    end, which answers the values of ``out``. Rows stream through in order as
+    in :func:`fold_in_order` and a group holds no more than its fold does.
+    """
+    slim = df.select(key, *dict.fromkeys([*order, *inputs])).repartition(key).sortWithinPartitions(key, *order)
+    kinds = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(out).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(kinds)
+        step, end, current = None, None, None
+
+        def told(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
+
+        for batch in batches:
+            out = []
+            for group, *values in zip(*(batch.column(c).to_pylist() for c in (key, *inputs))):
+                if step is None or group != current:
+                    if step is not None:
+                        out.append((current, *end()))
+                    (step, end), current = start(), group
+                step(*values)
+            if out:
+                yield told(out)
+        if step is not None:
+            yield told([(current, *end())])
+
+    return slim.mapInArrow(run, kinds)
+
+
 # Characters of one group's lines put together in one row; past it the hash is
 # fed line by line instead.
 DIGEST_CHARS = 16_000_000

@@ -341,6 +341,43 @@ def allocate(
     return placed.withColumn(take, F.greatest(F.lit(0).cast("long"), F.least(whole, left))).drop("_spent")
 
 
+def take_back(parts: DataFrame, wanted: DataFrame, part: str = "part_key", done: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """What taking copies back out of waiting parts changes: (part, action, entries, taken), touched parts only.
+
+    ``parts`` hold ``entries array<struct<position, identity, quantity, ...>>``
+    and ``wanted`` (identity, copies). Copies come off an identity's entries by
+    part and position until there are as many, whatever else an entry says it
+    keeps; an entry without any left goes, and a part without entries is
+    deleted. Parts in ``done``, already drained, are left alone and give none.
+    """
+    if done is not None:
+        parts = parts.join(maybe_broadcast(done.select(part)), part, "left_anti")
+    ask = wanted.groupBy("identity").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = parts.select(part, F.explode("entries").alias("_e"))
+    # Only identities asked for are counted; a part is at most some hundred entries.
+    named = rows.select(part, F.col("_e.position").alias("position"), F.col("_e.identity").alias("identity"), F.col("_e.quantity").alias("quantity"))
+    spent = allocate(named.join(maybe_broadcast(ask), "identity"), ["identity"], [F.asc(part), F.asc("position")], "quantity", "copies", hot_rows=hot_rows)
+    taken = spent.filter("take > 0").groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct("position", "take"))).alias("_take"))
+
+    def less(e: Column) -> Column:
+        return e.withField("quantity", (e["quantity"] - F.coalesce(F.try_element_at("_take", e["position"]), F.lit(0))).cast(kind))
+
+    kind = parts.schema["entries"].dataType.elementType["quantity"].dataType
+    left = F.filter(F.transform("entries", less), lambda e: e["quantity"] > 0)
+    return parts.join(taken, part).select(
+        part, F.when(F.size(left) > 0, "update").otherwise("delete").alias("action"), left.alias("entries"),
+        F.aggregate(F.map_values("_take"), F.lit(0).cast("long"), lambda n, t: n + t).alias("taken"),
+    )
+
+
+def owed(parts: DataFrame, done: DataFrame, part: str = "part_key", digest: str = "digest") -> DataFrame:
+    """(digest, parts, entries, copies) still waiting of each import that has
+    any: an import is planned as long as one of its parts is not drained."""
+    left = parts.join(maybe_broadcast(done.select(part)), part, "left_anti")
+    size = F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["quantity"])
+    return left.groupBy(digest).agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size("entries")).alias("entries"), F.sum(size).alias("copies"))
+
+
 def _next_fit(entries: int, chars: int):
     def start():
         part, count, size = 0, 0, 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.values import iso_text
 from ..operators import ranking, stacks
@@ -236,6 +236,57 @@ FROM t GROUP BY 1
 """
 
 
+def _waiting(spark: SparkSession, root: str) -> DataFrame:
+    """Orders as waiting parts of imports, their lines as entries."""
+    line = table(spark, root, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    entry = F.struct(
+        "position", F.concat_ws("/", F.col("l_partkey").cast("string"), "l_returnflag").alias("identity"),
+        F.col("l_quantity").cast("long").alias("quantity"), F.col("l_linestatus").alias("note"),
+    )
+    return line.withColumn("position", F.row_number().over(w).cast("long")).groupBy(F.col("l_orderkey").cast("string").alias("part_key")).agg(
+        F.concat(F.lit("d"), F.first(F.col("l_orderkey") % 50).cast("string")).alias("digest"), F.array_sort(F.collect_list(entry)).alias("entries")
+    )
+
+
+def take_back(spark: SparkSession, root: str) -> DataFrame:
+    """Thirty copies of every third part taken back out of the parts that
+    wait, one in ten being drained already: what each touched part becomes."""
+    parts = _waiting(spark, root)
+    wanted = table(spark, root, "lineitem").filter("l_partkey % 3 = 0").select(
+        F.concat_ws("/", F.col("l_partkey").cast("string"), "l_returnflag").alias("identity")
+    ).distinct().withColumn("copies", F.lit(30))
+    done = parts.filter(F.col("part_key").cast("long") % 10 == 3)
+    found = stacks.take_back(parts, wanted, done=done)
+    text = F.transform("entries", lambda e: F.concat_ws(" ", e["position"], e["identity"], e["quantity"], e["note"]))
+    return found.select("part_key", "action", "taken", F.array_join(text, ", ").alias("entries"))
+
+
+_WAITING_SQL = """
+l AS (SELECT l_orderkey, l_orderkey::VARCHAR AS part_key, 'd' || (l_orderkey % 50) AS digest, l_partkey, l_partkey || '/' || l_returnflag AS identity, l_quantity::BIGINT AS q, l_linestatus AS note,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position FROM lineitem)"""
+TAKE_BACK = f"""
+WITH {_WAITING_SQL}, b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY identity ORDER BY part_key, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM l WHERE l_orderkey % 10 <> 3),
+t AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN greatest(0, least(q, 30 - before)) ELSE 0 END::BIGINT AS take FROM b)
+SELECT part_key, CASE WHEN bool_or(q > take) THEN 'update' ELSE 'delete' END AS action, sum(take)::BIGINT AS taken,
+  coalesce(string_agg(position || ' ' || identity || ' ' || (q - take) || ' ' || note, ', ' ORDER BY position) FILTER (WHERE q > take), '') AS entries
+FROM t GROUP BY 1 HAVING sum(take) > 0
+"""
+
+
+def owed(spark: SparkSession, root: str) -> DataFrame:
+    """What every import still has waiting while two thirds of its parts are drained."""
+    parts = _waiting(spark, root)
+    return stacks.owed(parts, parts.filter(F.col("part_key").cast("long") % 3 > 0))
+
+
+OWED = f"""
+WITH {_WAITING_SQL}
+SELECT digest, count(DISTINCT part_key) AS parts, count(*) AS entries, sum(q)::BIGINT AS copies FROM l WHERE l_orderkey % 3 = 0 GROUP BY 1
+"""
+
+
 def overlay_latest(spark: SparkSession, root: str) -> DataFrame:
     """Users' first view or click with all their other kinds of events laid over it, the newest winning."""
     events = table(spark, root, "events").select("user_id", "event_id", "event_type", "value")
@@ -309,6 +360,8 @@ QUERIES = {
     "landing": (landing, LANDING),
     "spend_lots": (spend_lots, SPEND_LOTS),
     "consume_waiting": (consume_waiting, CONSUME_WAITING),
+    "take_back": (take_back, TAKE_BACK),
+    "owed": (owed, OWED),
     "overlay_latest": (overlay_latest, OVERLAY_LATEST),
     "then_changes": (then_changes, THEN_CHANGES),
     "merge_fields": (merge_fields, MERGE_FIELDS),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import folding, fulltext, lookups, measures, passages, similarity
+from ..operators import entries as review, folding, fulltext, lookups, measures, passages, similarity
 from ..session import materialize
 from .aggregates import WORDS_SQL
 from .tables import table
@@ -169,10 +169,7 @@ FROM r GROUP BY 1, 2
 """
 
 
-def scan_entries(spark: SparkSession, root: str) -> DataFrame:
-    """What a scan of every embedding would list: its nearest artworks through
-    the printings that carry them, the margin between nameable ones, whether
-    the read settles it."""
+def _entries(spark: SparkSession, root: str) -> DataFrame:
     index = _hashes(spark, root)
     asked = index.withColumnRenamed("artwork", "query_id")
     found = similarity.nearest(asked, index)
@@ -191,7 +188,14 @@ def scan_entries(spark: SparkSession, root: str) -> DataFrame:
             lambda m: F.struct(m["distance"].alias("distance"), m["artwork"].alias("artwork"), m["prints"].alias("prints")),
         ).alias("found")
     )
-    entries = similarity.scan_entries(rows.join(margin, "query_id"), "query_id")
+    return similarity.scan_entries(rows.join(margin, "query_id"), "query_id")
+
+
+def scan_entries(spark: SparkSession, root: str) -> DataFrame:
+    """What a scan of every embedding would list: its nearest artworks through
+    the printings that carry them, the margin between nameable ones, whether
+    the read settles it."""
+    entries = _entries(spark, root)
     return entries.select("query_id", F.size("matched").cast("long").alias("matched"), F.col("margin").cast("long").alias("margin"), "chosen", "finish", "sure")
 
 
@@ -209,6 +213,35 @@ SELECT query_id, matched, gap AS margin, art || 'a' AS chosen, CASE WHEN art % 3
 """
 
 
+def list_reads(spark: SparkSession, root: str) -> DataFrame:
+    """Of every scanned entry: the printings of its nearest artwork, whether the
+    index offered the printing somebody names for it, and whether the read
+    settles it; and every printing the list needs a row of."""
+    entries = materialize(_entries(spark, root), "entries")
+    named = F.concat(F.floor(F.col("query_id") / 2).cast("string"), F.lit("b"))
+    read = entries.select(
+        F.col("query_id").cast("string").alias("what"), F.array_join(review.among(F.col("matched")), " ").alias("among"),
+        review.offered(F.col("matched"), named).alias("offered"), review.sure(F.col("margin"), F.col("matched")).alias("sure"),
+    )
+    needed = review.referenced(entries.withColumn("named", named), "named")
+    return read.unionByName(needed.select("id", F.lit(None).cast("string").alias("among"), F.lit(None).cast("boolean").alias("offered"), F.lit(None).cast("boolean").alias("sure")).withColumnRenamed("id", "what"))
+
+
+LIST_READS = f"""
+WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, artwork) AS place FROM d),
+f AS (SELECT query_id, place, artwork, distance, label FROM r JOIN embeddings ON vec_id = artwork WHERE place <= 5),
+m AS (SELECT query_id, max(CASE WHEN place = 2 THEN distance END) - max(CASE WHEN place = 1 THEN distance END) AS margin,
+  bool_or(place = 1 AND label = 3) AS unnamed FROM f GROUP BY 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS at_ FROM f WHERE label <> 3),
+e AS (SELECT query_id, max(CASE WHEN at_ = 1 THEN distance END) AS d1, max(CASE WHEN at_ = 2 THEN distance END) AS d2,
+  max(CASE WHEN at_ = 1 THEN artwork END) AS art, max(CASE WHEN at_ = 1 THEN label END) AS label,
+  bool_or(artwork = query_id // 2 AND n.label % 2 = 0) AS offered FROM n GROUP BY 1),
+g AS (SELECT e.*, (CASE WHEN d2 IS NOT NULL THEN d2 - d1 WHEN unnamed THEN 0 ELSE margin END)::BIGINT AS gap FROM e JOIN m USING (query_id))
+SELECT query_id::VARCHAR AS what, art || 'a' || CASE WHEN label % 2 = 0 THEN ' ' || art || 'b' ELSE '' END AS among, offered, gap >= 4 AND label % 2 = 1 AS sure FROM g
+UNION ALL SELECT id, NULL, NULL, NULL FROM (SELECT (query_id // 2) || 'b' AS id FROM g UNION SELECT artwork || 'a' FROM n UNION SELECT artwork || 'b' FROM n WHERE label % 2 = 0)
+"""
+
+
 def hash_rows(spark: SparkSession, root: str) -> DataFrame:
     """Every artwork in order against a store that lacks some, zeroed where absent."""
     index = _hashes(spark, root)
@@ -300,6 +333,7 @@ QUERIES = {
     "recall_report": (recall_report, RECALL_REPORT),
     "distance_alike": (distance_alike, DISTANCE_ALIKE),
     "scan_entries": (scan_entries, SCAN_ENTRIES),
+    "list_reads": (list_reads, LIST_READS),
     "hash_rows": (hash_rows, HASH_ROWS),
     "repeated_passages": (repeated_passages, REPEATED_PASSAGES),
     "repeated_within": (repeated_within, REPEATED_WITHIN),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import folding, similarity, stacks
 from ..session import fresh_path
@@ -154,6 +154,75 @@ SELECT entry, arg_max(q, i) AS quantity, arg_max(condition, i) AS condition FROM
 """
 
 
+def _made() -> Column:
+    """What a printing was made in, by its number; every sixth is not known at all."""
+    ways = [["nonfoil", "foil"], ["foil"], ["etched", "foil"], ["nonfoil", "foil", "etched"], []]
+    return F.element_at(F.array(*[F.array(*map(F.lit, w)).cast("array<string>") for w in ways]), (F.col("p_partkey") % 6 + 1).cast("int"))
+
+
+def list_moves(spark: SparkSession, root: str) -> DataFrame:
+    """Events as all eleven moves on one list entry a user and hour of day, in
+    two deliveries: printings are chosen among the parts, which settle and
+    limit the finish."""
+    n = F.col("event_id")
+    ops = ["add", "add", "plus", "minus", "counted", "choose", "refinish", "cycled", "regraded", "dropping", "reported", "drop"]
+    op = F.element_at(F.array(*map(F.lit, ops)), (n % 12 + 1).cast("int"))
+    op = F.when((op == "drop") & (n % 5 > 0), "plus").otherwise(op)
+
+    def named(by: int):
+        return F.concat(F.lit("p"), (n * by % 40).cast("string"))
+
+    value = (
+        F.when(op == "add", named(1)).when(op == "choose", named(7)).when(op == "counted", (n % 5 - 1).cast("string"))
+        .when(op == "refinish", F.element_at(F.array(F.lit("nonfoil"), F.lit("foil"), F.lit("etched")), (n % 3 + 1).cast("int")))
+        .when(op == "regraded", F.concat(F.lit("g"), (n % 4).cast("string"))).when(op == "dropping", (n % 2 == 1).cast("string"))
+        .when(op == "reported", F.concat(F.lit("t"), n.cast("string")))
+    )
+    log = table(spark, root, "events").select(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.hour("ts").cast("string")).alias("entry"), n.alias("seq"), op.alias("op"), value.alias("value")
+    )
+    prints = table(spark, root, "part").filter("p_partkey % 6 < 5").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("printing"), _made().alias("finishes"))
+    base = fresh_path(spark, "moves")
+    middle = log.agg((F.max("seq") / 2).alias("m")).first().m
+    log.filter(F.col("seq") < middle).write.parquet(f"{base}/landing")
+    edits.edit_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", prints)
+    log.filter(F.col("seq") >= middle).write.mode("append").parquet(f"{base}/landing")
+    held = edits.edit_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", prints)
+    return held.select("entry", "quantity", "printing", "finish", "picked", "condition", "dropped", "reported")
+
+
+LIST_MOVES = """
+WITH RECURSIVE p AS (SELECT 'p' || p_partkey AS printing,
+    CASE p_partkey % 6 WHEN 0 THEN ['nonfoil', 'foil'] WHEN 1 THEN ['foil'] WHEN 2 THEN ['etched', 'foil'] WHEN 3 THEN ['nonfoil', 'foil', 'etched'] ELSE []::VARCHAR[] END AS made
+  FROM part WHERE p_partkey % 6 < 5),
+o AS (SELECT user_id || '/' || hour(ts) AS entry, event_id AS n,
+    ['add', 'add', 'plus', 'minus', 'counted', 'choose', 'refinish', 'cycled', 'regraded', 'dropping', 'reported', 'drop'][event_id % 12 + 1] AS op0 FROM events),
+x AS (SELECT entry, n, CASE WHEN op0 = 'drop' AND n % 5 > 0 THEN 'plus' ELSE op0 END AS op FROM o),
+v AS (SELECT *, CASE op WHEN 'add' THEN 'p' || (n % 40) WHEN 'choose' THEN 'p' || (n * 7 % 40) WHEN 'counted' THEN (n % 5 - 1)::VARCHAR
+    WHEN 'refinish' THEN ['nonfoil', 'foil', 'etched'][n % 3 + 1] WHEN 'regraded' THEN 'g' || (n % 4) WHEN 'dropping' THEN (n % 2 = 1)::VARCHAR
+    WHEN 'reported' THEN 't' || n END AS value, row_number() OVER (PARTITION BY entry ORDER BY n) AS i FROM x),
+e AS (SELECT v.*, coalesce(p.made, []::VARCHAR[]) AS ways,
+    CASE WHEN len(ways) = 1 THEN ways[1] WHEN len(ways) = 0 OR list_contains(ways, 'nonfoil') THEN 'nonfoil' ELSE ways[1] END AS settled
+  FROM v LEFT JOIN p ON p.printing = v.value AND op IN ('add', 'choose')),
+f AS (SELECT entry, 0::BIGINT AS i, 0::BIGINT AS q, NULL::VARCHAR AS printing, []::VARCHAR[] AS made, 'nonfoil' AS finish, false AS picked,
+    '' AS condition, false AS dropped, NULL::VARCHAR AS reported FROM (SELECT DISTINCT entry FROM e)
+  UNION ALL
+  SELECT f.entry, e.i,
+    CASE WHEN op = 'add' AND q = 0 THEN 1 WHEN q <= 0 THEN q WHEN op = 'plus' THEN least(q + 1, 10000) WHEN op = 'minus' THEN CASE WHEN q = 1 THEN -1 ELSE q - 1 END
+      WHEN op = 'counted' THEN greatest(1, value::BIGINT) WHEN op = 'drop' THEN -1 ELSE q END,
+    CASE WHEN (op = 'add' AND q = 0) OR (op = 'choose' AND q > 0) THEN value ELSE printing END,
+    CASE WHEN (op = 'add' AND q = 0) OR (op = 'choose' AND q > 0) THEN ways ELSE made END,
+    CASE WHEN (op = 'add' AND q = 0) OR (op = 'choose' AND q > 0 AND value IS DISTINCT FROM printing) THEN settled
+      WHEN op = 'refinish' AND q > 0 AND list_contains(made, value) THEN value
+      WHEN op = 'cycled' AND q > 0 AND len(made) > 1 THEN made[coalesce(list_position(made, finish), 0) % len(made) + 1] ELSE finish END,
+    picked OR (op = 'choose' AND q > 0), CASE WHEN op = 'regraded' AND q > 0 THEN value ELSE condition END,
+    CASE WHEN op = 'dropping' AND q > 0 THEN value = 'true' ELSE dropped END, CASE WHEN op = 'reported' AND q > 0 THEN value ELSE reported END
+  FROM f JOIN e ON e.entry = f.entry AND e.i = f.i + 1)
+SELECT entry, q AS quantity, printing, finish, picked, condition, dropped, reported FROM f
+QUALIFY row_number() OVER (PARTITION BY entry ORDER BY i DESC) = 1 AND q > 0
+"""
+
+
 def unfile(spark: SparkSession, root: str) -> DataFrame:
     """Every stack of one place taken out of it: those that come to equal a
     loose one join it, under a ceiling of 500 copies."""
@@ -210,6 +279,7 @@ QUERIES = {
     "stream_drain": (stream_drain, STREAM_DRAIN),
     "live_totals": (live_totals, LIVE_TOTALS),
     "amend_log": (amend_log, AMEND_LOG),
+    "list_moves": (list_moves, LIST_MOVES),
     "unfile": (unfile, UNFILE),
     "capped_backfill": (capped_backfill, CAPPED_BACKFILL),
 }

@@ -8,30 +8,29 @@ from ..constants import MAX_COPIES
 from ..operators.sizes import maybe_broadcast
 from ..operators.stacks import reconcile
 from ..session import materialize
-from .tables import newest, read_batches, write_batch
+from .tables import compact, read_newest, write_batch
 
 # One row a part, so a part is applied whole or not at all. Packing bounds its entries.
 PART = "part_key string, digest string, entries array<struct<position:bigint,identity:string,quantity:bigint,lots:bigint>>"
 STATE = "identity string, held_id string, quantity bigint, lots bigint, at bigint"
-APPLIED = "part_key string"
+APPLIED = "part_key string, digest string"
+STACK = ["identity", "held_id"]
 
 
 def collection(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """The stacks as they stand. Grouped by identity as well, so a join on it
     narrows the changes before they are folded."""
-    return newest(read_batches(spark, f"{root}/stacks", STATE, before), ["identity", "held_id"]).select(
-        "identity", "held_id", "quantity", "lots", "at"
-    )
+    return read_newest(spark, f"{root}/stacks", STATE, STACK, before).select("identity", "held_id", "quantity", "lots", "at")
 
 
 def applied(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    return read_batches(spark, f"{root}/applied", APPLIED, before).select("part_key").distinct()
+    return read_newest(spark, f"{root}/applied", APPLIED, ["part_key"], before)
 
 
 def pending(parts: DataFrame, done: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
     """Parts still to apply: each once however often it was sent, none already
     applied, none of a cancelled import."""
-    left = parts.join(maybe_broadcast(done), "part_key", "left_anti")
+    left = parts.join(maybe_broadcast(done.select("part_key")), "part_key", "left_anti")
     if cancelled is not None:
         left = left.join(maybe_broadcast(cancelled.select("digest").distinct()), "digest", "left_anti")
     return left.dropDuplicates(["part_key"])
@@ -54,7 +53,9 @@ def drain_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, c
         "identity", F.coalesce("held_id", fresh).alias("held_id"), F.col("after").alias("quantity"), F.col("lots_after").alias("lots"), F.lit(number).cast("long").alias("at")
     )
     write_batch(changed, f"{root}/stacks", number)
-    write_batch(parts.select("part_key").distinct(), f"{root}/applied", number)
+    write_batch(parts.select("part_key", "digest"), f"{root}/applied", number)
+    compact(spark, f"{root}/stacks", STATE, STACK, number)
+    compact(spark, f"{root}/applied", APPLIED, ["part_key"], number)
 
 
 def drain_stream(
@@ -87,9 +88,14 @@ def totals_stream(spark: SparkSession, landing: str, root: str, checkpoint: str,
         entries_of(spark.readStream.schema(PART).option("maxFilesPerTrigger", files).parquet(landing))
         .groupBy(by).agg(F.sum("quantity").alias("quantity"))
     )
+
+    def take(df: DataFrame, number: int) -> None:
+        write_batch(df.select(by, "quantity"), root, number)
+        compact(spark, root, schema, [by], number)
+
     query = (
-        totals.writeStream.outputMode("update").foreachBatch(lambda df, n: write_batch(df.select(by, "quantity"), root, n))
+        totals.writeStream.outputMode("update").foreachBatch(take)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return newest(read_batches(spark, root, schema), [by])
+    return read_newest(spark, root, schema, [by])

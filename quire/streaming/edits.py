@@ -2,94 +2,122 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..constants import FINISHES, MAX_COPIES
-from ..operators.folding import fold_in_order
+from ..operators.folding import fold_to_end
+from ..operators.sizes import maybe_broadcast
 from ..operators.stacks import assign_bins
-from .tables import newest, read_batches, write_batch
+from .tables import compact, read_newest, write_batch
 
 EDIT = "entry string, seq bigint, op string, value string"
-ENTRY = "entry string, quantity bigint, finish string, condition string, dropped boolean, seq bigint"
-
+ENTRY = (
+    "entry string, quantity bigint, finish string, condition string, dropped boolean, seq bigint, "
+    "printing string, made array<string>, picked boolean, reported string"
+)
+_OUT = ENTRY.partition(", ")[2]
 
 GONE = -1
 
 
-def _quantity():
-    """An entry's count under one edit after another: 0 while it was never
-    there, and ``GONE`` once it is taken away, after which nothing brings it
-    back."""
-    held = 0
+def _settled(made: list[str]) -> str:
+    if len(made) == 1:
+        return made[0]
+    return FINISHES[0] if FINISHES[0] in made or not made else made[0]
+
 
-    def step(op: str, n: int | None) -> int:
-        nonlocal held
+def _moves():
+    """An entry under one edit after another. It counts 0 while it was never
+    there and ``GONE`` once it is taken away, after which nothing brings it
+    back or changes it."""
+    held = {"quantity": 0, "finish": FINISHES[0], "condition": "", "dropped": False, "seq": None, "printing": None, "made": None, "picked": False, "reported": None}
+
+    def step(seq: int, op: str, value: str | None, n: int | None, made: list[str] | None, state: dict | None) -> None:
         if op == "state":
-            held = n
-        elif held == GONE:
+            held.update({k: v for k, v in state.items() if v is not None})
+            return
+        held["seq"] = seq
+        count = held["quantity"]
+        if op == "add":
+            if count == 0:
+                held.update(quantity=1, printing=value, made=made, finish=_settled(made or []))
+        elif count <= 0:
             pass
-        elif op == "add":
-            held = held or 1
-        elif held > 0:
-            if op == "plus":
-                held = min(held + 1, MAX_COPIES)
-            elif op == "minus":
-                held = held - 1 or GONE
-            elif op == "counted":
-                held = min(max(1, n or 0), MAX_COPIES)
-            elif op == "drop":
-                held = GONE
-        return held
-
-    return step
-
-
-def fold_edits(entries: DataFrame, edits: DataFrame) -> DataFrame:
-    """Entries after their edits. The count is the one thing each edit needs
-    the last for, and is folded over slim rows; what an edit sets outright is
-    the last such edit made while the entry was there."""
-    state = entries.select("entry", F.lit(-1).cast("long").alias("seq"), F.lit("state").alias("op"), F.col("quantity").alias("n"))
-    counted = edits.select("entry", "seq", "op", F.floor(F.col("value").try_cast("double")).cast("long").alias("n"))
-    after = fold_in_order(state.unionByName(counted), "entry", "seq", ["op", "n"], _quantity, "left")
-    done = after.join(edits, ["entry", "seq"], "left")
-
-    def last(op: str, allowed=F.lit(True)):
-        set_ = (F.col("op") == op) & (F.col("left") > 0) & allowed
-        return F.max_by(F.when(set_, F.col("value")), F.when(set_, F.col("seq")))
-
-    made = F.col("value").isin(FINISHES)  # a finish nobody makes is not taken
-    folded = done.groupBy("entry").agg(
-        F.max_by("left", "seq").alias("quantity"),
-        last("refinish", made).alias("_finish"),
-        last("regraded").alias("_condition"),
-        last("dropping").alias("_dropped"),
-        F.max("seq").alias("seq"),
-    )
-    return folded.join(entries.select("entry", "finish", "condition", "dropped"), "entry", "left").select(
-        "entry",
-        "quantity",
-        F.coalesce("_finish", "finish", F.lit("nonfoil")).alias("finish"),
-        F.coalesce("_condition", "condition", F.lit("")).alias("condition"),
-        F.coalesce(F.col("_dropped") == "true", "dropped", F.lit(False)).alias("dropped"),
-        "seq",
+        elif op == "plus":
+            held["quantity"] = min(count + 1, MAX_COPIES)
+        elif op == "minus":
+            held["quantity"] = count - 1 or GONE
+        elif op == "counted":
+            held["quantity"] = min(max(1, n or 0), MAX_COPIES)
+        elif op == "drop":
+            held["quantity"] = GONE
+        elif op == "dropping":
+            held["dropped"] = value == "true"
+        elif op == "regraded":
+            held["condition"] = value or ""
+        elif op == "reported":
+            held["reported"] = value
+        elif op == "choose":
+            if value != held["printing"]:
+                held.update(printing=value, made=made, finish=_settled(made or []))
+            held["picked"] = True
+        elif op == "refinish":
+            # Made in nothing known of: any finish somebody makes.
+            if value in (FINISHES if held["made"] is None else held["made"]):
+                held["finish"] = value
+        elif op == "cycled":
+            ways = held["made"] or []
+            if len(ways) > 1:
+                at = ways.index(held["finish"]) if held["finish"] in ways else -1
+                held["finish"] = ways[(at + 1) % len(ways)]
+
+    return step, lambda: held.values()
+
+
+def fold_edits(entries: DataFrame, edits: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """Entries after their edits, each entry's in the order of ``seq``.
+
+    Ten moves: add, plus, minus, counted, drop, dropping, regraded, reported,
+    choose, refinish and cycled, the first of which begins an entry. ``prints``
+    (printing, finishes) says what a printing was made in: choosing one settles
+    the finish, and a finish it was not made in is refused; one it does not
+    name was made in none. Edits are rows of a
+    few words, folded where they stream by, so an entry may have any number.
+    """
+    rest = [c for c in T.StructType.fromDDL(_OUT).fields]
+    state = F.struct(*[(F.col(f.name) if f.name in entries.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in rest])
+    none = F.lit(None)
+    before = entries.select(
+        "entry", F.lit(-1).cast("long").alias("seq"), F.lit("state").alias("op"), none.cast("string").alias("value"), none.cast("array<string>").alias("made"), state.alias("state")
     )
-
-
-def edit_stream(spark: SparkSession, landing: str, root: str, checkpoint: str) -> DataFrame:
+    told = edits.select("entry", "seq", "op", "value")
+    if prints is None:
+        told = told.withColumn("made", none.cast("array<string>"))
+    else:
+        made = prints.select(F.col("printing").alias("value"), F.col("finishes").alias("made"), F.explode(F.array(F.lit("add"), F.lit("choose"))).alias("op"))
+        made = made.dropDuplicates(["value", "op"])
+        told = told.join(maybe_broadcast(made), ["value", "op"], "left").withColumn("made", F.coalesce("made", F.array().cast("array<string>")))
+    rows = before.unionByName(told.withColumn("state", none.cast(before.schema["state"].dataType)))
+    rows = rows.withColumn("n", F.floor(F.col("value").try_cast("double")).cast("long"))
+    return fold_to_end(rows, "entry", ["seq", "op", "value"], ["seq", "op", "value", "n", "made", "state"], _moves, _OUT)
+
+
+def edit_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, prints: DataFrame | None = None) -> DataFrame:
     """Edits arriving as files, all of one trigger folded in their own order
     onto the entries so far."""
 
     def take(batch: DataFrame, number: int) -> None:
         touched = batch.select("entry").distinct()
-        held = newest(read_batches(spark, root, ENTRY, number), ["entry"]).join(touched, "entry", "left_semi")
-        write_batch(fold_edits(held, batch), root, number)
+        held = read_newest(spark, root, ENTRY, ["entry"], number).join(touched, "entry", "left_semi")
+        write_batch(fold_edits(held, batch, prints), root, number)
+        compact(spark, root, ENTRY, ["entry"], number)
 
     query = (
         spark.readStream.schema(EDIT).parquet(landing)
         .writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return newest(read_batches(spark, root, ENTRY), ["entry"]).filter(F.col("quantity") > 0)
+    return read_newest(spark, root, ENTRY, ["entry"]).filter(F.col("quantity") > 0)
 
 
 def amend_stacks(stacks: DataFrame, edits: DataFrame, copies: int = MAX_COPIES) -> DataFrame:
