@@ -21,18 +21,25 @@ def ingest_catalog(spark: SparkSession, path: str, before: int | None) -> tuple[
     return catalog.ingest(good, rejects, before)
 
 
-def export_catalog(prints: DataFrame, cards: DataFrame, root: str, version: str) -> dict:
-    """The published catalog: cards and printings in order, dictionaries, sets."""
+def export_catalog(prints: DataFrame, cards: DataFrame, root: str, version: str, store: DataFrame | None = None, hasher: str = "") -> dict:
+    """The published catalog: cards and printings in order, dictionaries, sets,
+    and where there is a ``store`` of hashes the artwork index beside the
+    printings, backs after fronts."""
     catalog.claimed_runs(cards, prints)
     ordered = materialize(catalog.export_order(prints, cards), "ordered")
     rows = catalog.export_prints(ordered)
+    artwork = None
+    if store is not None:
+        sides = ordered.select("seq", F.col("illustration_id").alias("front"), F.col("back_illustration").alias("back"))
+        artwork = catalog_files.artwork_part(sides, store, f"{root}/prints", width=len(HASH_INSETS), hasher=hasher)
     return {
         "cards": catalog_files.write_catalog(
             catalog.export_cards(cards).join(catalog.card_faces(prints, cards), "oracle_id", "left"),
             f"{root}/cards", version, [], [F.asc("name"), F.asc("oracle_id")],
         ),
         "prints": catalog_files.write_catalog(
-            rows, f"{root}/prints", version, ["rarity", "layout", "image_status", "lang", "artist"], [F.asc("seq")]
+            rows, f"{root}/prints", version, ["rarity", "layout", "image_status", "lang", "artist"], [F.asc("seq")],
+            arrays={"finishes": "mask"}, artwork=artwork,
         ),
         "sets": catalog_files.write_catalog(catalog.set_table(prints), f"{root}/sets", version, [], [F.asc("set_code")]),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..constants import HASH_INSETS
-from ..operators import catalog
+from ..operators import catalog, ranking, similarity
 from ..session import fresh_path, materialize
 from ..sources import catalog_files, images, jsonl, records
 from .tables import table
@@ -118,6 +118,84 @@ def encoded_catalog(spark: SparkSession, root: str) -> DataFrame:
 ENCODED_CATALOG = "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_suppkey FROM lineitem"
 
 
+def encoded_arrays(spark: SparkSession, root: str) -> DataFrame:
+    """Orders with the parts they hold as places, the flags of their lines as a
+    mask and their flags in full as one interned text, published twice, decoded."""
+    line = table(spark, root, "lineitem")
+    rows = line.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set(F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")))).alias("kinds"),
+        F.array_sort(F.collect_set("l_returnflag")).alias("flags"),
+        F.to_json(F.array_sort(F.collect_set(F.struct("l_returnflag", "l_linestatus")))).alias("legal"),
+    )
+    # Some have none of a kind, some nothing said at all.
+    rows = rows.withColumn("kinds", F.when(F.col("l_orderkey") % 7 == 0, F.array().cast("array<string>")).when(F.col("l_orderkey") % 7 > 1, F.col("kinds")))
+    path = fresh_path(spark, "catalog")
+    how = {"arrays": {"kinds": "places", "flags": "mask"}, "interned": {"legal": ["l_orderkey"]}}
+    catalog_files.write_catalog(rows.filter("l_orderkey % 2 = 0"), path, "1", [], [F.asc("l_orderkey")], **how)
+    catalog_files.write_catalog(rows, path, "2", [], [F.asc("l_orderkey")], **how)
+    now = catalog_files.read_catalog(spark, path, rows.columns)
+    before = catalog_files.read_catalog(spark, path, ["l_orderkey"], back=1).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(-1).cast("bigint").alias("l_orderkey"), F.lit(None).cast("string").alias("kinds"), F.lit(None).cast("string").alias("flags"), F.col("n").cast("string").alias("legal")
+    )
+    words = lambda c: F.array_join(F.array_sort(c), " ")
+    return now.select(F.col("l_orderkey").cast("bigint"), words("kinds").alias("kinds"), words("flags").alias("flags"), "legal").unionByName(before)
+
+
+ENCODED_ARRAYS = """
+WITH l AS (SELECT l_orderkey, string_agg(DISTINCT 's' || (l_suppkey % 40), ' ' ORDER BY 's' || (l_suppkey % 40)) AS kinds, string_agg(DISTINCT l_returnflag, ' ' ORDER BY l_returnflag) AS flags,
+  '[' || string_agg(DISTINCT '{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus || '"}', ','
+    ORDER BY '{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus || '"}') || ']' AS legal FROM lineitem GROUP BY 1)
+SELECT l_orderkey::BIGINT AS l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN '' WHEN l_orderkey % 7 > 1 THEN kinds END AS kinds, flags, legal FROM l
+UNION ALL SELECT -1, NULL, NULL, count(*) FILTER (WHERE l_orderkey % 2 = 0)::VARCHAR FROM l
+"""
+
+
+def artwork_index(spark: SparkSession, root: str) -> DataFrame:
+    """Lines as printings with a part on the front and for some another on the
+    back: the published index of their artwork, hashed where the embeddings
+    have it, its pairs, and what it says about itself."""
+    line = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = [F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_extendedprice")]
+    name = lambda n: F.concat(F.lit("art"), n.cast("string"))
+    front = F.when(F.col("l_partkey") % 11 > 0, name(F.col("l_partkey") % 700))
+    back = F.when(F.col("l_suppkey") % 3 == 0, name(F.col("l_partkey") % 900 + F.col("l_suppkey") % 2))
+    prints = ranking.number_rows(line, order, "seq").select("seq", front.alias("front"), back.alias("back"))
+    vectors = table(spark, root, "embeddings").filter("vec_id % 5 > 0")
+    store = vectors.select(name(F.col("vec_id")).alias("artwork"), F.array(similarity.sign_hash(F.col("embedding")), similarity.sign_hash(F.col("embedding"), 0.05)).alias("hashes"))
+    path = fresh_path(spark, "catalog")
+    made = catalog_files.artwork_part(prints, store, path, width=2, hasher="h1")
+    catalog_files.write_catalog(prints, path, "v1", ["front", "back"], [F.asc("seq")], artwork=made)
+    artwork, backs = catalog_files.read_artwork(spark, path, "h1")
+    said = catalog_files.read_manifest(spark, path)["artwork"]
+    none, zero = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    bits = F.bit_count(F.get("hashes", F.lit(0))) * 100 + F.bit_count(F.get("hashes", F.lit(1)))
+    return (
+        artwork.select(F.lit("artwork").alias("what"), "number", "artwork", "present", bits.cast("bigint").alias("n"))
+        .union(backs.select(F.lit("back"), "back_number", none, F.lit(None).cast("boolean"), "front_number"))
+        .union(spark.createDataFrame([(k, said[k]) for k in ("rows", "fronts", "absent", "backs", "hashes")], "what string, n bigint").select("what", zero, none, F.lit(None).cast("boolean"), "n"))
+    )
+
+
+def _bits_sql(over: str) -> str:
+    return f"len(list_filter(range(1, 65), lambda i: embedding[i] > {over}))"
+
+
+ARTWORK_INDEX = f"""
+WITH p AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
+  CASE WHEN l_partkey % 11 > 0 THEN 'art' || (l_partkey % 700) END AS front, CASE WHEN l_suppkey % 3 = 0 THEN 'art' || (l_partkey % 900 + l_suppkey % 2) END AS back FROM lineitem),
+f AS (SELECT front AS artwork, row_number() OVER (ORDER BY min(seq)) - 1 AS number FROM p WHERE front IS NOT NULL GROUP BY 1),
+b AS (SELECT DISTINCT front, back FROM p WHERE front <> back),
+o AS (SELECT artwork, row_number() OVER (ORDER BY artwork) - 1 + (SELECT count(*) FROM f) AS number FROM (SELECT DISTINCT back AS artwork FROM b) WHERE artwork NOT IN (SELECT artwork FROM f)),
+a AS (SELECT * FROM f UNION ALL SELECT * FROM o),
+s AS (SELECT 'art' || vec_id AS artwork, {_bits_sql("0")} * 100 + {_bits_sql("0.05::FLOAT")} AS n FROM embeddings WHERE vec_id % 5 > 0),
+w AS (SELECT number, artwork, n IS NOT NULL AS present, coalesce(n, 0) AS n FROM a LEFT JOIN s USING (artwork))
+SELECT 'artwork' AS what, number, artwork, present, n::BIGINT AS n FROM w
+UNION ALL SELECT 'back', x.number, NULL, NULL, y.number FROM b JOIN a x ON x.artwork = b.back JOIN a y ON y.artwork = b.front
+UNION ALL SELECT unnest(['rows', 'fronts', 'absent', 'backs', 'hashes']), NULL, NULL, NULL,
+  unnest([(SELECT count(*) FROM a), (SELECT count(*) FROM f), (SELECT count(*) FROM w WHERE NOT present), (SELECT count(*) FROM b), 2])
+"""
+
+
 def retention(spark: SparkSession, root: str) -> DataFrame:
     """Orders as a listing of published files: what may be swept, and of the
     finished ones what would still have to be sent."""
@@ -163,6 +241,8 @@ QUERIES = {
     "version_index": (version_index, VERSION_INDEX),
     "record_tree": (record_tree, RECORD_TREE),
     "encoded_catalog": (encoded_catalog, ENCODED_CATALOG),
+    "encoded_arrays": (encoded_arrays, ENCODED_ARRAYS),
+    "artwork_index": (artwork_index, ARTWORK_INDEX),
     "retention": (retention, RETENTION),
     "frame_hash": (frame_hash, None),
 }

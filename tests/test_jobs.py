@@ -22,7 +22,12 @@ def test_ingest_and_export(spark, tmp_path):
     prints, cards, report = jobs.ingest_catalog(spark, str(tmp_path / "bulk"), 8)
     assert report.first().outcome == "synced" and report.first().cards == 2
     root = str(tmp_path / "out")
-    made = jobs.export_catalog(prints, cards, root, "v1")
+    arts = [r.illustration_id for r in prints.select("illustration_id").distinct().collect() if r.illustration_id]
+    store = spark.createDataFrame([(a, [1, 2, 3, 4]) for a in arts[:1]], "artwork string, hashes array<bigint>")
+    made = jobs.export_catalog(prints, cards, root, "v1", store, "h")
+    artwork, _ = catalog_files.read_artwork(spark, f"{root}/prints", "h")
+    assert artwork.count() == made["prints"]["artwork"]["fronts"] == len(arts)
+    assert artwork.filter("present").count() == len(arts[:1])
     rows = catalog_files.read_catalog(spark, f"{root}/prints", made["prints"]["fields"]).orderBy("seq").collect()
     assert [r.id for r in rows] == ["b0", "b1", "a0", "a1", "a2", "a3", "a4", "a5", "a6"]
     assert rows[0].artist == "Ann" and rows[2].artist is None

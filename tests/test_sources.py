@@ -218,3 +218,72 @@ def test_catalog_refuses_other_fields(spark, tmp_path):
     assert sorted(map(tuple, catalog_files.read_catalog(spark, root, ["k", "w"]).collect())) == [(1, "a"), (2, "b"), (3, "a"), (4, None)]
     with pytest.raises(ValueError):
         catalog_files.read_catalog(spark, root, ["w", "k"])
+
+
+def test_a_build_that_dies_leaves_the_catalog_before_it(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "cat")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
+    two = spark.createDataFrame([(1, "c"), (2, "b"), (3, "c")], "k int, w string")
+    read = lambda back=0: sorted(map(tuple, catalog_files.read_catalog(spark, root, ["k", "w"], back).collect()))
+    catalog_files.write_catalog(one, root, "1", ["w"])
+    files = {f.name for f in (tmp_path / "cat").iterdir()}
+    put = catalog_files._put
+
+    def dies(spark, staged, target):
+        if "manifests" in target:
+            raise OSError("gone")
+        put(spark, staged, target)
+
+    monkeypatch.setattr(catalog_files, "_put", dies)
+    with pytest.raises(OSError):
+        catalog_files.write_catalog(two, root, "2", ["w"])
+    assert read() == [(1, "a"), (2, "b")] and catalog_files.read_manifest(spark, root)["version"] == "1"
+    monkeypatch.undo()
+    catalog_files.write_catalog(two, root, "2", ["w"])
+    assert read() == [(1, "c"), (2, "b"), (3, "c")] and read(1) == [(1, "a"), (2, "b")]
+    # The same once more publishes nothing new; a part that is there is not written over.
+    stamp = {f: f.stat().st_mtime_ns for f in (tmp_path / "cat").rglob("*.parquet") if f.is_file()}
+    catalog_files.write_catalog(two, root, "2", ["w"])
+    assert catalog_files.manifests(spark, root) == [1, 2]
+    assert all(f.stat().st_mtime_ns == at for f, at in stamp.items())
+    # Two manifests keep their parts; past them, and once settled, parts go.
+    left = [f"_staged/{f.name}" for f in (tmp_path / "cat" / "_staged").iterdir()]
+    assert left and catalog_files.sweep(spark, root, 3600) == [] and catalog_files.sweep(spark, root, 0.0, keep=2) == left
+    catalog_files.write_catalog(two.limit(1), root, "3", ["w"])
+    gone = catalog_files.sweep(spark, root, 0.0)
+    assert "manifests/00000001" in gone and {g for g in gone if "." in g} == {f for f in files if "." in f}
+    assert read(1) == [(1, "c"), (2, "b"), (3, "c")]
+    with pytest.raises(LookupError):
+        catalog_files.read_manifest(spark, root, 2)
+
+
+def test_arrays_in_a_catalog(spark, tmp_path):
+    rows = [(1, ["b", "a"], ["x"], "p"), (2, [], ["y", "x"], "q"), (3, None, None, None), (4, ["a", None, "a"], [], "p")]
+    df = spark.createDataFrame(rows, "k int, places array<string>, bits array<string>, whole string")
+    root = str(tmp_path / "cat")
+    made = catalog_files.write_catalog(df, root, "1", [], arrays={"places": "places", "bits": "mask"}, interned={"whole": ["k"]})
+    got = sorted(map(tuple, catalog_files.read_catalog(spark, root, df.columns).collect()))
+    assert got == [(1, ["b", "a"], ["x"], "p"), (2, [], ["x", "y"], "q"), (3, None, None, None), (4, ["a", "a"], [], "p")]
+    held = {r.k: r for r in spark.read.parquet(f"{root}/{made['parts']['rows']['name']}").collect()}
+    assert (held[1].places, held[1].bits, held[1].whole) == ([1, 0], 1, 0) and (held[2].bits, held[2].whole) == (3, 1)
+    many = spark.createDataFrame([([str(i) for i in range(64)],)], "bits array<string>")
+    with pytest.raises(ValueError):
+        catalog_files.write_catalog(many, root, "2", [], arrays={"bits": "mask"})
+    assert catalog_files.read_manifest(spark, root)["version"] == "1"
+
+
+def test_artwork_numbers_backs_after_fronts(spark, tmp_path):
+    prints = spark.createDataFrame(
+        [(3, "f2", "z"), (1, "f1", "b"), (2, "f1", "b"), (4, "f2", "f1"), (5, None, "a"), (6, "f3", "f3"), (7, "f3", "a")], "seq bigint, front string, back string"
+    )
+    store = spark.createDataFrame([("f1", [1, 2]), ("a", [0, 0])], "artwork string, hashes array<bigint>")
+    root = str(tmp_path / "cat")
+    made = catalog_files.artwork_part(prints, store, root, width=2, hasher="h")
+    assert {k: made[k] for k in ("rows", "fronts", "absent", "backs")} == {"rows": 6, "fronts": 3, "absent": 4, "backs": 4}
+    catalog_files.write_catalog(prints, root, "v", ["front"], artwork=made)
+    artwork, backs = catalog_files.read_artwork(spark, root, "h")
+    rows = artwork.orderBy("number").collect()
+    assert [(r.artwork, r.present) for r in rows] == [("f1", True), ("f2", False), ("f3", False), ("a", True), ("b", False), ("z", False)]
+    assert rows[1].hashes == [0, 0] and sorted(map(tuple, backs.collect())) == [(0, 1), (3, 2), (4, 0), (5, 1)]
+    with pytest.raises(ValueError):
+        catalog_files.read_artwork(spark, root, "other")
