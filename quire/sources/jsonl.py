@@ -39,27 +39,27 @@ def scan_json_lines(
 
     full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
-    parsed = lines.withColumn("row", F.from_json("value", full, options))
-    shape = F.col("row").isNull() | F.col(f"row.{_CORRUPT}").isNotNull() | ~_strict(F.col("value"), schema)
+    # Parsed as a row and as what was said, each once: as columns of their own they are not put in where they are used.
+    parsed = lines.withColumns({"row": F.from_json("value", full, options), "_said": F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))})
+    shape = F.col("row").isNull() | F.col(f"row.{_CORRUPT}").isNotNull() | ~_strict(F.col("_said"), schema)
     reason = F.when(shape, F.lit("not a record of this shape"))
     for name in required:
         reason = reason.when(F.col(f"row.{name}").isNull(), F.lit(f"no {name}"))
     for text, bad in (checks or {}).items():
         reason = reason.when(F.coalesce(bad, F.lit(False)), F.lit(text))
-    judged = parsed.withColumn("reason", reason)
+    judged = parsed.select("file", "line", "row", reason.alias("reason"))
     good = judged.filter(F.col("reason").isNull()).select("file", "line", *[F.col(f"row.{f.name}").alias(f.name) for f in schema.fields])
     rejects = judged.filter(F.col("reason").isNotNull()).select("file", "line", "reason")
     return good, rejects
 
 
-def _strict(line: Column, schema: T.StructType) -> Column:
-    """Whether a line is one JSON value and its fields are of the kinds wanted.
+def _strict(whole: Column, schema: T.StructType) -> Column:
+    """Whether a line, read in brackets, is one JSON value and its fields are of the kinds wanted.
 
     The parser by itself reads a number or an object as text and passes over
     what follows a value. In brackets, what follows breaks the array or makes
     it longer; a field's own kind is read before any conversion.
     """
-    whole = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     ok = F.coalesce(F.try_variant_get(whole, "$[0]", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), F.lit(False))
     for f in schema.fields:
         kind = F.schema_of_variant(F.try_variant_get(whole, f"$[0]['{f.name}']", "variant"))
