@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import RARITIES
 from ..functions.text import kind_key, natural_key, normalize_text, spaced_words
-from . import fulltext
+from . import fulltext, inverted
 from .predicates import Predicate, lenient_number, within_scope
 
 
@@ -139,6 +139,14 @@ def order_keys(order: str, name: str = "name", key: str = "id", reverse: bool =
     return [c.desc() if down != reverse else c.asc() for c, down in keys]
 
 
+_SHOWN = ["name", "kind", "paper", "default_print"]
+
+
+def index_cards(cards: DataFrame, root: str, key: str = "oracle_id") -> None:
+    """Write the index of the names of ``cards`` that :func:`search_cards` reads."""
+    inverted.build_index(cards, key, "names", root, keep=_SHOWN)
+
+
 def search_cards(
     cards: DataFrame,
     prints: DataFrame,
@@ -148,15 +156,20 @@ def search_cards(
     tokens: bool = True,
     art_series: bool = True,
     limit: int = 20,
+    index: str | None = None,
 ) -> DataFrame:
     """Full-text name search: one row a card with its representative printing,
     or every paper printing in published order. An exact name goes first, then
     kinds in order, then the better score.
 
     ``cards``: key, name, names (all printed ones in one text), kind, paper,
-    default_print; ``prints``: key, id, digital, seq.
+    default_print; ``prints``: key, id, digital, seq. ``index`` is where
+    :func:`index_cards` wrote these cards; then no names are read.
     """
-    hits = fulltext.search_text(cards, key, "names", query, keep=["name", "kind", "paper", "default_print"])
+    if index is None:
+        hits = fulltext.search_text(cards, key, "names", query, keep=_SHOWN)
+    else:
+        hits = inverted.search_index(cards.sparkSession, index, key, query, keep=_SHOWN)
     wanted = F.col("paper")
     if not tokens:
         wanted = wanted & (F.col("kind") != 1)

@@ -51,7 +51,7 @@ def search_text(docs: DataFrame, key: str, text: str, query: str, keep: Sequence
     Hits are counted inside each row, so nothing is exploded. What the score
     needs of the collection is one row of sums.
     """
-    wanted = [pieces for pieces in map(_pieces, query.split()) if pieces]
+    wanted = query_pieces(query)
     listed = spread(docs.select(key, *keep, text)).select(key, *keep, tokens(F.col(text)).alias("_t"))
     if not wanted:
         return listed.limit(0).select(key, *keep, F.lit(0.0).alias("score"))
@@ -64,6 +64,18 @@ def search_text(docs: DataFrame, key: str, text: str, query: str, keep: Sequence
         F.avg("_d").alias("_avg"),
         *[F.count_if(F.col(n) > 0).alias(f"_n{n}") for n in hits],
     )
+    return bm25(counted, stats, list(hits)).select(key, *keep, "score")
+
+
+def query_pieces(query: str) -> list[list[str]]:
+    """The words of a query, each as its tokens."""
+    return [pieces for pieces in map(_pieces, query.split()) if pieces]
+
+
+def bm25(counted: DataFrame, stats: DataFrame, hits: Sequence[str]) -> DataFrame:
+    """Rows with every one of ``hits`` (how often each word stands) and their
+    ``score``. ``_d`` is a row's length; ``stats`` is one row: how many rows
+    there are, their mean length and how many have each word."""
     matched = F.lit(True)
     score = F.lit(0.0)
     for n in hits:
@@ -72,4 +84,4 @@ def search_text(docs: DataFrame, key: str, text: str, query: str, keep: Sequence
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         weight = F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))
         score = score - idf * weight
-    return counted.filter(matched).join(F.broadcast(stats)).select(key, *keep, score.alias("score"))
+    return counted.filter(matched).join(F.broadcast(stats)).withColumn("score", score)

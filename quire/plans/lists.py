@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import entries as en, find, ranking
+from ..session import fresh_path
 from .tables import table
 
 
@@ -87,15 +88,19 @@ def _catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 def search_grouped(spark: SparkSession, root: str) -> DataFrame:
     """Documents found by two prefixes, one row each with its printing, an
-    exact name first, then by kind and score."""
+    exact name first, then by kind and score; from an index of the names."""
     cards, prints = _catalog(spark, root)
-    return find.search_cards(cards, prints, "the on", limit=40).select("oracle_id", "id", "kind", F.round("score", 6).alias("score"))
+    path = fresh_path(spark, "names")
+    find.index_cards(cards, path)
+    return find.search_cards(cards, prints, "the on", limit=40, index=path).select("oracle_id", "id", "kind", F.round("score", 6).alias("score"))
 
 
 def search_ungrouped(spark: SparkSession, root: str) -> DataFrame:
     """The same with every paper printing, two kinds left out."""
     cards, prints = _catalog(spark, root)
-    found = find.search_cards(cards, prints, "the on", grouped=False, art_series=False, limit=60)
+    path = fresh_path(spark, "names")
+    find.index_cards(cards, path)
+    found = find.search_cards(cards, prints, "the on", grouped=False, art_series=False, limit=60, index=path)
     return found.select("oracle_id", "id", "kind", F.round("score", 6).alias("score"))
 
 

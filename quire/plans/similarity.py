@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import entries as review, folding, fulltext, lookups, measures, passages, similarity
-from ..session import materialize
+from ..operators import entries as review, folding, fulltext, inverted, lookups, measures, passages, similarity
+from ..session import fresh_path, materialize
 from .aggregates import WORDS_SQL
 from .tables import table
 
@@ -327,6 +327,48 @@ SELECT doc_id, kind, score FROM r ORDER BY kind, score, doc_id LIMIT 50
 """.replace("\\\\", "\\")
 
 
+#: Words, prefixes and words of several pieces asked of one index.
+_ASKED_WORDS = ["the", "thé on", "a an", "de-la", "no-such on", "lorem", "in-th er"]
+
+
+def fulltext_index(spark: SparkSession, root: str) -> DataFrame:
+    """Several searches of one index of all documents: every document each finds, with its score."""
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang")
+    path = fresh_path(spark, "index")
+    inverted.build_index(docs, "doc_id", "text", path, keep=["lang"])
+    out = None
+    for query in _ASKED_WORDS:
+        hits = inverted.search_index(spark, path, "doc_id", query, keep=["lang"]).withColumn("query", F.lit(query))
+        out = hits if out is None else out.unionByName(hits)
+    return out.select("query", "doc_id", "lang", F.round("score", 6).alias("score"))
+
+
+def _times_sql(word: str) -> str:
+    pieces = fulltext.query_pieces(word)[0]
+    here = " AND ".join([f"t[i + {j}] = '{p}'" for j, p in enumerate(pieces[:-1])] + [f"starts_with(t[i + {len(pieces) - 1}], '{pieces[-1]}')"])
+    return f"len(list_filter(range(1, len(t) - {len(pieces) - 2}), lambda i: {here}))"
+
+
+def _search_sql(n: int, query: str) -> str:
+    words = query.split()
+    f = [f"{_times_sql(w)} AS f{k}" for k, w in enumerate(words)]
+    s = [f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(words))]
+    i = [f"CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{k} + 0.5) / (n{k} + 0.5)) END AS i{k}" for k in range(len(words))]
+    r = [f"- i{k} * (f{k} * 2.2::DOUBLE / (f{k} + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * d / a)))" for k in range(len(words))]
+    return f"""
+c{n} AS (SELECT doc_id, lang, len(t) AS d, {", ".join(f)} FROM t), s{n} AS (SELECT count(*) AS n, avg(d) AS a, {", ".join(s)} FROM c{n}),
+i{n} AS (SELECT *, {", ".join(i)} FROM s{n}),
+r{n} AS (SELECT '{query}' AS query, doc_id, lang, round(0.0::DOUBLE {" ".join(r)}, 6) AS score FROM c{n}, i{n} WHERE {" AND ".join(f"f{k} > 0" for k in range(len(words)))})"""
+
+
+FULLTEXT_INDEX = f"""
+WITH t AS (SELECT doc_id, lang,
+  list_filter(regexp_split_to_array(trim(regexp_replace(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM documents),
+{",".join(_search_sql(n, q) for n, q in enumerate(_ASKED_WORDS))}
+{" UNION ALL ".join(f"SELECT * FROM r{n}" for n in range(len(_ASKED_WORDS)))}
+""".replace("\\\\", "\\")
+
+
 QUERIES = {
     "hamming_top_k": (hamming_top_k, HAMMING_TOP_K),
     "recall_at_k": (recall_at_k, RECALL_AT_K),
@@ -337,5 +379,6 @@ QUERIES = {
     "hash_rows": (hash_rows, HASH_ROWS),
     "repeated_passages": (repeated_passages, REPEATED_PASSAGES),
     "repeated_within": (repeated_within, REPEATED_WITHIN),
+    "fulltext_index": (fulltext_index, FULLTEXT_INDEX),
     "fulltext_top_k": (fulltext_top_k, FULLTEXT_TOP_K),
 }

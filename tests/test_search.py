@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quire.functions import clip, costs, text as tx
-from quire.operators import find, fulltext, passages, predicates as p, similarity
+from quire.operators import find, fulltext, inverted, passages, predicates as p, similarity
 from quire.sources import images
 
 
@@ -197,3 +197,25 @@ def test_true_ranks_count_the_whole_index(spark, monkeypatch):
     assert got == want
     alone = similarity.true_ranks(queries.filter("query_id = 'a0'"), index.filter("kind = 'a' AND artwork = 0"), "truth", within="kind").collect()
     assert [(r.rank, r.margin) for r in alone] == [(1, None)]
+
+
+def test_an_index_finds_what_a_scan_finds(spark, tmp_path):
+    draw = random.Random(9)
+    words = ["Ur-Dragon", "ur", "dragons", "Élan", "elanwood", "the", "then", "a", "b2", "日本", "o'clock"]
+    docs = [(i, " ".join(draw.choice(words) for _ in range(draw.randrange(25))), i % 3) for i in range(120)] + [(200, None, 0), (201, "", 1), (202, "—", 2)]
+    df = spark.createDataFrame(docs, "k int, t string, kind int")
+    root = str(tmp_path / "index")
+    inverted.build_index(df, "k", "t", root, keep=["kind"])
+    for query in ("ur", "Ur-Drag", "elan the", "the a b", "日", "ur-dragons the", "none", "the none", "", "o'clo", "a a"):
+        want = {(r.k, r.kind, round(r.score, 9)) for r in fulltext.search_text(df, "k", "t", query, keep=["kind"]).collect()}
+        found = inverted.search_index(spark, root, "k", query, keep=["kind"])
+        assert {(r.k, r.kind, round(r.score, 9)) for r in found.collect()} == want
+        assert found.columns == ["k", "kind", "score"]
+    # A range of words is read, told by the files' bounds.
+    places = spark.read.parquet(f"{root}/places").filter(inverted._range("ur", False))
+    plan = places._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(_word,ur)" in plan and "LessThan(_word,us)" in plan
+    with pytest.raises(ValueError):
+        inverted.build_index(df.withColumnRenamed("kind", "_d"), "k", "t", root + "2", keep=["_d"])
+    inverted.build_index(df.limit(0), "k", "t", root + "3")
+    assert inverted.search_index(spark, root + "3", "k", "ur").count() == 0
