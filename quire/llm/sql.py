@@ -72,8 +72,10 @@ WITH turns AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
   FROM conversations WHERE conv_id IS NOT NULL),
-ranks AS (
-  SELECT conv_id, row_number() OVER (ORDER BY md5(role || chr(10) || text), conv_id) AS n FROM turns WHERE place = 1),
+firsts AS (SELECT conv_id, md5(role || chr(10) || text) AS code FROM turns WHERE place = 1),
+dealt AS (
+  SELECT *, count(*) OVER g % 2 = 1 AND conv_id = max(conv_id) OVER g AS alone FROM firsts WINDOW g AS (PARTITION BY code)),
+ranks AS (SELECT conv_id, row_number() OVER (ORDER BY alone, code, conv_id) AS n FROM dealt),
 pairs AS (
   SELECT conv_id, (n - 1) // 2 AS pair_id, CASE WHEN n % 2 = 1 THEN 'chosen' ELSE 'rejected' END AS side
   FROM ranks WHERE (n - 1) // 2 < (SELECT count(*) // 2 FROM ranks)),

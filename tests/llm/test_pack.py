@@ -136,3 +136,20 @@ def test_stages_pass_other_columns_and_empty_tables(spark, hard, empty):
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, hard, ROOT).columns == hard.columns
         assert stage(spark, empty, ROOT).count() == 0
+
+
+def test_preference_sql_where_first_turns_repeat(spark):
+    import duckdb
+
+    from quire.llm import sql
+    from tools.check import rows_of
+
+    begins = {1: "a", 2: "b", 3: "a", 4: "c", 5: "b", 6: "a", 7: "d"}
+    turns = [(i, 0, "user", t) for i, t in begins.items()] + [(i, 1, "assistant", f"answer {i % 3}") for i in begins] + [(None, 0, "user", "a"), (1, None, None, None)]
+    given = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", given.toArrow())
+    held = preference.numbered(given)
+    ours = preference.format_pairs(held, preference.alike(held))
+    theirs = con.sql(sql.PREFERENCE)
+    assert rows_of(ours.columns, [tuple(r) for r in ours.collect()]) == rows_of(theirs.columns, theirs.fetchall())
