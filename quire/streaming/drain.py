@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import MAX_COPIES
 from ..operators.sizes import maybe_broadcast
@@ -36,6 +36,17 @@ def pending(parts: DataFrame, done: DataFrame, cancelled: DataFrame | None = Non
     return left.dropDuplicates(["part_key"])
 
 
+def well_formed(parts: DataFrame) -> Column:
+    """Whether a part's entries stand at places of their own; in others no order says which comes first."""
+    places = F.transform("entries", lambda e: e["position"])
+    return F.coalesce((F.size(F.array_distinct(places)) == F.size(places)) & ~F.exists(places, lambda p: p.isNull()), F.lit(False))
+
+
+def refused(spark: SparkSession, root: str) -> DataFrame:
+    """(part_key, digest) of the parts that were set aside."""
+    return read_newest(spark, f"{root}/refused", APPLIED, ["part_key"])
+
+
 def entries_of(parts: DataFrame) -> DataFrame:
     """(part_key, digest, position, identity, quantity, lots): a row an entry."""
     return parts.select("part_key", "digest", F.explode("entries").alias("e")).select("part_key", "digest", "e.*")
@@ -45,7 +56,11 @@ def drain_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, c
     """Apply one batch of parts: the records it touches, then the parts it
     retired, both under the batch's number. Replaying it rewrites the same."""
     # Written once: the plan, the records and the retired keys all read it.
-    parts = materialize(pending(batch, applied(spark, root, number), cancelled), "parts")
+    sent = materialize(pending(batch, applied(spark, root, number), cancelled), "parts")
+    # A part that cannot be applied is named and left; the stream goes on without it.
+    parts, bad = sent.filter(well_formed(sent)), sent.filter(~well_formed(sent))
+    write_batch(bad.select("part_key", "digest"), f"{root}/refused", number)
+    compact(spark, f"{root}/refused", APPLIED, ["part_key"], number)
     entries = entries_of(parts).select("identity", "quantity", "lots", F.struct("part_key", "position").alias("at"))
     steps = reconcile(entries, collection(spark, root, number), "identity", "at", copies=copies, policy="last", lots="lots")
     fresh = F.concat(F.lit("new:"), F.col("identity"), F.lit(f":{number}:"), F.col("bin").cast("string"))

@@ -48,6 +48,15 @@ def test_draining_many_batches(spark, monkeypatch):
     assert sorted(r.part_key for r in drain.applied(spark, root).collect()) == [f"p{n}" for n in range(5)]
 
 
+def test_a_part_that_cannot_be_applied_is_set_aside(spark):
+    root = fresh_path(spark, "drained")
+    parts = [("good", "d", [(0, "a", 2, 0), (1, "a", 1, 0)]), ("twice", "d", [(0, "a", 6, 0), (0, "b", 6, 0)]), ("none", "e", None), ("unplaced", "e", [(None, "a", 1, 0)])]
+    for number in (0, 1):
+        drain.drain_batch(spark, root, spark.createDataFrame(parts, drain.PART), number)
+    assert [(r.identity, r.quantity) for r in drain.collection(spark, root).collect()] == [("a", 3)]
+    assert sorted(r.part_key for r in drain.refused(spark, root).collect()) == ["none", "twice", "unplaced"]
+
+
 def moved(spark, log, before=(), prints=(("two", ["nonfoil", "foil"]), ("etched", ["etched", "foil"]), ("one", ["foil"]), ("none", []))):
     state = spark.createDataFrame(list(before), edits.ENTRY)
     rows = spark.createDataFrame([("e", i, *edit) for i, edit in enumerate(log)], edits.EDIT)
