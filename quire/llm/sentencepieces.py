@@ -8,7 +8,8 @@ few symbols of a short word a list.
 
 No piece has a space after another character, which is checked when a
 vocabulary is loaded. So no pair reaches over a word's first space, words have
-agendas of their own, and a word met again is looked up.
+agendas of their own, and a word met again is looked up. The library encodes
+every word a batch brings that was not met before, and decodes every text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ _JOINED = f"[{_LETTER}][^{_LETTER}]|[^{SPACE}{_LETTER}][{_LETTER}]|.[0-9]|[0-9].
 REMEMBERED, LONGEST = 250_000, 32
 #: Characters encoded at once; a longer text is taken in stretches that end where a word does.
 STRETCH = 1 << 20
+#: A character no vocabulary taken here has.
+_APART = "①"
 #: The rank of a pair that is no piece.
 _NONE = 1 << 31
 _BAD = "�".encode()
@@ -44,9 +47,13 @@ class _Seen(dict):
 
     def __init__(self, merge):
         self.merge, self.older = merge, {}
+        self.new: list[str] = []  # words merged since they were last checked
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self.older.pop(word, None) or self.merge(word)
+        found = self.older.pop(word, None)
+        if found is None:
+            found = self.merge(word)
+            self.new.append(word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -72,6 +79,8 @@ class Vocabulary:
         joined = any(re.search(_JOINED, pieces[i], re.DOTALL) for i in plain)
         self.words = re.compile(_WORDS if joined else _KINDS).findall
         self.id_of = {pieces[i]: i for i in plain}
+        if any(_APART in pieces[i] for i in plain):
+            raise ValueError(f"{_APART} has to be no piece")
         order = {s: rank for rank, s in enumerate(sorted({lib.get_score(i) for i in plain}, reverse=True))}
         self.rank = {pieces[i]: order[lib.get_score(i)] for i in plain if len(pieces[i]) > 1}
         self.byte = {int(pieces[i][3:5], 16): i for i in ids if lib.is_byte(i)}
@@ -152,13 +161,29 @@ class Vocabulary:
 
     def encode(self, text: str) -> tuple[list[int], bool]:
         """The ids of a text, and whether the library finds the same."""
-        out: list[int] = []
-        same = True
-        for stretch in stretches(text):
-            ids = list(chain.from_iterable(map(self.seen.__getitem__, self.words(SPACE + stretch.replace(" ", SPACE)))))
-            same = same and ids == self.library.encode(stretch)
-            out += ids
-        return out, same
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+        """The same for the texts of a batch. Words met for the first time are
+        given to the library together; those seen before were."""
+        found = [list(chain.from_iterable(map(self.seen.__getitem__, self._split(text)))) for text in texts]
+        wrong = self._unlike()
+        return [(ids, not wrong or wrong.isdisjoint(self._split(text))) for text, ids in zip(texts, found)]
+
+    def _split(self, text: str):
+        return chain.from_iterable(self.words(SPACE + stretch.replace(" ", SPACE)) for stretch in stretches(text))
+
+    def _unlike(self) -> set[str]:
+        """The words not yet checked of which the library makes something else."""
+        new, self.seen.new = self.seen.new, []
+        lead = len(self.library.encode(_APART))
+        # Behind a character that is no piece and joins none, so no space is put before the word itself.
+        theirs = self.library.encode([_APART + word.replace(SPACE, " ") for word in new], num_threads=1)
+        wrong = {word for word, ids in zip(new, theirs) if tuple(ids[lead:]) != self.seen[word]}
+        self.seen.new = []  # long words are merged once more
+        for word in wrong:
+            self.seen.pop(word, None)  # so that it is told again
+        return wrong
 
     def decode(self, ids: list[int]) -> tuple[str, bool]:
         """The text of ids, and whether the library finds the same."""
@@ -249,7 +274,7 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text")
     def run(batches):
         words = vocabulary(model)
         for batch in quietly(batches):
-            found = [words.encode(x.decode(errors="replace")) for x in _plain(batch.column(text))]
+            found = words.encode_all([x.decode(errors="replace") for x in _plain(batch.column(text))])
             ids = pa.array([x for x, _ in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(id), ids, pa.array([x for _, x in found], pa.bool_())], [id, "ids", "same"])
 

@@ -76,3 +76,11 @@ def test_forgetting_words_changes_nothing(words, monkeypatch):
     monkeypatch.setattr(sentencepieces, "REMEMBERED", 3)
     text = " ".join(f"word{i % 7} other{i % 5}" for i in range(200))
     assert words.encode(text) == (words.library.encode(text), True)
+
+
+def test_what_the_library_finds_otherwise_is_told(monkeypatch):
+    words = sentencepieces.Vocabulary(registry.pieces_path())
+    right = words.seen.merge
+    words.seen.merge = lambda word: (5,) if word in ("▁bad", "▁" + "x" * 99) else right(word)
+    for _ in range(2):
+        assert [same for _, same in words.encode_all(["good", "a bad one", "", "x" * 99, "good bad"])] == [True, False, True, False, False]
