@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .. import jobs
 from ..operators import entries as en, find, ranking
 from ..session import fresh_path
 from .tables import table
@@ -128,7 +129,48 @@ ORDER BY kind, r.score, seq, r.doc_id, id LIMIT 60
 """
 
 
+def review_list(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of files as entries of a review list, some struck off, kept as
+    stacks: filed where the file says and, once more, all in one box; with the
+    count of kept entries a holder of the returned ones owns already."""
+    line = table(spark, root, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    finish = F.when(F.col("l_linestatus") == "F", "foil").otherwise("nonfoil")
+    rows = line.withColumn("line", F.row_number().over(w)).select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("line").cast("string")).alias("line"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created"),
+        F.col("l_partkey").cast("string").alias("printing"), finish.alias("finish"), F.col("l_quantity").cast("long").alias("quantity"),
+        F.when(F.col("l_returnflag") == "R", "good").alias("condition"), F.when(F.col("l_discount") > 0.05, F.array(F.lit("cheap"))).alias("tags"),
+        F.when(F.col("l_suppkey") % 4 == 0, F.lit("noted")).alias("note"), (F.col("l_suppkey") % 5 == 0).alias("proxy"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.lit("shelf")).alias("container"),
+    )
+    entries = en.review_rows(rows).withColumn("dropped", F.col("quantity") > 45)
+    own = en.entry_stacks(entries).withColumn("how", F.lit("own"))
+    boxed = en.entry_stacks(entries.filter("quantity < 3"), "box").withColumn("how", F.lit("boxed"))
+    held = line.filter("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("printing"), finish.alias("finish"))
+    apart = jobs.held_apart(own, held, 100)
+    out = own.unionByName(boxed).select(
+        "how", "id", "printing", "finish", "quantity", "created", "condition", "container", F.array_join("tags", ",").alias("tags"), "note", "proxy"
+    )
+    none = {c: F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns}
+    return out.unionByName(apart.select(*[F.lit("apart").alias("how") if c == "how" else F.col("apart").alias(c) if c == "quantity" else none[c] for c in out.columns]))
+
+
+REVIEW_LIST = """
+WITH l AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'foil' ELSE 'nonfoil' END AS finish,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+e AS (SELECT l_orderkey || ':' || n AS id, l_partkey::VARCHAR AS printing, finish, l_quantity::BIGINT AS quantity, strftime(l_shipdate, '%Y-%m-%d') AS created,
+  CASE WHEN l_returnflag = 'R' THEN 'good' END AS condition, CASE WHEN l_suppkey % 3 = 0 THEN 'shelf' END AS container, CASE WHEN l_discount > 0.05 THEN 'cheap' END AS tags,
+  CASE WHEN l_suppkey % 4 = 0 THEN 'noted' END AS note, l_suppkey % 5 = 0 AS proxy FROM l),
+k AS (SELECT * FROM e WHERE quantity <= 45),
+h AS (SELECT DISTINCT l_partkey::VARCHAR AS printing, finish FROM l WHERE l_returnflag = 'R')
+SELECT 'own' AS how, id, printing, finish, quantity, created, condition, container, tags, note, proxy FROM k
+UNION ALL SELECT 'boxed', id, printing, finish, quantity, created, condition, 'box', tags, note, proxy FROM k WHERE quantity < 3
+UNION ALL SELECT 'apart', NULL, NULL, NULL, greatest(0, count(*) - 100), NULL, NULL, NULL, NULL, NULL, NULL FROM k SEMI JOIN h USING (printing, finish)
+"""
+
+
 QUERIES = {
+    "review_list": (review_list, REVIEW_LIST),
     "narrow_sets": (narrow_sets, NARROW_SETS),
     "place_contents": (place_contents, PLACE_CONTENTS),
     "merge_entries": (merge_entries, MERGE_ENTRIES),

@@ -382,7 +382,57 @@ def normalize_names(spark: SparkSession, root: str) -> DataFrame:
 NORMALIZE_NAMES = f"SELECT doc_id, length(p)::BIGINT AS chars, md5(p) AS digest FROM (SELECT doc_id, {_n('text')} AS p FROM documents)"
 
 
+def printed_predicates(spark: SparkSession, root: str) -> DataFrame:
+    """Parts as cards and their lines as printings: the cards that each of
+    several conditions answers, those of one printing holding on one line."""
+    cards = table(spark, root, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_partkey") % 32).cast("int").alias("color_identity"),
+        F.format_string("{%d}{%s}", F.col("p_size") % 5, F.substring(F.lit("WUBRG"), (F.col("p_partkey") % 5 + 1).cast("int"), F.lit(1))).alias("mana_cost"),
+        F.when(F.col("p_partkey") % 10 == 3, F.array(F.lit("{W}{2}"), F.lit("{9}"))).alias("other_costs"),
+        F.when(F.col("p_size") % 6 == 0, F.array(F.lit("Reserved"))).alias("card_flags"),
+    )
+    finishes = F.when(F.col("l_returnflag") == "R", F.array(F.lit("foil"))).when(F.col("l_returnflag") == "A", F.array(F.lit("nonfoil"), F.lit("foil"))).otherwise(F.array(F.lit("nonfoil")))
+    prints = table(spark, root, "lineitem").select(
+        F.col("l_partkey").alias("id"), finishes.alias("finishes"), F.when(F.col("l_linenumber") == 5, F.array(F.lit("Promo"))).alias("print_flags"),
+        F.col("l_linenumber").cast("string").alias("collector_number"), F.lower("l_linestatus").alias("lang"),
+        F.when(F.col("l_suppkey") % 50 == 0, "transform").otherwise("normal").alias("layout"),
+        F.concat(F.lit("O\u2019"), F.col("l_returnflag"), F.lit(" Bri\u00e9n")).alias("artist"), F.when(F.col("l_quantity") < 5, "missing").otherwise("highres_scan").alias("image_status"),
+    )
+    asked = {
+        "identity": p.identity_is("<=", "wu"),
+        "cost": p.mana_cost("=", "2W", faces=F.col("other_costs")),
+        "reserved foil": p.flag_is("reserved") & p.flag_is("Foil"),
+        "promo": p.flag_is("PROMO"),
+        "number": p.collector_is("7") & p.lang_is("F"),
+        "layout": p.layout_is("transform") & p.has_art(),
+        "two sides": p.two_sided() & ~p.has_art(),
+        "artist": p.artist_has("O'A brie") & p.lang_is("o"),
+    }
+    out = None
+    for name, pred in asked.items():
+        found = find.match_cards(cards, prints, pred, "id").select(F.lit(name).alias("asked"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+PRINTED_PREDICATES = """
+WITH l AS (SELECT l_partkey AS id, bool_or(l_returnflag IN ('R', 'A')) AS foil, bool_or(l_linenumber = 5) AS promo, bool_or(l_linenumber = 7 AND l_linestatus = 'F') AS number,
+  bool_or(l_suppkey % 50 = 0 AND l_quantity >= 5) AS layout, bool_or(l_suppkey % 50 = 0 AND l_quantity < 5) AS sides, bool_or(l_returnflag = 'A' AND l_linestatus = 'O') AS artist
+  FROM lineitem GROUP BY 1),
+j AS (SELECT * FROM part JOIN l ON id = p_partkey)
+SELECT 'identity' AS asked, id FROM j WHERE p_partkey % 32 & 28 = 0
+UNION ALL SELECT 'cost', id FROM j WHERE (p_size % 5 = 2 AND p_partkey % 5 = 0) OR p_partkey % 10 = 3
+UNION ALL SELECT 'reserved foil', id FROM j WHERE p_size % 6 = 0 AND foil
+UNION ALL SELECT 'promo', id FROM j WHERE promo
+UNION ALL SELECT 'number', id FROM j WHERE number
+UNION ALL SELECT 'layout', id FROM j WHERE layout
+UNION ALL SELECT 'two sides', id FROM j WHERE sides
+UNION ALL SELECT 'artist', id FROM j WHERE artist
+"""
+
+
 QUERIES = {
+    "printed_predicates": (printed_predicates, PRINTED_PREDICATES),
     "find_top_k": (find_top_k, FIND_TOP_K),
     "answering_row": (answering_row, ANSWERING_ROW),
     "ever_vs_same": (ever_vs_same, EVER_VS_SAME),
