@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import RUN_WORDS
 from ..functions.text import words
-from ..session import materialize
-from .sizes import checked, maybe_broadcast, spread
+from .sizes import checked, spread
 
 
 def _starts(list_: Column, run: int) -> Column:
@@ -36,11 +35,14 @@ def _listed_runs(listed: DataFrame, key: str, run: int) -> DataFrame:
     return listed.select(key, F.explode(each).alias("_r")).select(key, "_r.start", "_r.phrase")
 
 
-def _hashed_runs(listed: DataFrame, key: str, run: int) -> DataFrame:
-    """(key, hash): the runs as words of eight bytes, which is all a first pass
-    has to shuffle; equal hashes are only a reason to look."""
-    each = F.transform(_starts(F.col("_words"), run), lambda at: F.xxhash64(_phrase(F.col("_words"), at, run)))
-    return listed.select(key, F.explode(F.array_distinct(each)).alias("hash"))
+def _named_runs(listed: DataFrame, key: str, run: int) -> DataFrame:
+    """(key, start, high, low): the runs by names of 128 bits instead of their words."""
+
+    def named(at: Column) -> Column:
+        held = F.slice(F.col("_words"), at + 1, run)
+        return F.struct(at.alias("start"), F.xxhash64(held).alias("high"), F.xxhash64(F.lit(run), held).alias("low"))
+
+    return listed.select(key, F.explode(F.transform(_starts(F.col("_words"), run), named)).alias("_r")).select(key, "_r.*")
 
 
 def first_seen_phrases(runs: DataFrame, key: str) -> DataFrame:
@@ -77,15 +79,13 @@ def repeated_from(docs: DataFrame, sources: DataFrame, key: str, text: str, sour
 def repeated_within(docs: DataFrame, key: str, text: str, run: int = RUN_WORDS) -> DataFrame:
     """Passages each text repeats from an earlier one of the same collection.
 
-    A first pass finds, by hash, the runs more than one text holds. Only those
-    are carried as words, and they alone decide which text held each phrase
-    first, so a hash two phrases share changes nothing.
+    Every run is dealt once, by a name of 128 bits made of two hashes of its
+    words; its words stay where they are. Where a name lies, the first text is
+    told and only what repeats it goes on. Runs of equal names are not
+    compared word by word.
     """
-    listed = materialize(_listed(docs, key, text), "words")
-    seen = _hashed_runs(listed, key, run).groupBy("hash").agg(F.min(key).alias("_a"), F.max(key).alias("_z"))
-    shared = materialize(seen.filter("_z > _a").select("hash"), "shared")
-    runs = _listed_runs(listed, key, run)
-    held = runs.withColumn("hash", F.xxhash64("phrase")).join(maybe_broadcast(shared), "hash", "left_semi").drop("hash")
-    first = first_seen_phrases(held, key)
-    hits = held.join(first, "phrase").filter(F.col(key) != F.col("source")).select(key, "start", "source")
+    # A text cut up is dealt at once, so it is never written as words.
+    runs = _named_runs(_listed(docs, key, text), key, run)
+    first = F.min(key).over(Window.partitionBy("high", "low"))
+    hits = runs.withColumn("source", first).filter(F.col(key) != F.col("source")).select(key, "start", "source")
     return merge_spans(hits, key, run)
