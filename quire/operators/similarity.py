@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -13,10 +15,14 @@ from ..functions.shapes import settle_finish
 from ..session import materialize
 from .ranking import best_per_group
 
-# Rows of each side one task compares: 4,096 x 65,536 distances at a time, in
-# slices that keep the working set near 64 MB.
-QUERY_BLOCK = 4_096
+# Rows of each side one task compares at most, and of queries at least where there are cores to spare.
+QUERY_BLOCK = 32_768
 INDEX_BLOCK = 65_536
+LEAST_QUERIES = 1_024
+# Distances taken at a time: a tile that stays in a core's own cache, so what
+# a task holds beside its blocks is under a megabyte.
+TILE_ROWS = 16
+TILE_COLUMNS = 4_096
 
 
 def sign_hash(vector: Column, over: float = 0.0) -> Column:
@@ -28,14 +34,51 @@ def sign_hash(vector: Column, over: float = 0.0) -> Column:
     return F.aggregate(bits, none, lambda a, b: a.bitwiseOR(b))
 
 
-def _distances(ask: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Least distance of each query row to each index row over all their hashes."""
-    best = np.full((len(ask), len(held)), 255, dtype=np.uint8)
-    for a in range(ask.shape[1]):
-        for h in range(held.shape[1]):
-            apart = np.bitwise_count(ask[:, a, None] ^ held[None, :, h])
-            np.minimum(best, apart, out=best)
-    return best
+def _tiles(ask: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first query row, first index row, least distances over all their hashes)
+    of every tile, by query rows; the distances are good until the next."""
+    columns = np.ascontiguousarray(held.T)
+    apart = np.empty((TILE_ROWS, TILE_COLUMNS), np.uint64)
+    bits, best = np.empty(apart.shape, np.uint8), np.empty(apart.shape, np.uint8)
+    for at in range(0, len(ask), TILE_ROWS):
+        rows = ask[at : at + TILE_ROWS]
+        for c in range(0, len(held), TILE_COLUMNS):
+            some = columns[:, c : c + TILE_COLUMNS]
+            here = np.s_[: len(rows), : some.shape[1]]
+            best[here] = 255
+            for a in range(ask.shape[1]):
+                for h in range(len(some)):
+                    np.bitwise_xor(rows[:, a, None], some[h], out=apart[here])
+                    np.bitwise_count(apart[here], out=bits[here])
+                    np.minimum(best[here], bits[here], out=best[here])
+            yield at, c, best[here]
+
+
+def _nearest_rows(ask: np.ndarray, held: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, index row, distance) of the ``keep`` nearest index rows of each
+    query row, ties by the lower. After a query's first tile only what is nearer
+    than its farthest kept is looked at; of the same distance, later rows lose."""
+    width, out = len(held), []
+    for at, tiles in groupby(_tiles(ask, held), key=lambda tile: tile[0]):
+        row, key = np.empty(0, np.int64), np.empty(0, np.int64)
+        bound = np.full((TILE_ROWS, 1), 255, np.uint8)
+        for _, c, apart in tiles:
+            hit = apart < bound[: len(apart)]
+            if c == 0 and apart.shape[1] > keep:
+                hit = apart <= np.partition(apart, keep - 1, axis=1)[:, keep - 1 : keep]
+            r, col = np.divmod(np.flatnonzero(hit), apart.shape[1])
+            if not len(r):
+                continue
+            # Distance first, then number: one key orders both.
+            row, key = np.concatenate([row, r]), np.concatenate([key, apart[r, col].astype(np.int64) * width + c + col])
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, key, place = (x[place < keep] for x in (row, key, place))
+            full = place == keep - 1
+            bound[row[full], 0] = key[full] // width
+        out.append((row + at, key % width, key // width))
+    return tuple(np.concatenate(part) for part in zip(*out))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -45,6 +88,39 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(rows, dtype=np.int64).view(np.uint64)
 
 
+def _most(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """Rows of the largest group, and groups."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("groups")).first()
+    return sizes["most"] or 0, sizes["groups"]
+
+
+def _compared(
+    asked: DataFrame, ask: str, held: DataFrame, by: str, own: list[str], compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str
+) -> DataFrame:
+    """``compare`` of every block of ``asked`` with every block of ``held``, dealt
+    by a hash of ``ask`` and of ``by``, within each value of ``own``.
+
+    Each row goes to as many tasks as the other side has blocks, so blocks are
+    as large as they may be once there are some for every core.
+    """
+    questions, groups = _most(asked, own)
+    rows, _ = _most(held, own)
+    across = max(1, math.ceil(rows / INDEX_BLOCK))
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    wanted = math.ceil(4 * cores / (across * max(1, groups)))
+    down = max(1, math.ceil(questions / QUERY_BLOCK), min(wanted, math.ceil(questions / LEAST_QUERIES)))
+
+    def dealt(df: DataFrame, column: str, own_block: str, n: int, other: str, m: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        return df.select("*", F.pmod(F.xxhash64(column), F.lit(n)).alias(own_block)).select("*", every.alias(other))
+
+    # A number of its own, as few bytes here are much work: partitions are not put together by size.
+    parts, keys = min(4_096, 2 * across * down * max(1, groups)), ["qb", "ib", *own]
+    left = dealt(asked, ask, "qb", down, "ib", across).repartition(parts, *keys)
+    right = dealt(held, by, "ib", across, "qb", down).repartition(parts, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
+
+
 def nearest(
     queries: DataFrame,
     index: DataFrame,
@@ -73,62 +149,19 @@ def nearest(
     # Both are counted and joined; written once, no frame is hashed again for it.
     held = materialize(best_per_group(index.filter(present).select(artwork, hashes, *own), [hashes, *own], [F.asc(artwork)], keep), "held")
     asked = materialize(queries.select(hashes, *own).distinct(), "asked")
-    across = max(1, math.ceil(held.count() / INDEX_BLOCK))
-    down = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-
-    def block(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n))
-
-    zero = F.lit(0).cast("long")
-    left = asked.select(
-        F.col(hashes).alias("ask"),
-        *own,
-        block(hashes, down).alias("qb"),
-        F.explode(F.sequence(zero, F.lit(across - 1).cast("long"))).alias("ib"),
-    )
-    right = held.select(
-        F.col(artwork).cast("long").alias("artwork"),
-        F.col(hashes).alias("held"),
-        *own,
-        F.explode(F.sequence(zero, F.lit(down - 1).cast("long"))).alias("qb"),
-        block(artwork, across).alias("ib"),
-    )
 
     def compare(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or near.empty:
             return pd.DataFrame(columns=["ask", "artwork", "distance", *own], dtype=object)
         near = near.sort_values("artwork")
-        numbers = near["artwork"].to_numpy()
-        index_words, query_words = _matrix(near["held"]), _matrix(ask["ask"])
-        parts = []
-        size = max(1, (1 << 23) // len(near))
-        for at in range(0, len(ask), size):
-            apart = _distances(query_words[at : at + size], index_words).astype(np.int64)
-            # Distance first, then number: one key orders both.
-            key = apart * len(near) + np.arange(len(near))
-            if len(near) > keep:
-                first = np.argpartition(key, keep - 1, axis=1)[:, :keep]
-            else:
-                first = np.broadcast_to(np.arange(len(near)), key.shape)
-            rows = np.repeat(np.arange(len(key)), first.shape[1])
-            cols = first.ravel()
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "ask": ask["ask"].to_numpy()[at : at + size][rows],
-                        "artwork": numbers[cols],
-                        "distance": apart[rows, cols],
-                    }
-                )
-            )
-        return pd.concat(parts).assign(**{c: ask[c].iloc[0] for c in own})
+        rows, cols, apart = _nearest_rows(_matrix(ask["ask"]), _matrix(near["held"]), keep)
+        found = {"ask": ask["ask"].to_numpy()[rows], "artwork": near["artwork"].to_numpy()[cols], "distance": apart}
+        return pd.DataFrame(found).assign(**{c: ask[c].iloc[0] for c in own})
 
     kinds = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in own)
-    local = (
-        left.groupBy("qb", "ib", *own)
-        .cogroup(right.groupBy("qb", "ib", *own))
-        .applyInPandas(compare, f"ask array<bigint>, artwork bigint, distance bigint{kinds}")
-    )
+    asked = asked.select(F.col(hashes).alias("ask"), *own)
+    held = held.select(F.col(artwork).cast("long").alias("artwork"), F.col(hashes).alias("held"), *own)
+    local = _compared(asked, "ask", held, "artwork", own, compare, f"ask array<bigint>, artwork bigint, distance bigint{kinds}")
     w = Window.partitionBy("ask", *own).orderBy("distance", "artwork")
     # Written: who reads the answer twice does not compare again.
     best = materialize(local.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= keep), "nearest")
@@ -181,12 +214,6 @@ def true_ranks(
     known = known.select(query, "ask", "true", *own, least_distance(F.col("ask"), F.col("true")).alias("distance"))
     known = materialize(known.filter("distance IS NOT NULL"), "known")
     asked = materialize(known.select("ask", "true", "distance", *own).distinct(), "asked")
-    across = max(1, math.ceil(held.count() / INDEX_BLOCK))
-    down = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-
-    def dealt(df: DataFrame, column: str, own_block: str, n: int, other: str, m: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-        return df.select("*", F.pmod(F.xxhash64(column), F.lit(n)).alias(own_block)).select("*", every.alias(other))
 
     def compare(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or near.empty:
@@ -195,24 +222,20 @@ def true_ranks(
         index_words, query_words = _matrix(near["held"]), _matrix(ask["ask"])
         copies = near["n"].to_numpy()
         alone = np.array([i if (i := place.get(tuple(t), -1)) >= 0 and copies[i] == 1 else -1 for t in ask["true"]])
-        bound = ask["distance"].to_numpy()
-        nearer, other = np.empty(len(ask), np.int64), np.empty(len(ask), np.int64)
-        size = max(1, (1 << 23) // len(near))
-        for at in range(0, len(ask), size):
-            apart = _distances(query_words[at : at + size], index_words)
-            rows = np.arange(len(apart))
-            nearer[at : at + size] = (apart < bound[at : at + size, None]) @ copies
-            mine = alone[at : at + size]
-            apart[rows[mine >= 0], mine[mine >= 0]] = 255  # the true artwork is no other one
-            other[at : at + size] = apart.min(axis=1)
+        bound = ask["distance"].to_numpy().astype(np.uint8)[:, None]
+        weights = copies.astype(np.float64)  # whole numbers, exact in a sum
+        nearer, other = np.zeros(len(ask), np.int64), np.full(len(ask), 255, np.int64)
+        for at, c, apart in _tiles(query_words, index_words):
+            here, n = slice(at, at + len(apart)), apart.shape[1]
+            nearer[here] += ((apart < bound[here]).astype(np.float64) @ weights[c : c + n]).astype(np.int64)
+            mine = alone[here] - c
+            rows = np.flatnonzero((mine >= 0) & (mine < n))
+            apart[rows, mine[rows]] = 255  # the true artwork is no other one
+            other[here] = np.minimum(other[here], apart.min(axis=1))
         return pd.DataFrame({"ask": ask["ask"], "true": ask["true"], "nearer": nearer, "other": other}).assign(**{c: ask[c].iloc[0] for c in own})
 
     kinds = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in own)
-    local = (
-        dealt(asked, "ask", "qb", down, "ib", across).groupBy("qb", "ib", *own)
-        .cogroup(dealt(held, "held", "ib", across, "qb", down).groupBy("qb", "ib", *own))
-        .applyInPandas(compare, f"ask array<bigint>, true array<bigint>, nearer bigint, other bigint{kinds}")
-    )
+    local = _compared(asked, "ask", held, "held", own, compare, f"ask array<bigint>, true array<bigint>, nearer bigint, other bigint{kinds}")
     found = local.groupBy("ask", "true", *own).agg(F.sum("nearer").alias("nearer"), F.min("other").alias("other"))
     return known.join(found, ["ask", "true", *own]).select(
         query, *own, "distance", (F.col("nearer") + 1).alias("rank"), F.when(F.col("other") <= APART, F.col("other") - F.col("distance")).alias("margin")

@@ -2,9 +2,14 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import passages
+from quire.functions import costs, text as tx
+from quire.operators import find, passages, predicates as p, similarity, stacks
+from quire.plans import streams
+from quire.sources import catalog_files
 
 
 def plan(df) -> str:
@@ -37,3 +42,18 @@ def test_repeats_are_dealt_once_and_without_their_words(spark):
     assert got == sorted(map(tuple, want)) and len(got) > 40
     # Neither the words of a run nor the runs a second time go through a join.
     assert "phrase" not in plan(found) and "Join" not in plan(found)
+
+
+def test_a_block_is_compared_in_tiles(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(similarity, "TILE_ROWS", 5)
+    monkeypatch.setattr(similarity, "TILE_COLUMNS", 7)
+    ask, held = (rng.integers(0, 1 << 6, (n, 2)).astype(np.uint64) for n in (23, 40))
+    far = np.array([[min((int(a) ^ int(h)).bit_count() for a in x for h in y) for y in held] for x in ask])
+    tiles = list((at, c, apart.copy()) for at, c, apart in similarity._tiles(ask, held))
+    assert max(apart.size for _, _, apart in tiles) <= 35
+    assert all((apart == far[at : at + len(apart), c : c + apart.shape[1]]).all() for at, c, apart in tiles)
+    for keep in (1, 3, 9, 50):
+        rows, cols, apart = similarity._nearest_rows(ask, held, keep)
+        want = [(i, j, far[i, j]) for i in range(23) for j in sorted(range(40), key=lambda j: (far[i, j], j))[:keep]]
+        assert list(zip(rows, cols, apart)) == want
