@@ -4,18 +4,37 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 GENERIC = "generic"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value worked out once a row, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def symbol_counts(parts: Column) -> Column:
     """An array of symbols as a map from symbol to count; numbers add up under
     one generic entry, everything else counts by its upper-case spelling."""
     def number(part: Column) -> Column:
         return part.try_cast("double")
 
+    def counted(keyed: Column, names: Column) -> Column:
+        return F.map_from_arrays(
+            names,
+            F.transform(
+                names,
+                lambda name: F.aggregate(
+                    F.filter(keyed, lambda k: k["symbol"] == name),
+                    F.lit(0.0),
+                    lambda held, k: held + k["n"],
+                ),
+            ),
+        )
+
     keyed = F.transform(
         parts,
         lambda p: F.struct(
@@ -23,18 +42,8 @@ def symbol_counts(parts: Column) -> Column:
             F.coalesce(number(p), F.lit(1.0)).alias("n"),
         ),
     )
-    names = F.array_distinct(F.transform(keyed, lambda k: k["symbol"]))
-    return F.map_from_arrays(
-        names,
-        F.transform(
-            names,
-            lambda name: F.aggregate(
-                F.filter(keyed, lambda k: k["symbol"] == name),
-                F.lit(0.0),
-                lambda held, k: held + k["n"],
-            ),
-        ),
-    )
+    # ``parts`` may be a whole text cut into words: a lambda would do that again for every symbol.
+    return _once(keyed, lambda keyed: _once(F.array_distinct(F.transform(keyed, lambda k: k["symbol"])), lambda names: counted(keyed, names)))
 
 
 def cost_symbols(cost: Column) -> Column:

@@ -57,3 +57,12 @@ def test_a_block_is_compared_in_tiles(monkeypatch):
         rows, cols, apart = similarity._nearest_rows(ask, held, keep)
         want = [(i, j, far[i, j]) for i in range(23) for j in sorted(range(40), key=lambda j: (far[i, j], j))[:keep]]
         assert list(zip(rows, cols, apart)) == want
+
+
+def test_a_text_is_cut_up_once_for_all_its_symbols(spark):
+    df = spark.createDataFrame([("a b a 2 3 c",), ("",), (None,)], "t string")
+    counts = costs.symbol_counts(F.split("t", " "))
+    # The words stand once in the expression, wherever its symbols are counted.
+    assert plan(df.select(counts)).count("split(t#") == 1
+    got = [r[0] for r in df.select(costs.symbol_counts(F.filter(F.split("t", " "), lambda w: w != ""))).collect()]
+    assert got == [{"A": 2.0, "B": 1.0, "generic": 5.0, "C": 1.0}, {}, None]
