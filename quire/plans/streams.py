@@ -77,17 +77,27 @@ def _packed(entries: DataFrame) -> DataFrame:
     return entries.groupBy("part_key", "digest").agg(F.collect_list(F.struct("position", "identity", "quantity", "lots")).alias("entries"))
 
 
+#: Lines of parts a landed file holds about, so none grows with the input.
+_LANDED = 500_000
+
+
+def _share(lines: DataFrame) -> int:
+    """How many times more files there are to land than of a short table."""
+    return 1 + lines.count() // (2 * _LANDED)
+
+
 def stream_drain(spark: SparkSession, root: str) -> DataFrame:
     """Parts landing as files, some sent twice and one import given up, drained
     in micro-batches and then all sent again: every copy once."""
-    parts = _packed(_parts(spark, root))
+    lines = _parts(spark, root)
+    parts, n = _packed(lines), _share(lines)
     base = fresh_path(spark, "drain")
-    parts.repartition(8, "part_key").write.parquet(f"{base}/landing")
-    parts.filter(F.size("entries") > 1).repartition(2).write.mode("append").parquet(f"{base}/landing")
+    parts.repartition(8 * n, "part_key").write.parquet(f"{base}/landing")
+    parts.filter(F.size("entries") > 1).repartition(2 * n).write.mode("append").parquet(f"{base}/landing")
     cancelled = spark.createDataFrame([("d7",)], "digest string")
-    drain.drain_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", files=5, cancelled=cancelled)
-    parts.repartition(3).write.mode("append").parquet(f"{base}/landing")
-    drain.drain_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", files=5, cancelled=cancelled)
+    drain.drain_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", files=5 * n, cancelled=cancelled)
+    parts.repartition(3 * n).write.mode("append").parquet(f"{base}/landing")
+    drain.drain_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", files=5 * n, cancelled=cancelled)
     return drain.collection(spark, f"{base}/table").groupBy("identity").agg(F.sum("quantity").alias("quantity"))
 
 
@@ -102,8 +112,9 @@ def live_totals(spark: SparkSession, root: str) -> DataFrame:
     drained, from a running stream total."""
     parts = _parts(spark, root)
     base = fresh_path(spark, "totals")
-    _packed(parts.filter(F.col("quantity") <= 30)).repartition(6).write.parquet(f"{base}/landing")
-    done = drain.totals_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", "digest", files=3)
+    n = _share(parts)
+    _packed(parts.filter(F.col("quantity") <= 30)).repartition(6 * n).write.parquet(f"{base}/landing")
+    done = drain.totals_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", "digest", files=3 * n)
     waiting = parts.filter(F.col("quantity") > 30).select("digest", "quantity")
     return drain.live_totals(done, waiting, "digest")
 

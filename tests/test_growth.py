@@ -66,3 +66,10 @@ def test_a_text_is_cut_up_once_for_all_its_symbols(spark):
     assert plan(df.select(counts)).count("split(t#") == 1
     got = [r[0] for r in df.select(costs.symbol_counts(F.filter(F.split("t", " "), lambda w: w != ""))).collect()]
     assert got == [{"A": 2.0, "B": 1.0, "generic": 5.0, "C": 1.0}, {}, None]
+
+
+def test_what_lands_is_dealt_by_how_much_there_is(spark, monkeypatch):
+    rows = spark.range(1000).toDF("n")
+    assert streams._share(rows) == 1
+    monkeypatch.setattr(streams, "_LANDED", 50)
+    assert streams._share(rows) == 11
