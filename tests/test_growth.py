@@ -73,3 +73,11 @@ def test_what_lands_is_dealt_by_how_much_there_is(spark, monkeypatch):
     assert streams._share(rows) == 1
     monkeypatch.setattr(streams, "_LANDED", 50)
     assert streams._share(rows) == 11
+
+
+def test_equal_places_are_looked_for_by_hash(spark):
+    rows = spark.createDataFrame([("a", i, 60 + i) for i in range(4)] + [("b", 1, 3)], "k string, o int, q long")
+    placed = stacks.assign_bins(rows, "k", "o", F.col("q"), F.lit(0), copies=100)
+    assert sorted((r.k, r.o, r.bin) for r in placed.collect()) == [("a", 0, 0), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 0)]
+    with pytest.raises(ValueError, match="two rows"):
+        stacks.assign_bins(rows.union(rows), "k", "o", F.col("q"), F.lit(0), copies=100)
