@@ -129,6 +129,7 @@ def encoded_arrays(spark: SparkSession, root: str) -> DataFrame:
     )
     # Some have none of a kind, some nothing said at all.
     rows = rows.withColumn("kinds", F.when(F.col("l_orderkey") % 7 == 0, F.array().cast("array<string>")).when(F.col("l_orderkey") % 7 > 1, F.col("kinds")))
+    rows = materialize(rows, "orders")  # published twice
     path = fresh_path(spark, "catalog")
     how = {"arrays": {"kinds": "places", "flags": "mask"}, "interned": {"legal": ["l_orderkey"]}}
     catalog_files.write_catalog(rows.filter("l_orderkey % 2 = 0"), path, "1", [], [F.asc("l_orderkey")], **how)

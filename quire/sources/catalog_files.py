@@ -125,6 +125,8 @@ def write_catalog(
     came to. Nothing reads a part before the manifest names it.
     """
     spark = df.sparkSession
+    # Read for every dictionary and for the rows; whatever it takes to come by them is done once.
+    df = materialize(df, "published")
     parts, coded = {}, df
 
     def dictionary(column: str, words: DataFrame) -> DataFrame:

@@ -81,3 +81,19 @@ def test_equal_places_are_looked_for_by_hash(spark):
     assert sorted((r.k, r.o, r.bin) for r in placed.collect()) == [("a", 0, 0), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 0)]
     with pytest.raises(ValueError, match="two rows"):
         stacks.assign_bins(rows.union(rows), "k", "o", F.col("q"), F.lit(0), copies=100)
+
+
+def test_published_rows_are_come_by_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(n):
+        calls.add(1)
+        return f"x{n % 3}"
+
+    rows = spark.range(9).select("id", said("id").alias("said"), F.array(said("id")).alias("all"))
+    rows = rows.select("id", "said", F.col("all"))
+    catalog_files.write_catalog(rows, str(tmp_path), "1", ["said"], [F.asc("id")], arrays={"all": "places"})
+    back = catalog_files.read_catalog(spark, str(tmp_path), ["id", "said", "all"])
+    assert sorted((r.id, r.said, r["all"]) for r in back.collect()) == [(i, f"x{i % 3}", [f"x{i % 3}"]) for i in range(9)]
+    assert calls.value <= 18
