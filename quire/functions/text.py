@@ -83,14 +83,27 @@ def _open_several(text: Column, several: list[tuple[str, str]]) -> Column:
     )
 
 
+def _class_of(letters: list[str]) -> str:
+    """A pattern for any of some letters, neighbours written as a range."""
+    runs: list[list[int]] = []
+    for point in sorted(map(ord, letters)):
+        if runs and runs[-1][1] == point - 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def strip_marks(text: Column) -> Column:
     """Canonical decomposition with every diacritic dropped."""
     source, target, several = _unaccent_tables()
     opened = F.translate(text, source, target)
     # Only scripts past Cyrillic hold letters that open into several; one range
-    # test keeps everything else off the long way.
+    # test keeps most off the long way, and a test for these very letters keeps
+    # off it what has but a dash or a curly quote from there.
     wide = F.when(text.rlike(r"[\uAC00-\uD7A3]"), _open_hangul(opened)).otherwise(opened)
-    full = F.when(text.rlike(r"[\u0600-\x{10FFFF}]"), _open_several(wide, several)).otherwise(opened)
+    far = F.when(text.rlike(_class_of([a for a, _ in several])), _open_several(wide, several)).otherwise(wide)
+    full = F.when(text.rlike(r"[\u0600-\x{10FFFF}]"), far).otherwise(opened)
     return F.when(text.rlike(r"^[\x00-\x5D\x5F\x61-\x7F]*$"), text).otherwise(full)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,10 +19,14 @@ def _with_flags(children: DataFrame, pred: Predicate, key: str) -> DataFrame:
     The conditions are reduced per parent by a partial aggregate and joined
     back, rather than by a window that would gather a hot parent in one task.
     """
-    if not pred.any_child:
+    return _with_answers(children, pred.any_child, key)
+
+
+def _with_answers(children: DataFrame, any_child: Mapping[str, Column], key: str) -> DataFrame:
+    if not any_child:
         return children
     answers = children.groupBy(key).agg(
-        *[F.max(condition).alias(flag) for flag, condition in pred.any_child.items()]
+        *[F.max(condition).alias(flag) for flag, condition in any_child.items()]
     )
     return children.join(answers, key)
 
@@ -43,6 +48,43 @@ def match_cards(cards: DataFrame, prints: DataFrame, pred: Predicate, key: str)
     return cards.join(answered, key, "left_semi")
 
 
+#: Leaves whose answers go into one whole number.
+_BITS = 62
+
+
+def match_each(cards: DataFrame, prints: DataFrame, asked: Mapping[str, Predicate], key: str, name: str = "asked") -> DataFrame:
+    """(``name``, ``key``): the cards of :func:`match_cards` for each of several
+    predicates, with the printings read once for all of them.
+
+    A printing is what it answers to every leaf, as bits; a card meets each
+    different answer of its printings once.
+    """
+    reads = {n: pred for n, pred in asked.items() if pred.child}
+    own, leaves, ever = {}, {}, {}
+    for pred in reads.values():
+        sides = _by_side(pred)
+        own |= sides[0]
+        leaves |= sides[1]
+        ever |= pred.any_child
+    flags = {}
+    if reads:
+        rows, names = _with_answers(prints, ever, key), list(leaves)
+        masks = [names[i : i + _BITS] for i in range(0, len(names), _BITS)]
+
+        def mask(held: list[str]) -> Column:
+            return reduce(Column.bitwiseOR, [F.when(leaves[n], F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, n in enumerate(held)])
+
+        right = rows.select(key, *[mask(held).alias(f"_mask_{m}") for m, held in enumerate(masks)]).distinct()
+        told = [(F.getbit(f"_mask_{m}", F.lit(i)) == 1).alias(n) for m, held in enumerate(masks) for i, n in enumerate(held)]
+        left = cards.select(key, *[c.alias(n) for n, c in own.items()])
+        flags = {n: f"_answer_{i}" for i, n in enumerate(reads)}
+        met = left.join(right, key).select(key, *own, *told)
+        answered = met.groupBy(key).agg(*[F.max(reads[n].flagged).alias(flag) for n, flag in flags.items()])
+        cards = cards.join(answered, key, "left")
+    each = F.array(*[F.when(F.col(flags[n]) if n in flags else pred.test, F.lit(n)) for n, pred in asked.items()])
+    return cards.select(F.explode(F.array_compact(each)).alias(name), key)
+
+
 def _by_side(pred: Predicate) -> tuple[dict[str, Column], dict[str, Column]]:
     """The predicate's leaves that read the parent, and those that read a child."""
     own = {n: c for n, (child, c) in pred.leaves.items() if not child}

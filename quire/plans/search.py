@@ -408,11 +408,7 @@ def printed_predicates(spark: SparkSession, root: str) -> DataFrame:
         "two sides": p.two_sided() & ~p.has_art(),
         "artist": p.artist_has("O'A brie") & p.lang_is("o"),
     }
-    out = None
-    for name, pred in asked.items():
-        found = find.match_cards(cards, prints, pred, "id").select(F.lit(name).alias("asked"), "id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return find.match_each(cards, prints, asked, "id")
 
 
 PRINTED_PREDICATES = """

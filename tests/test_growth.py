@@ -97,3 +97,30 @@ def test_published_rows_are_come_by_once(spark, tmp_path):
     back = catalog_files.read_catalog(spark, str(tmp_path), ["id", "said", "all"])
     assert sorted((r.id, r.said, r["all"]) for r in back.collect()) == [(i, f"x{i % 3}", [f"x{i % 3}"]) for i in range(9)]
     assert calls.value <= 18
+
+
+def test_each_predicate_finds_what_it_finds_alone(spark):
+    cards = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, None), (None, "a"), (4, "b")], "id int, kind string")
+    prints = spark.createDataFrame(
+        [(1, "x", 1), (1, "y", 2), (2, "x", 2), (2, None, 1), (3, "y", None), (None, "x", 1), (1, "x", 1)], "id int, kind string, n int"
+    )
+    x, two = p.holds(F.col("kind") == "x", child=True), p.holds(F.col("n") == 2, child=True)
+    own = p.holds(F.col("kind") == "a")
+    asked = {
+        "own": own, "x": x, "both": x & two, "either": x | two, "not": ~x & ~two, "mixed": own & two, "any": own | x,
+        "ever": p.any_child(F.col("kind") == "y", "_y") & two, "neither": ~own & ~x,
+    }
+    got = find.match_each(cards, prints, asked, "id")
+    want = [(n, r.id) for n, pred in asked.items() for r in find.match_cards(cards, prints, pred, "id").collect()]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    few = find.match_each(cards, prints, {"x": x, "mixed": own & two, "own": own}, "id")
+    assert plan(few).count("kind#") and plan(few).count("Scan ExistingRDD") == 3  # cards twice, printings once
+
+
+def test_only_letters_that_open_into_several_go_the_long_way(spark):
+    several = dict(tx._unaccent_tables()[2])
+    texts = ["O’A Brién — x", *several, "ậz 각 …", "plain", None, "क़’é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", tx.strip_marks(F.col("t")).alias("s"), F.col("t").rlike(tx._class_of(list(several))).alias("long")).collect()
+    assert [r.s for r in sorted(rows)] == [None if t is None else tx.bare(t) for t in texts]
+    assert [r.long for r in sorted(rows)] == [None if t is None else any(c in several for c in t) for t in texts]
