@@ -8,51 +8,58 @@ few symbols of a short word a list.
 
 No piece has a space after another character, which is checked when a
 vocabulary is loaded. So no pair reaches over a word's first space, words have
-agendas of their own, and a word met again is looked up. The library encodes
-every word a batch brings that was not met before, and decodes every text.
+agendas of their own, and a word met again is looked up. The words not met
+before step through their agendas together, each its own. The library encodes
+every one of them too, and decodes every text. Ids are kept as packed bytes.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import compress, pairwise
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 SPACE = "▁"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Spaces and the word after them, or spaces at the end; what holds for any vocabulary of words.
-_WORDS = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+_WORDS = " *[^ ]+| +"
 #: The same with Latin letters, digits and the rest apart, where no piece joins them: fewer words differ.
-_KINDS = f"{SPACE}*[{_LETTER}]+|[0-9]|{SPACE}*[^{SPACE}0-9{_LETTER}]+|{SPACE}+"
+_KINDS = f" *[{_LETTER}]+|[0-9]| *[^ 0-9{_LETTER}]+| +"
 _JOINED = f"[{_LETTER}][^{_LETTER}]|[^{SPACE}{_LETTER}][{_LETTER}]|.[0-9]|[0-9]."
 #: Words a worker remembers, twice at most, and the longest of them in characters.
 REMEMBERED, LONGEST = 250_000, 32
-#: Characters encoded at once; a longer text is taken in stretches that end where a word does.
+#: Characters cut into words at once; a longer text is taken in stretches that end where a word does.
 STRETCH = 1 << 20
 #: A character no vocabulary taken here has.
 _APART = "①"
 #: The rank of a pair that is no piece.
-_NONE = 1 << 31
+_NONE = (1 << 31) - 1
 _BAD = "�".encode()
 
 
+def _packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class _Seen(dict):
-    """Words met of late and their ids; the older half is forgotten when it is full."""
+    """Words met of late, spaces plain, and their packed ids; the older half is forgotten when it is full."""
 
     def __init__(self, merge):
         self.merge, self.older = merge, {}
         self.new: list[str] = []  # words merged since they were last checked
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         found = self.older.pop(word, None)
         if found is None:
-            found = self.merge(word)
+            found = _packed(self.merge(word.replace(" ", SPACE)))
             self.new.append(word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
@@ -96,11 +103,77 @@ class Vocabulary:
                 surface[i] = bytes([self.value[i]])
         self.surface = surface
         self.ends = {i for i in ids if lib.is_control(i)}
+        self.surfaces = pa.array(surface, pa.large_binary())
+        self.is_end = np.array([i in self.ends for i in ids])
+        #: Whether decoding leaves out an id's leading space where it comes first.
+        self.leads = np.array([surface[i][:1] == b" " and i not in self.value and i != self.unknown for i in ids])
+        self._set_pairs(len(pieces))
+        self.ahead: dict[str, tuple[int, ...]] = {}
         self.seen = _Seen(self.merge)
 
+    def _set_pairs(self, size: int) -> None:
+        """Which two pieces are one by their ids, for words that step together."""
+        self.filler = size  # no piece, and in no pair
+        self.of_point = np.full(0x110000, size, np.int64)
+        for piece, id in self.id_of.items():
+            if len(piece) == 1:
+                self.of_point[ord(piece)] = id
+        pairs = {}
+        for piece, rank in self.rank.items():
+            for cut in range(1, len(piece)):
+                left, right = self.id_of.get(piece[:cut]), self.id_of.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left * (size + 1) + right] = rank, self.id_of[piece]
+        keys = sorted(pairs)
+        self.pairs = np.array([*keys, np.iinfo(np.int64).max])
+        self.pair_rank = np.array([*(pairs[key][0] for key in keys), _NONE], np.int32)
+        self.pair_id = np.array([*(pairs[key][1] for key in keys), size])
+
+    def _paired(self, left, right):
+        """The rank of each pair of ids, and the id of the two as one."""
+        key = left * (self.filler + 1) + right
+        at = self.pairs.searchsorted(key)
+        at[self.pairs[at] != key] = len(self.pairs) - 1
+        return self.pair_rank[at], self.pair_id[at]
+
+    def together(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of those short words all of whose characters are pieces: every step takes the top of each agenda."""
+        words = [word for word in words if len(word) <= LONGEST]
+        if not words:
+            return {}
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        wide = int(size.max()) + 1  # one place more, which holds no piece and ends every word
+        held = np.full((len(words), wide), self.filler)
+        held[np.arange(wide) < size[:, None]] = self.of_point[points]
+        known = (held != self.filler).sum(1) == size
+        words, held, size = list(compress(words, known)), held[known], size[known]
+        rows = np.arange(len(words))
+        place = rows[:, None] * wide + np.arange(wide)
+        rank = np.full(held.shape, _NONE, np.int32)
+        fused = np.full(held.shape, self.filler)
+        rank[:, :-1], fused[:, :-1] = self._paired(held[:, :-1], held[:, 1:])
+        after, before = place + 1, place - 1
+        after[rows, size - 1] = before[:, 0] = place[:, -1]
+        held, after, before, ranks, fused = (x.reshape(-1) for x in (held, after, before, rank, fused))
+        while rows.size:
+            at = rows * wide + rank[rows].argmin(1)  # the leftmost of equals
+            live = ranks[at] != _NONE
+            rows, at = rows[live], at[live]
+            gone, left, made = after[at], before[at], fused[at]
+            right = after[gone]
+            held[at], held[gone], ranks[gone] = made, self.filler, _NONE
+            after[at], before[right] = right, at
+            ranks[at], fused[at] = self._paired(made, held[right])
+            ranks[left], fused[left] = self._paired(held[left], made)
+        stay = (held != self.filler).reshape(-1, wide)
+        ids = held[stay.reshape(-1)].tolist()
+        bounds = [0, *np.cumsum(stay.sum(1)).tolist()]
+        return {word: tuple(ids[a:b]) for word, (a, b) in zip(words, pairwise(bounds))}
+
     def merge(self, word: str) -> tuple[int, ...]:
-        """The agenda over one word."""
-        return self._ids(self._short(word) if len(word) <= LONGEST else self._long(word))
+        """The agenda over one word, if it is not already worked off."""
+        return self.ahead.pop(word, None) or self._ids(self._short(word) if len(word) <= LONGEST else self._long(word))
 
     def _short(self, word: str) -> list[str]:
         """The agenda as a list with one place a pair: what a few symbols need."""
@@ -164,25 +237,51 @@ class Vocabulary:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """The same for the texts of a batch. Words met for the first time are
-        given to the library together; those seen before were."""
-        found = [list(chain.from_iterable(map(self.seen.__getitem__, self._split(text)))) for text in texts]
-        wrong = self._unlike()
-        return [(ids, not wrong or wrong.isdisjoint(self._split(text))) for text, ids in zip(texts, found)]
-
-    def _split(self, text: str):
-        return chain.from_iterable(self.words(SPACE + stretch.replace(" ", SPACE)) for stretch in stretches(text))
+        """The same for the texts of a batch."""
+        return [(array("i", ids).tolist(), same) for ids, same in zip(*self.encode_packed(texts))]
+
+    def encode_packed(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The packed ids of each text, and whether the library finds the same.
+        Words met for the first time are given to the library together; those
+        seen before were."""
+        parts, same = [[] for _ in texts], [True] * len(texts)
+        for some in self._dealt(texts):
+            differ = set().union(*[words for _, words in some])
+            found = dict(zip(differ, map(self.seen.get, differ)))  # few enough to be at hand
+            missed = [word for word, ids in found.items() if ids is None]
+            self.ahead = self.together([word.replace(" ", SPACE) for word in missed if word not in self.seen.older])
+            for word in missed:
+                found[word] = self.seen[word]
+            for n, words in some:
+                parts[n].append(b"".join(map(found.__getitem__, words)))
+            wrong = self._unlike()
+            for n, words in some if wrong else ():
+                same[n] &= wrong.isdisjoint(words)
+        return [b"".join(p) for p in parts], same
+
+    def _dealt(self, texts: list[str]):
+        """(which text, words) of every stretch, as many at once as have about STRETCH characters."""
+        some, size = [], 0
+        for n, text in enumerate(texts):
+            for stretch in stretches(text):
+                some.append((n, self.words(" " + stretch.replace(SPACE, " "))))
+                size += len(stretch)
+                if size >= STRETCH:
+                    yield some
+                    some, size = [], 0
+        yield some
 
     def _unlike(self) -> set[str]:
         """The words not yet checked of which the library makes something else."""
         new, self.seen.new = self.seen.new, []
         lead = len(self.library.encode(_APART))
         # Behind a character that is no piece and joins none, so no space is put before the word itself.
-        theirs = self.library.encode([_APART + word.replace(SPACE, " ") for word in new], num_threads=1)
-        wrong = {word for word, ids in zip(new, theirs) if tuple(ids[lead:]) != self.seen[word]}
+        theirs = self.library.encode([_APART + word for word in new], num_threads=1)
+        wrong = {word for word, ids in zip(new, theirs) if _packed(ids[lead:]) != self.seen[word]}
         self.seen.new = []  # long words are merged once more
         for word in wrong:
             self.seen.pop(word, None)  # so that it is told again
+            self.seen.older.pop(word, None)
         return wrong
 
     def decode(self, ids: list[int]) -> tuple[str, bool]:
@@ -198,6 +297,35 @@ class Vocabulary:
             text = self._mend(ids, parts)
         return text, text == self.library.decode(ids)
 
+    def decode_all(self, column: pa.ListArray) -> tuple[list[str | None], list[bool]]:
+        """The texts of lists of ids, written at once, and whether the library finds the same of each."""
+        rows = column.offsets.to_numpy()
+        flat = column.values.slice(rows[0], rows[-1] - rows[0])
+        rows = rows - rows[0]
+        numbers = flat.to_numpy()
+        written = self.surfaces.take(flat)
+        view = memoryview(written.buffers()[2] or b"")
+        bounds = np.frombuffer(written.buffers()[1], np.int64)[rows].tolist() if len(flat) else [0] * len(rows)
+        ended = np.concatenate([[0], np.cumsum(self.is_end[numbers])])[rows].tolist()
+        leads = self.leads[numbers[np.minimum(rows[:-1], len(numbers) - 1)]].tolist() if len(flat) else [False] * len(rows)
+        listed, rows = numbers.tolist(), rows.tolist()
+        texts, same = [], []
+        for n, there in enumerate(column.is_valid().to_pylist()):
+            ids = listed[rows[n] : rows[n + 1]]
+            if not there:
+                text, like = None, True
+            elif ended[n] != ended[n + 1]:
+                text, like = self.decode(ids)
+            else:
+                try:
+                    text = str(view[bounds[n] + (leads[n] if ids else 0) : bounds[n + 1]], "utf-8")
+                    like = text == self.library.decode(ids)
+                except UnicodeDecodeError:
+                    text, like = self.decode(ids)
+            texts.append(text)
+            same.append(like)
+        return texts, same
+
     def _mend(self, ids: list[int], parts: list[bytes]) -> str:
         """Each spelled byte that is in no character of its run becomes U+FFFD."""
         out, run = [], bytearray()
@@ -274,9 +402,10 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text")
     def run(batches):
         words = vocabulary(model)
         for batch in quietly(batches):
-            found = words.encode_all([x.decode(errors="replace") for x in _plain(batch.column(text))])
-            ids = pa.array([x for x, _ in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(id), ids, pa.array([x for _, x in found], pa.bool_())], [id, "ids", "same"])
+            found, same = words.encode_packed([x.decode(errors="replace") for x in _plain(batch.column(text))])
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(id), ids, pa.array(same, pa.bool_())], [id, "ids", "same"])
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, ids array<int>, same boolean")
@@ -295,8 +424,8 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded",
     def run(batches):
         words = vocabulary(model)
         for batch in quietly(batches):
-            found = [(None, True) if x is None else words.decode(x) for x in batch.column(ids).to_pylist()]
-            more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.bool_())]
+            texts, like = words.decode_all(batch.column(ids))
+            more = [pa.array(texts, pa.string()), pa.array(like, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, out, same])
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType()), T.StructField(same, T.BooleanType())])

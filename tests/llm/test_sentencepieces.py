@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -84,3 +85,36 @@ def test_what_the_library_finds_otherwise_is_told(monkeypatch):
     words.seen.merge = lambda word: (5,) if word in ("▁bad", "▁" + "x" * 99) else right(word)
     for _ in range(2):
         assert [same for _, same in words.encode_all(["good", "a bad one", "", "x" * 99, "good bad"])] == [True, False, True, False, False]
+
+
+def test_words_step_together_as_each_alone(words):
+    draw = random.Random(3)
+    some = {"".join(draw.choice("▁▁aehilnorst'.é日") for _ in range(draw.randrange(1, 40))) for _ in range(4000)}
+    some |= {"▁" * n for n in range(1, 33)} | {"a" * n for n in range(1, 33)} | {"\U0001f600a", "①"}
+    together = words.together(sorted(some))
+    assert together == {word: words.merge(word) for word in together}
+    plain = {word for word in some if len(word) <= sentencepieces.LONGEST and all(c in words.id_of for c in word)}
+    assert set(together) == plain and len(plain) > 1000
+    assert words.together([]) == {} == words.together(["①"])
+
+
+def test_new_words_of_a_batch_are_not_merged_one_by_one(monkeypatch):
+    words = sentencepieces.Vocabulary(registry.pieces_path())
+    alone = []
+    right = words._short
+    monkeypatch.setattr(words, "_short", lambda word: alone.append(word) or right(word))
+    texts = [f"these are words never met {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)] + ["one ①"]
+    assert words.encode_all(texts) == [(words.library.encode(text), True) for text in texts]
+    assert alone == ["▁①"]
+
+
+def test_lists_decode_at_once_as_each_alone(words):
+    draw = random.Random(4)
+    near = [0, 1, 2, 259, 28705, 3 + 0xE2, 3 + 0x91, 3 + 0xA0, 3 + 0xF0, 3 + 0xC3]
+    rows = [[draw.choice([draw.randrange(32000), draw.choice(near)]) for _ in range(draw.randrange(9))] for _ in range(1000)]
+    rows[::50] = [None] * 20
+    for column in (pa.array(rows, pa.list_(pa.int32())), pa.array([[5], *rows, [6]], pa.list_(pa.int32())).slice(1, 1000)):
+        texts, same = words.decode_all(column)
+        assert texts == [None if ids is None else words.library.decode(ids) for ids in rows] and all(same)
+    for rows in ([], [None], [[]], [[], None]):
+        assert words.decode_all(pa.array(rows, pa.list_(pa.int32()))) == ([None if x is None else "" for x in rows], [True] * len(rows))
