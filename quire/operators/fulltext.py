@@ -19,8 +19,7 @@ LEAST_IDF = 1e-6
 
 def tokens(text: Column) -> Column:
     """Lower-case words without marks: runs of letters and digits."""
-    bare = F.trim(F.regexp_replace(F.lower(strip_marks(text)), r"[^\p{L}\p{N}]+", " "))
-    return F.filter(F.split(bare, " "), lambda t: t != "")
+    return F.filter(F.split(F.lower(strip_marks(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def _pieces(word: str) -> list[str]:

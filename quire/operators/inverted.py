@@ -1,9 +1,10 @@
 """Full-text search from an index written once: which word stands where.
 
-Places are sorted by word, so a word or a prefix is a range of them that a
-search reads by the files' own bounds, whatever the texts come to; a word that
-half of all texts hold lies in many files. Texts are read when the index is
-built and never again.
+A file holds the places of some texts, sorted by word, so a word or a prefix is
+a range of every file that a search reads by the bounds of the file's blocks;
+a word that half of all texts hold lies in all files alike, and a text's hits
+are counted before anything is shuffled. Texts are read when the index is built
+and never again.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def build_index(docs: DataFrame, key: str, text: str, root: str, keep: Sequence[
     cut = materialize(cut, "words")
     cut.select(key, *keep, F.size("_t").alias("_d")).write.parquet(f"{root}/rows")
     places = cut.select(key, F.size("_t").alias("_d"), F.posexplode("_t").alias("_at", "_word"))
-    places = places.repartitionByRange("_word", key).sortWithinPartitions("_word", key, "_at")
+    # A text's places stay in the task that reads it: nothing is shuffled, and every file is in order by itself.
+    places = places.sortWithinPartitions("_word", key, "_at")
     places.write.option("parquet.block.size", str(BLOCK)).parquet(f"{root}/places")
     rows = docs.sparkSession.read.parquet(f"{root}/rows")
     rows.agg(F.count(F.lit(1)).alias("_rows"), F.avg("_d").alias("_avg")).write.parquet(f"{root}/sums")

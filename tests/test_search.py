@@ -219,3 +219,22 @@ def test_an_index_finds_what_a_scan_finds(spark, tmp_path):
         inverted.build_index(df.withColumnRenamed("kind", "_d"), "k", "t", root + "2", keep=["_d"])
     inverted.build_index(df.limit(0), "k", "t", root + "3")
     assert inverted.search_index(spark, root + "3", "k", "ur").count() == 0
+
+
+def test_an_index_keeps_each_text_s_places_in_one_file_in_order(spark, tmp_path):
+    draw = random.Random(10)
+    rows = [(i, " ".join(draw.choice(["the", "then", "ur", "élan", "b2"]) for _ in range(20))) for i in range(200)]
+    root = str(tmp_path / "index")
+    inverted.build_index(spark.createDataFrame(rows, "k int, t string").repartition(4), "k", "t", root)
+    held = {}
+    for path in sorted((tmp_path / "index" / "places").glob("*.parquet")):
+        found = [(r._word, r.k, r._at) for r in spark.read.parquet(str(path)).coalesce(1).collect()]
+        assert found == sorted(found)
+        held[path.name] = {k for _, k, _ in found}
+    assert len(held) > 1 and sum(map(len, held.values())) == 200 == len(set().union(*held.values()))
+
+
+def test_tokens_at_the_ends_of_a_text(spark):
+    texts = ["", " ", "—", "  a  b ", "-A-b.", "É1 ½x", None, "x\ny\t", " z　"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(fulltext.tokens(fulltext.F.col("t"))).collect()
+    assert [r[0] for r in got] == [[], [], [], ["a", "b"], ["a", "b"], ["e1", "½x"], None, ["x", "y"], ["z"]]
