@@ -86,7 +86,8 @@ def _labelled(rows: DataFrame, labels: DataFrame, id: str) -> DataFrame:
         # Rows without an id, or many of one id, meet their label in several tasks.
         share = F.pmod(F.xxhash64("key"), F.lit(SHARES)).cast("int")
         told = told.select("*", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-        joined = rows.withColumn("share", share).join(told, ["id", "share"], "left")
+        # Spark's estimate leaves the shares out: unhinted, it may send all of them to the driver to be broadcast.
+        joined = rows.withColumn("share", share).join(told.hint("merge"), ["id", "share"], "left")
     return joined.select("key", "id", "part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 

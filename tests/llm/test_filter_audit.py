@@ -97,6 +97,17 @@ def test_a_large_group_of_copies_sends_the_state_one_row_a_task(spark):
     assert sum(r.n for r in sent if len(r.key) == 32) == 4
 
 
+def test_many_labels_are_not_broadcast_by_an_estimate(spark, monkeypatch):
+    docs = spark.range(50).selectExpr("unhex(sha2(CAST(id AS STRING), 256)) AS key", "IF(id % 7 = 0, NULL, id % 20) AS id", "'en' AS part", "0 AS mask")
+    labels = spark.range(0, 20, 2).selectExpr("id AS doc_id", "CAST(id % 4 = 0 AS INT) AS quality", "CAST(id % 3 = 0 AS INT) AS toxic")
+    few = filter_audit._labelled(docs, labels, "doc_id")
+    monkeypatch.setattr(filter_audit, "SMALL", 1)
+    many = filter_audit._labelled(docs, labels, "doc_id")
+    plans = [x._jdf.queryExecution().sparkPlan().toString() for x in (few, many)]
+    assert ["Broadcast" in p for p in plans] == [True, False]
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+
+
 def test_shares_add_up(spark):
     draw = random.Random(6)
     docs = rows(80, draw)
