@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, PandasCogroupedOps, SparkSession, Window, functions as F
 
 from ..constants import APART, KEEP_NEAREST, SURE_MARGIN
 from ..functions.shapes import settle_finish
@@ -23,6 +25,10 @@ LEAST_QUERIES = 1_024
 # a task holds beside its blocks is under a megabyte.
 TILE_ROWS = 16
 TILE_COLUMNS = 4_096
+# The same where ranks are counted: rows, and columns of three hashes each.
+RANK_ROWS = 256
+RANK_COLUMNS = 683
+FAR = 75  # the top byte of a float from 2^23 to 2^24
 
 
 def sign_hash(vector: Column, over: float = 0.0) -> Column:
@@ -94,31 +100,43 @@ def _most(df: DataFrame, by: list[str]) -> tuple[int, int]:
     return sizes["most"] or 0, sizes["groups"]
 
 
-def _compared(
-    asked: DataFrame, ask: str, held: DataFrame, by: str, own: list[str], compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str
-) -> DataFrame:
-    """``compare`` of every block of ``asked`` with every block of ``held``, dealt
-    by a hash of ``ask`` and of ``by``, within each value of ``own``.
+def _apart_in_partitions(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers, each dealt to a partition of its own where ``n`` partitions are dealt by their hash."""
+    tries = n * (10 + math.ceil(math.log(n)))
+    dealt = spark.range(tries).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    first = {r["p"]: r["id"] for r in dealt}
+    return [first.get(p, tries + p) for p in range(n)]
+
+
+def _paired(asked: DataFrame, ask: str, held: DataFrame, by: str, own: list[str], wider: tuple[int, int] = (1, 1)) -> PandasCogroupedOps:
+    """Every block of ``asked`` beside every block of ``held``, dealt by a hash
+    of ``ask`` and of ``by``, within each value of ``own``.
 
     Each row goes to as many tasks as the other side has blocks, so blocks are
-    as large as they may be once there are some for every core.
+    as large as they may be once there are some for every core. ``wider`` says
+    how many times the usual rows a block of either side may have.
     """
+    spark = asked.sparkSession
     questions, groups = _most(asked, own)
     rows, _ = _most(held, own)
-    across = max(1, math.ceil(rows / INDEX_BLOCK))
-    cores = asked.sparkSession.sparkContext.defaultParallelism
-    wanted = math.ceil(4 * cores / (across * max(1, groups)))
-    down = max(1, math.ceil(questions / QUERY_BLOCK), min(wanted, math.ceil(questions / LEAST_QUERIES)))
+    across = max(1, math.ceil(rows / (INDEX_BLOCK * wider[1])))
+    wanted = math.ceil(4 * spark.sparkContext.defaultParallelism / (across * max(1, groups)))
+    down = max(1, math.ceil(questions / (QUERY_BLOCK * wider[0])), min(wanted, math.ceil(questions / LEAST_QUERIES)))
+    # A number of its own, as few bytes here are much work: partitions are not put together by size.
+    parts = min(4_096, (1 if not own else 2 * max(1, groups)) * across * down)
+    pairs = across * down
+    names = _apart_in_partitions(spark, pairs) if pairs <= parts and not own else range(pairs)
 
     def dealt(df: DataFrame, column: str, own_block: str, n: int, other: str, m: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-        return df.select("*", F.pmod(F.xxhash64(column), F.lit(n)).alias(own_block)).select("*", every.alias(other))
+        both = df.select("*", F.pmod(F.xxhash64(column), F.lit(n)).alias(own_block)).select("*", every.alias(other))
+        number = F.col("qb") * across + F.col("ib")
+        block = number if isinstance(names, range) else F.get(F.lit(names).cast("array<bigint>"), number.cast("int"))
+        return both.withColumn("block", block).drop("qb", "ib").repartition(parts, *keys)
 
-    # A number of its own, as few bytes here are much work: partitions are not put together by size.
-    parts, keys = min(4_096, 2 * across * down * max(1, groups)), ["qb", "ib", *own]
-    left = dealt(asked, ask, "qb", down, "ib", across).repartition(parts, *keys)
-    right = dealt(held, by, "ib", across, "qb", down).repartition(parts, *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
+    keys = ["block", *own]
+    left, right = dealt(asked, ask, "qb", down, "ib", across), dealt(held, by, "ib", across, "qb", down)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 
 def nearest(
@@ -161,7 +179,7 @@ def nearest(
     kinds = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in own)
     asked = asked.select(F.col(hashes).alias("ask"), *own)
     held = held.select(F.col(artwork).cast("long").alias("artwork"), F.col(hashes).alias("held"), *own)
-    local = _compared(asked, "ask", held, "artwork", own, compare, f"ask array<bigint>, artwork bigint, distance bigint{kinds}")
+    local = _paired(asked, "ask", held, "artwork", own).applyInPandas(compare, f"ask array<bigint>, artwork bigint, distance bigint{kinds}")
     w = Window.partitionBy("ask", *own).orderBy("distance", "artwork")
     # Written: who reads the answer twice does not compare again.
     best = materialize(local.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= keep), "nearest")
@@ -189,8 +207,103 @@ def least_distance(asked: Column, held: Column) -> Column:
     return F.array_min(F.flatten(F.transform(asked, lambda a: F.transform(held, lambda h: F.bit_count(a.bitwiseXOR(h)))))).cast("long")
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    """The bits of each hash, and a one."""
+    out = np.ones((len(words), 65), np.float32)
+    out[:, :64] = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), axis=1)
+    return out
+
+
+def _packed(words: np.ndarray) -> np.ndarray:
+    """Three hashes a column, so that a row of :func:`_bits` times a column is a
+    whole number under 2^24 whose float holds their distances in three bytes.
+
+    Every sum on the way is a whole number under 2^24 too and so exact in a
+    float, in whatever order a product takes them. The fourth byte is 75, and
+    so are the bytes of hashes missing in the last column: further than any.
+    """
+    n, scale = -(-len(words) // 3), np.array([1, 1 << 8, 1 << 16], np.float32)
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), axis=1)
+    turns, ones = np.zeros((3 * n, 64), np.float32), np.full(3 * n, FAR, np.float32)
+    turns[: len(words)] = 1 - 2 * bits.astype(np.float32)
+    ones[: len(words)] = bits.sum(axis=1)
+    out = np.empty((65, n), np.float32)
+    out[:64] = (turns.reshape(n, 3, 64) * scale[:, None]).sum(axis=1).T
+    out[64] = ones.reshape(n, 3) @ scale + (1 << 23)  # from here on a float's lowest bytes are its number
+    return out
+
+
+def _ranked(
+    ask: np.ndarray, held: np.ndarray, copies: np.ndarray, bounds: np.ndarray, kinds: Sequence[tuple[int, int]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every kind and query row: index rows nearer than its bound and those
+    as far, each counted ``copies`` times, the least distance, and the least
+    past the bound, which is only told where none is nearer and one as far."""
+    shape = len(kinds), len(ask)
+    nearer, same = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    least, beyond = np.full(shape, 255, np.int64), np.full(shape, 255, np.int64)
+    needed = sorted({(a, h) for wide, high in kinds for a in range(wide) for h in range(high)})
+    tiles = []
+    for c in range(0, len(held), 3 * RANK_COLUMNS):
+        some = held[c : c + 3 * RANK_COLUMNS]
+        more = np.flatnonzero(copies[c : c + len(some)] > 1)
+        # Where the copies' bytes lie, and what they count beside the first.
+        tiles.append(([_packed(some[:, h]) for h in range(held.shape[1])], more // 3 * 4 + more % 3, (copies[c + more] - 1).astype(np.float64)))
+    room = np.empty((len(needed), RANK_ROWS * RANK_COLUMNS), np.float32)
+
+    def times(hit: np.ndarray, place: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        n = np.bitwise_count(hit.view(np.uint32)).sum(axis=1, dtype=np.int64)
+        return n + (hit[:, place].astype(np.float64) @ extra).astype(np.int64) if len(place) else n
+
+    for at in range(0, len(ask), RANK_ROWS):
+        rows = [_bits(ask[at : at + RANK_ROWS, a]) for a in range(ask.shape[1])]
+        here = slice(at, at + len(rows[0]))
+        for columns, place, extra in tiles:
+            size = len(rows[0]), columns[0].shape[1]
+            apart, lowest = {}, {}
+            for (a, h), out in zip(needed, room):
+                apart[a, h] = np.matmul(rows[a], columns[h], out=out[: size[0] * size[1]].reshape(size)).view(np.uint8)
+                lowest[a, h] = apart[a, h].min(axis=1)
+            for k, (wide, high) in enumerate(kinds):
+                pairs = [(a, h) for a in range(wide) for h in range(high)]
+                first, bound = np.minimum.reduce([lowest[pair] for pair in pairs]), bounds[k, here]
+                least[k, here] = np.minimum(least[k, here], first)
+                beyond[k, here] = np.minimum(beyond[k, here], np.where(first > bound, first, 255))
+                close = np.flatnonzero(first <= bound)
+                if not len(close):
+                    continue
+                # Only these rows are looked at more closely.
+                own, t = np.minimum.reduce([apart[pair][close] for pair in pairs]), bound[close, None].astype(np.uint8)
+                less, level = times(own < t, place, extra), times(own == t, place, extra)
+                nearer[k, at + close] += less
+                same[k, at + close] += level
+                alone = (less == 0) & (level == 1)
+                past = own[alone] - (t[alone] + np.uint8(1))  # what is no further than the bound wraps round
+                beyond[k, at + close[alone]] = np.minimum(beyond[k, at + close[alone]], past.min(axis=1).astype(np.int64) + t[alone, 0] + 1)
+    return nearer, same, least, beyond
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """Hash lists as one matrix; a shorter list repeats its first hash."""
+    lists = column.combine_chunks()
+    if lists.flatten().null_count:
+        raise ValueError("a hash is null")
+    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    width = sizes.max()
+    place = np.arange(width)
+    starts = np.cumsum(sizes) - sizes
+    return flat[starts[:, None] + np.where(place < sizes[:, None], place, 0)].view(np.uint64)
+
+
 def true_ranks(
-    queries: DataFrame, index: DataFrame, truth: str, query: str = "query_id", artwork: str = "artwork", hashes: str = "hashes", within: str | None = None
+    queries: DataFrame,
+    index: DataFrame,
+    truth: str,
+    query: str = "query_id",
+    artwork: str = "artwork",
+    hashes: str = "hashes",
+    within: str | None = None,
+    kinds: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """(query, distance, rank, margin) of every query with hashes whose true
     artwork, named in ``truth``, the index holds.
@@ -198,10 +311,13 @@ def true_ranks(
     ``rank`` is one more than the artworks nearer than the true one, however
     many those are; ``margin`` is how much further the nearest other artwork
     lies, under zero where it is nearer, null where there is none. Nothing is
-    ranked: each pair of blocks answers a query with one count and one least
-    distance, and those add up. Artworks with the same hashes are compared once
-    and queries that ask the same about the same hashes are asked once.
+    ranked: each pair of blocks answers a query with two counts and two least
+    distances, and those add up. Artworks with the same hashes are compared once
+    and queries that ask the same at the same distance are asked once.
     ``within`` as in :func:`nearest`; a number may occur once in each of its values.
+    ``kinds`` names ways to compare, each by how many of a query's and of an
+    artwork's first hashes it takes; every query is answered once a kind, named
+    in a column ``kind``, and what kinds share is compared once.
     """
     own = [within] if within else []
     present = F.col(hashes).isNotNull()
@@ -211,35 +327,44 @@ def true_ranks(
     held = materialize(index.groupBy(F.col(hashes).alias("held"), *own).agg(F.count(F.lit(1)).alias("n")), "held")
     true = index.select(F.col(artwork).alias(truth), F.col(hashes).alias("true"), *own)
     known = queries.select(query, F.col(hashes).alias("ask"), truth, *own).join(true, [truth, *own])
-    known = known.select(query, "ask", "true", *own, least_distance(F.col("ask"), F.col("true")).alias("distance"))
-    known = materialize(known.filter("distance IS NOT NULL"), "known")
-    asked = materialize(known.select("ask", "true", "distance", *own).distinct(), "asked")
-
-    def compare(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if ask.empty or near.empty:
-            return pd.DataFrame(columns=["ask", "true", "nearer", "other", *own], dtype=object)
-        place = {tuple(h): i for i, h in enumerate(near["held"])}
-        index_words, query_words = _matrix(near["held"]), _matrix(ask["ask"])
-        copies = near["n"].to_numpy()
-        alone = np.array([i if (i := place.get(tuple(t), -1)) >= 0 and copies[i] == 1 else -1 for t in ask["true"]])
-        bound = ask["distance"].to_numpy().astype(np.uint8)[:, None]
-        weights = copies.astype(np.float64)  # whole numbers, exact in a sum
-        nearer, other = np.zeros(len(ask), np.int64), np.full(len(ask), 255, np.int64)
-        for at, c, apart in _tiles(query_words, index_words):
-            here, n = slice(at, at + len(apart)), apart.shape[1]
-            nearer[here] += ((apart < bound[here]).astype(np.float64) @ weights[c : c + n]).astype(np.int64)
-            mine = alone[here] - c
-            rows = np.flatnonzero((mine >= 0) & (mine < n))
-            apart[rows, mine[rows]] = 255  # the true artwork is no other one
-            other[here] = np.minimum(other[here], apart.min(axis=1))
-        return pd.DataFrame({"ask": ask["ask"], "true": ask["true"], "nearer": nearer, "other": other}).assign(**{c: ask[c].iloc[0] for c in own})
-
-    kinds = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in own)
-    local = _compared(asked, "ask", held, "held", own, compare, f"ask array<bigint>, true array<bigint>, nearer bigint, other bigint{kinds}")
-    found = local.groupBy("ask", "true", *own).agg(F.sum("nearer").alias("nearer"), F.min("other").alias("other"))
-    return known.join(found, ["ask", "true", *own]).select(
-        query, *own, "distance", (F.col("nearer") + 1).alias("rank"), F.when(F.col("other") <= APART, F.col("other") - F.col("distance")).alias("margin")
-    )
+    ways = list((kinds or {"": (None, None)}).values())
+
+    def first(column: str, n: int | None) -> Column:
+        return F.col(column) if n is None else F.slice(column, 1, n)
+
+    far = F.array(*[least_distance(first("ask", a), first("true", h)) for a, h in ways])
+    known = materialize(known.select(query, "ask", *own, far.alias("far")).filter(F.exists("far", lambda d: d.isNotNull())), "known")
+    asked = materialize(known.select("ask", "far", *own).distinct(), "asked")
+    told = [f"{name}_{k}" for name in ("nearer", "same", "least", "beyond") for k in range(len(ways))]
+
+    def compare(ask: pa.Table, near: pa.Table) -> pa.Table:
+        if not near.num_rows:
+            ask = ask.slice(0, 0)
+        found = np.empty((4, len(ways), 0), np.int64)
+        if ask.num_rows:
+            index_words, query_words = _words(near["held"]), _words(ask["ask"])
+            bounds = pc.fill_null(ask["far"].combine_chunks().flatten(), -1).to_numpy().reshape(-1, len(ways)).T
+            widths = query_words.shape[1], index_words.shape[1]
+            taken = [tuple(min(w, n or w) for w, n in zip(widths, way)) for way in ways]
+            found = _ranked(query_words, index_words, near["n"].to_numpy(), bounds.astype(np.int16), taken)
+        columns = [ask["ask"], ask["far"], *[pa.array(row) for part in found for row in part], *[ask[c] for c in own]]
+        return pa.table(columns, ["ask", "far", *told, *own])
+
+    kind = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in own)
+    schema = f"ask array<bigint>, far array<bigint>, {', '.join(f'{c} bigint' for c in told)}{kind}"
+    local = _paired(asked, "ask", held, "held", own, (8, 2)).applyInArrow(compare, schema)
+    sums = [(F.sum if c.startswith(("nearer", "same")) else F.min)(c).alias(c) for c in told]
+    found = local.groupBy("ask", "far", *own).agg(*sums)
+
+    def answer(k: int, name: str) -> Column:
+        distance = F.get("far", F.lit(k))
+        other = F.when(F.col(f"nearer_{k}") > 0, F.col(f"least_{k}")).when(F.col(f"same_{k}") > 1, distance).otherwise(F.col(f"beyond_{k}"))
+        margin = F.when(other <= APART, other - distance)
+        return F.struct(F.lit(name).alias("kind"), distance.alias("distance"), (F.col(f"nearer_{k}") + 1).alias("rank"), margin.alias("margin"))
+
+    answers = F.explode(F.array(*[answer(k, name) for k, name in enumerate(kinds or [""])]))
+    out = known.join(found, ["ask", "far", *own]).select(query, *own, answers.alias("a")).filter("a.distance IS NOT NULL")
+    return out.select(query, *own, *["a.kind"] * bool(kinds), "a.distance", "a.rank", "a.margin")
 
 
 def margins(matches: DataFrame, query: str = "query_id") -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from quire.functions import costs, text as tx
@@ -59,6 +61,38 @@ def test_a_block_is_compared_in_tiles(monkeypatch):
         assert list(zip(rows, cols, apart)) == want
 
 
+def test_ranks_are_counted_in_tiles(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(similarity, "RANK_ROWS", 5)
+    monkeypatch.setattr(similarity, "RANK_COLUMNS", 3)
+    kinds = [(1, 1), (1, 2), (2, 2), (2, 1)]
+    for spread in (1 << 6, 1 << 63):
+        ask, held = (rng.integers(0, spread, (n, 2)).astype(np.uint64) for n in (23, 41))
+        held[7], held[8], ask[3] = 0, (1 << 64) - 1, (1 << 64) - 1
+        copies = rng.choice([1, 1, 3], len(held))
+        apart = [[[min((int(a) ^ int(h)).bit_count() for a in x[:w] for h in y[:v]) for y in held] for x in ask] for w, v in kinds]
+        bounds = np.array([[-1 if i == 5 else draw[i % 41] for i, draw in enumerate(far)] for far in apart], np.int16)
+        nearer, same, least, beyond = similarity._ranked(ask, held, copies, bounds, kinds)
+        for k in range(len(kinds)):
+            for i, (far, t) in enumerate(zip(apart[k], bounds[k])):
+                counts = sum(n for d, n in zip(far, copies) if d < t), sum(n for d, n in zip(far, copies) if d == t)
+                assert (nearer[k, i], same[k, i], least[k, i]) == (*counts, min(far))
+                if counts[0] == 0 and counts[1] <= 1:  # past the bound nothing may be left: further than any hash
+                    assert min(beyond[k, i], 65) == min([d for d in far if d > t], default=65)
+
+
+def test_every_pair_of_blocks_has_a_task_of_its_own(spark, monkeypatch):
+    for n in (1, 7, 60):
+        names = spark.createDataFrame([(i,) for i in similarity._apart_in_partitions(spark, n)], "block bigint").repartition(n, "block")
+        assert names.select(F.spark_partition_id().alias("p")).distinct().count() == n
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(similarity, "INDEX_BLOCK", 10)
+    rows = spark.range(40).selectExpr("id", "array(id) AS hashes").localCheckpoint()
+    met = similarity._paired(rows, "id", rows, "id", []).applyInArrow(
+        lambda x, y: pa.table({"p": [TaskContext.get().partitionId()], "n": [x.num_rows * y.num_rows]}), "p bigint, n bigint").collect()
+    assert len({r.p for r in met}) == len(met) >= 16 and sum(r.n for r in met) == 1600
+
+
 def test_a_text_is_cut_up_once_for_all_its_symbols(spark):
     df = spark.createDataFrame([("a b a 2 3 c",), ("",), (None,)], "t string")
     counts = costs.symbol_counts(F.split("t", " "))

@@ -199,6 +199,30 @@ def test_true_ranks_count_the_whole_index(spark, monkeypatch):
     assert [(r.rank, r.margin) for r in alone] == [(1, None)]
 
 
+def test_true_ranks_of_several_kinds_at_once(spark, monkeypatch):
+    draw = random.Random(10)
+    monkeypatch.setattr(similarity, "INDEX_BLOCK", 4)
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 1)
+    words = [[draw.getrandbits(63) - (i % 2 << 63) for _ in range(1 + (i % 5 > 0))] for i in range(25)]
+    rows = [(i, words[i] if i < 25 else draw.choice(words)) for i in range(50)] + [(60, None)]
+    index = spark.createDataFrame(rows, "artwork bigint, hashes array<bigint>")
+    asks = [(f"q{i}", [w ^ draw.getrandbits(draw.choice([1, 25, 60])) for w in held], i) for i, held in rows if held] + [("same", words[3], 3), ("none", words[1], 99), ("null", None, 1), ("unheld", words[1], 60)]
+    queries = spark.createDataFrame(asks, "query_id string, hashes array<bigint>, truth bigint")
+    kinds = {"plain": (1, 1), "levels": (1, 2), "asked": (2, 2)}
+    found = similarity.true_ranks(queries, index, "truth", kinds=kinds)
+    assert found.columns == ["query_id", "kind", "distance", "rank", "margin"]
+    got = {(r.query_id, r.kind): (r.distance, r.rank, r.margin) for r in found.collect()}
+    want = {}
+    for name, ask, truth in asks[:-3]:
+        for kind, (a, h) in kinds.items():
+            apart = {i: min(((x ^ y) & (1 << 64) - 1).bit_count() for x in ask[:a] for y in held[:h]) for i, held in rows if held}
+            others = [d for i, d in apart.items() if i != truth]
+            want[name, kind] = (apart[truth], 1 + sum(d < apart[truth] for d in others), min(others) - apart[truth])
+    assert got == want
+    assert any(r > 1 for _, r, _ in want.values()) and any(m == 0 for _, _, m in want.values())
+    assert similarity.true_ranks(queries, index.limit(0), "truth", kinds=kinds).count() == 0
+
+
 def test_an_index_finds_what_a_scan_finds(spark, tmp_path):
     draw = random.Random(9)
     words = ["Ur-Dragon", "ur", "dragons", "Élan", "elanwood", "the", "then", "a", "b2", "日本", "o'clock"]
